@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
+import os
 import re
 import struct
+import sys
+import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from .shared import Scratch, checked_broadcast
 MAGIC = b"TDWM1\0"
 END_ID = 2
 #: A shard closes at the first document end beyond so many ids.
-SHARD_IDS = 2_000_000
+SHARD_IDS = 1_000_000
 
 
 class WaveletMatrix:
@@ -129,38 +132,69 @@ class PieceEncoder:
     A byte-level BPE of this kind never joins across a space that a non-space follows, so a text's ids are those of
     its pieces cut before such spaces, one after another (tests compare with whole texts)."""
 
-    LIMIT = 250_000
+    #: Pieces remembered: beyond half of these, those not met since the last such time are forgotten.
+    LIMIT = 500_000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.tokenizer, self.known, self.older = tokenizer, {}, {}
+        self.line_end = tokenizer.encode("\n", add_special_tokens=False).ids
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The first piece, then each with the space before it."""
-        plain = text.split(" ")
-        if "" in plain or any(p[0].isspace() for p in plain[1:]):
-            plain = re.split(r" (?=\S)", text)
-        return [plain[0], *[" " + p for p in plain[1:]]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    @classmethod
+    def of_worker(cls, path: str) -> PieceEncoder:
+        """The worker's own encoder: what one task has learned serves the next. Kept outside of this code's module,
+        which travels to the workers with every task anew."""
+        held = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
+    def _ids(self, texts: list[str]) -> list[array]:
+        return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Pieces without white space are encoded many at a time, on a line each: a line end before a space is a token
+        of its own, which nothing else in such a text holds, so it parts the ids again."""
+        plain = [p for p in new if p.isprintable() and not p.isspace() and p] if len(self.line_end) == 1 else []
+        for i in range(0, len(plain), 1000):
+            some = plain[i : i + 1000]
+            ids = np.array(self._ids(["\n".join([" " + p for p in some])])[0], "<u4")
+            ends = np.flatnonzero(ids == self.line_end[0])
+            if len(ends) != len(some) - 1:
+                raise ValueError("pieces can't be told apart")
+            raw, ends = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
+            for p, a, b in zip(some, ends, ends[1:], strict=False):
+                self.known[p] = raw[4 * a + 4 : 4 * b]
+        rest = list(set(new).difference(plain))
+        self.known.update(zip(rest, (x.tobytes() for x in self._ids([" " + p for p in rest])), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        new = list(set(itertools.chain.from_iterable(cut)).difference(self.known))
-        if len(self.known) + len(new) > self.LIMIT:
-            self.known = {}
-            new = list(set(itertools.chain.from_iterable(cut)))
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.known.update(zip(some, self._ids(some), strict=True))
+        cuts = []
+        for t in texts:
+            cut = (t or "").split(" ")
+            if "" in cut or any(map(str.isspace, [p[0] for p in cut[1:]])):
+                cut = re.split(r" (?=\S)", t or "")
+            cuts.append(cut)
+        heads = self._ids([c[0] for c in cuts])
+        pieces = set()
+        for c in cuts:
+            pieces.update(c[1:])
+        if len(self.known) > self.LIMIT // 2:
+            self.known, self.older = {}, self.known
+        new, older = [], self.older
+        for p in pieces.difference(self.known):
+            if p in older:
+                self.known[p] = older[p]
+            else:
+                new.append(p)
+        self._learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        return [h.tobytes() + b"".join(map(get, c[1:])) for h, c in zip(heads, cuts, strict=True)]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -170,7 +204,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end_id:
     and one document. Spark's commit protocol keeps the files whole if a task or an executor fails."""
 
     def run(batches):
-        encoder, end = PieceEncoder(tokenizer_path), np.uint32(end_id).astype("<u4").tobytes()
+        encoder, end = PieceEncoder.of_worker(tokenizer_path), np.uint32(end_id).astype("<u4").tobytes()
         part, seq, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
 
         def shard():
@@ -180,9 +214,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end_id:
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_ids": pa.array([wm.n], pa.int64()), "image": pa.array([blob], pa.binary())})
 
         for batch in batches:
-            texts, names = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for i in range(0, len(texts), 500):
-                for name, x in zip(names[i : i + 500], encoder.encode([t or "" for t in texts[i : i + 500]]), strict=True):
+            for i in range(0, batch.num_rows, 200):
+                some = batch.slice(i, 200)
+                for name, x in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
                     held.append(x + end)
                     ids.append(name)
                     n += len(x) // 4 + 1
