@@ -13,13 +13,19 @@ def _dot(a, b):
     return F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
 
 
+def _by_score(x, y):
+    less = (x["neg"] < y["neg"]) | ((x["neg"] == y["neg"]) & (x["item_id"] < y["item_id"]))
+    return F.when(less, -1).when((x["neg"] == y["neg"]) & (x["item_id"] == y["item_id"]), 0).otherwise(1)
+
+
 def diverse_slate(candidates: DataFrame, k: int, cap: int = MAX_PER_CATEGORY, alike: float = NEAR_DUPLICATE, group: str = "impression_id") -> DataFrame:
     """The slate of each group in the order of selection: group, place, item_id, score.
 
     Candidates (item_id, score, category, vec: map term -> weight or null) are taken by score, then id; one is passed
     over while its category (null never) has `cap` members or its cosine with a member is `alike` or more; places
     still open go by score alone. A fold over the group's sorted array: a group is one impression's list."""
-    rows = candidates.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "item_id", "category", "vec"))).alias("c"))
+    rows = candidates.groupBy(group).agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "item_id", "category", "vec")).alias("c"))
+    rows = rows.withColumn("c", F.array_sort("c", _by_score))
     kind = rows.schema["c"].dataType.simpleString()
     first = F.array().cast(kind)
 
