@@ -104,6 +104,7 @@ def collaborative_factors(clicks: DataFrame, k: int = 20):
     rows = cells.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("x")).rdd.map(
         lambda row: IndexedRow(row["r"], Vectors.sparse(width, [(e["c"], float(e["n"])) for e in row["x"]]))
     )
+    rows = rows.cache()  # the solver passes over them once an iteration
     svd = IndexedRowMatrix(rows, 0, width).computeSVD(min(k, width - 1) if width > 1 else 1, computeU=True)
     s = svd.s.toArray()
     u = spark.createDataFrame(svd.U.rows.map(lambda r: (int(r.index), [float(a) for a in r.vector.toArray() * s])), "r long, u array<double>")
