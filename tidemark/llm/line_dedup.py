@@ -109,7 +109,8 @@ def dedup_lines(docs: DataFrame, seed: int = 0) -> DataFrame:
             )
 
     schema = "doc_id long, text string, n_lines long, n_chunks long, removed_chunks long, removed_lines long, repeats array<binary>"
-    cleaned = scratch.save(rows.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(run, schema), "cleaned")
+    # marks grow with the corpus, so the join is a shuffled one at every size and never a broadcast
+    cleaned = scratch.save(rows.join(marks.hint("merge"), "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(run, schema), "cleaned")
     # Byte comparison: as many repeated texts as repeated hashes, or some hash stands for two.
     texts = cleaned.select(F.explode("repeats").alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("c")).where("c > 1").count()
     if texts != again.count():
