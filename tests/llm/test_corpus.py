@@ -185,6 +185,16 @@ def test_line_dedup(spark):
     assert len(later) >= len(ends) - 1  # a line put in moves no boundary but the first
 
 
+def test_line_dedup_odd_rows(spark):
+    passage, other = text(70, 60), text(71, 60)
+    rows = [(1, passage), (5, f"{text(72, 4)}\n{text(73, 4)}\n{passage}"), (5, other), (5, other), (6, None), (None, passage), (7, "")]
+    got = [tuple(r) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "removed_chunks").collect()]
+    assert len(got) == len(rows)
+    assert sorted(t for d, t, _ in got if d == 5) == sorted([rows[1][1].removesuffix("\n" + passage), other, other])
+    assert (1, passage, 0) in got and (None, passage, 0) in got and (6, None, 0) in got and (7, "", 0) in got
+    assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_licenses(spark):
     texts = [text(1, 50) + "\nReleased under the MIT License.", "Licensed under CC BY-NC 4.0.\nAll rights reserved.", text(2, 80), None, "He got his driving license last year.", "This work is licensed under the GNU General Public License, version 3."]
     got = {r["doc_id"]: r for r in licenses.document_licenses(docs(spark, texts)).collect()}

@@ -49,6 +49,11 @@ def _half(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def _hash(lines: list[bytes], a: int, b: int, seed: int) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(b"\n".join(lines[a:b]), seed=seed)
+    return _half(h >> 64), _half(h & ((1 << 64) - 1))
+
+
 def chunk_table(docs: DataFrame, seed: int) -> DataFrame:
     """doc_id, no, h1, h2 (128 bits) of each chunk that may be removed."""
 
@@ -59,11 +64,11 @@ def chunk_table(docs: DataFrame, seed: int) -> DataFrame:
                 lines = (text or b"").split(b"\n")
                 for no, (a, b) in enumerate(chunks(lines)):
                     if _counts(lines, a, b):
-                        h = xxhash.xxh3_128_intdigest(b"\n".join(lines[a:b]), seed=seed)
+                        x, y = _hash(lines, a, b, seed)
                         ids.append(name)
                         nos.append(no)
-                        h1.append(_half(h >> 64))
-                        h2.append(_half(h & ((1 << 64) - 1)))
+                        h1.append(x)
+                        h2.append(y)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "no": pa.array(nos, pa.int32()), "h1": pa.array(h1, pa.int64()), "h2": pa.array(h2, pa.int64())})
 
     return docs.mapInArrow(run, "doc_id long, no int, h1 long, h2 long")
@@ -85,7 +90,7 @@ def dedup_lines(docs: DataFrame, seed: int = 0) -> DataFrame:
     table = scratch.save(chunk_table(rows.where("doc_id is not null"), seed), "chunks")
     again = table.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "no")).alias("first")).where("c > 1")
     again = scratch.save(again.select("h1", "h2", "first"), "again")
-    marks = table.join(again, ["h1", "h2"]).select("doc_id", F.struct("no", (F.struct("doc_id", "no") == F.col("first")).alias("stays")).alias("mark"))
+    marks = table.join(again, ["h1", "h2"]).select("doc_id", F.struct("no", "h1", "h2", (F.struct("doc_id", "no") == F.col("first")).alias("stays")).alias("mark"))
     marks = scratch.save(marks.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "marks")  # a document's own chunks
 
     def run(batches):
@@ -94,7 +99,8 @@ def dedup_lines(docs: DataFrame, seed: int = 0) -> DataFrame:
             for text, marked in zip(blobs(batch, "text"), batch.column(2).to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")
                 parts = chunks(lines)
-                of = {m["no"]: m["stays"] for m in marked or ()}
+                # rows of one id may hold different texts: a mark is for the row that has its chunk
+                of = {m["no"]: m["stays"] for m in marked or () if m["no"] < len(parts) and _hash(lines, *parts[m["no"]], seed) == (m["h1"], m["h2"])}
                 gone = [i for i, stays in of.items() if not stays]
                 kept = [x for i, (a, b) in enumerate(parts) if i not in of or of[i] for x in lines[a:b]]
                 out["text"].append(None if text is None else text if not gone else b"\n".join(kept))
