@@ -216,3 +216,18 @@ def test_warc_parser_reads_by_length():
     body = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 12\r\n\r\nWARC/1.1\r\n\r\n\r\n\r\n"
     got = list(warc.parse(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(body * 2)))))
     assert len(got) == 2 and got[0][1] == b"WARC/1.1\r\n\r\n"
+
+
+def test_pieces_equal_whole_texts():
+    """The encoder that cuts texts at spaces, against the library on whole texts."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    alphabet = [*"abcXYZé ñß×÷ªº'   \n\n\t\r  .,;:!?$%&#@_`~|<>()[]0123456789", "'s", " 'll", "<|endoftext|>", "\x1c", "\x85", "\xa0", "　", "日本", "🙂", "́", "ɏ", "ɐ", "the ", "\n ", "\x00", "᠎", "​"]
+    rng = np.random.default_rng(3)
+    texts = [None, "", *("".join(rng.choice(alphabet, rng.integers(1, 40))) for _ in range(5000))]
+    own = tokens.PieceEncoder(tokenizer_path())
+    own.LIMIT = 4000  # pieces are forgotten and met again
+    for x, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, x

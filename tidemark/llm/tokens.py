@@ -41,11 +41,11 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int = 16) -> WaveletMatrix:
         seq, planes, zeros = ids.astype(np.uint16 if bits <= 16 else np.uint32), [], []
         for b in range(bits - 1, -1, -1):
-            bit = (seq >> b) & 1 != 0
+            bit = (seq & seq.dtype.type(1 << b)).astype(bool)
             planes.append(np.packbits(bit, bitorder="little"))
-            low = seq[~bit]
+            low = np.flatnonzero(~bit)  # places are several times faster than masks on random bits
             zeros.append(len(low))
-            seq = np.concatenate([low, seq[bit]])
+            seq = np.concatenate([seq.take(low), seq.take(np.flatnonzero(bit))])
         return cls(planes, zeros, len(ids))
 
     def decode(self) -> np.ndarray:
@@ -54,8 +54,8 @@ class WaveletMatrix:
         for k in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             out = np.empty_like(seq)
-            out[~bit] = seq[: self.zeros[k]]
-            out[bit] = seq[self.zeros[k] :] | seq.dtype.type(1 << (self.bits - 1 - k))
+            out[np.flatnonzero(~bit)] = seq[: self.zeros[k]]
+            out[np.flatnonzero(bit)] = seq[self.zeros[k] :] | seq.dtype.type(1 << (self.bits - 1 - k))
             seq = out
         return seq.astype(np.uint32)
 
@@ -126,23 +126,38 @@ class WaveletMatrix:
         return cls([np.frombuffer(x, np.uint8) for x in raw[2:]], zeros, n), np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[1], "<u4")
 
 
-class PieceEncoder:
+class _OddSpace(Exception):
+    """A text holds white space other than single spaces before words."""
+
+
+class PieceEncoder(dict):
     """Encodes with the tokenizers library, each distinct piece of text once per worker while it is remembered.
 
     A byte-level BPE of this kind never joins across a space that a non-space follows, so a text's ids are those of
-    its pieces cut before such spaces, one after another (tests compare with whole texts)."""
+    its pieces cut before such spaces, one after another. A piece of Latin letters, ASCII digits and marks and single
+    line ends falls into runs of one kind, which the library's model encodes; any other piece goes through the whole
+    tokenizer (tests compare with whole texts). As a dict: piece -> ids of a space and the piece."""
 
     #: Pieces remembered: beyond half of these, those not met since the last such time are forgotten.
-    LIMIT = 500_000
+    LIMIT = 1_400_000
+    #: Apostrophes are left out: they may join letters. All letters of the range, and no others, are taken as such.
+    _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-&(-/:-@\[-`{-~"
+    PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+(?:\n[{_LETTERS}0-9{_MARKS}]+)*")
+    RUNS = re.compile(f"[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|\n")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        self.tokenizer, self.known, self.older = tokenizer, {}, {}
-        self.line_end = tokenizer.encode("\n", add_special_tokens=False).ids
+        self.tokenizer, self.tokenize, self.older, self.inner = tokenizer, tokenizer.model.tokenize, {}, {}
+        # the letters that stand for bytes, as the library's own byte-level step gives them
+        step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.space = step.pre_tokenize_str(" ")[0][0]
+        self.letters = {c: step.pre_tokenize_str(chr(c))[0][0] for c in range(0x250)}
+        own = tokenizer.pre_tokenizer
+        self.plain_model = isinstance(own, pre_tokenizers.ByteLevel) and own.use_regex and not own.add_prefix_space and tokenizer.normalizer is None
 
     @classmethod
     def of_worker(cls, path: str) -> PieceEncoder:
@@ -153,48 +168,61 @@ class PieceEncoder:
             held[path] = cls(path)
         return held[path]
 
-    def _ids(self, texts: list[str]) -> list[array]:
-        return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Pieces without white space are encoded many at a time, on a line each: a line end before a space is a token
-        of its own, which nothing else in such a text holds, so it parts the ids again."""
-        plain = [p for p in new if p.isprintable() and not p.isspace() and p] if len(self.line_end) == 1 else []
-        for i in range(0, len(plain), 1000):
-            some = plain[i : i + 1000]
-            ids = np.array(self._ids(["\n".join([" " + p for p in some])])[0], "<u4")
-            ends = np.flatnonzero(ids == self.line_end[0])
-            if len(ends) != len(some) - 1:
-                raise ValueError("pieces can't be told apart")
-            raw, ends = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
-            for p, a, b in zip(some, ends, ends[1:], strict=False):
-                self.known[p] = raw[4 * a + 4 : 4 * b]
-        rest = list(set(new).difference(plain))
-        self.known.update(zip(rest, (x.tobytes() for x in self._ids([" " + p for p in rest])), strict=True))
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _run(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(text.translate(self.letters))]).tobytes()
+
+    def _inner(self, run: str) -> bytes:
+        """Ids of a run that no space precedes."""
+        ids = self.inner.get(run)
+        if ids is None:
+            if len(self.inner) >= self.LIMIT // 8:
+                self.inner.clear()
+            ids = self.inner[run] = self._run(run)
+        return ids
+
+    def _head(self, text: str) -> bytes:
+        """Ids of what comes before a text's first cut."""
+        if not self.plain_model or not self.PLAIN.fullmatch(text):
+            return self._whole(text) if text else b""
+        return b"".join(map(self._inner, self.RUNS.findall(text)))
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            if self.plain_model and piece.isascii() and piece.isalpha():
+                ids = array("I", [t.id for t in self.tokenize(self.space + piece)]).tobytes()
+            elif not piece or piece[0].isspace():
+                raise _OddSpace
+            elif not self.plain_model or not self.PLAIN.fullmatch(piece):
+                ids = self._whole(" " + piece)
+            else:
+                runs = self.RUNS.findall(piece)
+                if len(runs) > 1:
+                    ids = self[runs[0]] + b"".join(map(self._inner, runs[1:]))
+                    if len(runs) > 2:  # hardly met again
+                        return ids
+                else:
+                    ids = self._run(" " + piece)
+        self[piece] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cuts = []
-        for t in texts:
-            cut = (t or "").split(" ")
-            if "" in cut or any(map(str.isspace, [p[0] for p in cut[1:]])):
-                cut = re.split(r" (?=\S)", t or "")
-            cuts.append(cut)
-        heads = self._ids([c[0] for c in cuts])
-        pieces = set()
-        for c in cuts:
-            pieces.update(c[1:])
-        if len(self.known) > self.LIMIT // 2:
-            self.known, self.older = {}, self.known
-        new, older = [], self.older
-        for p in pieces.difference(self.known):
-            if p in older:
-                self.known[p] = older[p]
-            else:
-                new.append(p)
-        self._learn(new)
-        get = self.known.__getitem__
-        return [h.tobytes() + b"".join(map(get, c[1:])) for h, c in zip(heads, cuts, strict=True)]
+        out, get = [], self.__getitem__
+        for text in texts:
+            cut = (text or "").split(" ")
+            try:
+                out.append(self._head(cut[0]) + b"".join(map(get, cut[1:])))
+            except _OddSpace:
+                cut = re.split(r" (?=\S)", text)
+                out.append(self._head(cut[0]) + b"".join(map(get, cut[1:])))
+            if len(self) > self.LIMIT // 2:
+                self.older = dict(self)
+                self.clear()
+        return out
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, scratch: Scratch, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
