@@ -231,3 +231,21 @@ def test_pieces_equal_whole_texts():
     own.LIMIT = 4000  # pieces are forgotten and met again
     for x, ids in zip(texts, own.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, x
+
+
+@pytest.mark.parametrize("n", [8, 9, 10, 11, 13, 16, 24])
+def test_decontamination_finds_shared_runs_at_every_place(spark, n):
+    item = text(80 + n, n)
+    run = " ".join(item.split()[: min(n, 11)])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [f"{text(90 + i, i)} {run} {text(95, 5)}".strip() for i in range(8)] + [text(99, 60)]
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.contamination(docs(spark, texts), bench).collect()}
+    assert got == {i: i < 8 for i in range(9)}
+
+
+def test_decontamination_of_short_and_placeholder_items(spark):
+    items = ["1 2 3 4 5 6 7 8 9 10 sum", "3 plus 4", "fortytwo", "Paul rode home on that cold day alone", "Red house"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"{text(1, i)} {items[i]} {text(2, 9)}" for i in range(5)] + ["11 12 13 14 15 16 17 18 19 20 sum", "5 plus 6", f"{text(3, 40)}"]
+    got = {r["doc_id"]: r["item_id"] for r in decontaminate.contamination(docs(spark, texts), bench).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: None, 6: None, 7: None}

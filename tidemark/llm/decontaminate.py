@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .shared import SPACE, Scratch, checked_broadcast
 
 WIDTH, STRIDE = 8, 4
-#: Least words of a window that are no placeholders, and least aligned windows of a document and an item.
-LITERALS, HITS = 4, 2
+#: Least words of a window that are no placeholders.
+LITERALS = 4
 MARKS = ".,;:!?\"'()[]{}<>*#$%&|-"
 #: Units of measure, fixed values of the method.
 UNITS = (
@@ -47,56 +47,115 @@ def templates(rows: DataFrame, id_col: str) -> DataFrame:
     return typed.select("id", F.explode(F.array(F.struct("t", "s"))).alias("x")).select("id", "x.t", "x.s", F.size("x.t").alias("n"))
 
 
-def windows(tokens: DataFrame, width: int, stride: int, least: int) -> DataFrame:
-    """id, n, pos, h (hash of the template of `width` words), slots. Windows with fewer than `least` literal words are left out."""
-    starts = F.expr(f"sequence(1, n - {width - 1}, {stride})")
-    made = F.transform(
-        starts,
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("t", i, width)).alias("h"), F.array_join(F.slice("s", i, width), "\x01").alias("slots")),
-    )
-    out = tokens.where(F.col("n") >= width).select("id", "n", F.explode(made).alias("x")).select("id", "n", "x.*")
-    held = F.size(F.filter(F.split("slots", "\x01"), lambda v: v != ""))
-    return out.where((F.length("slots") == width - 1) | (held <= width - least))
+def _apart(rows: DataFrame, keep: list[str], **made) -> DataFrame:
+    """keep and the made columns, computed once a row (see templates on generators)."""
+    return rows.select(*keep, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("x")).select(*keep, "x.*")
+
+
+def windows(tokens: DataFrame, kinds: list[tuple[int, bool]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, n, span, exact, pos, h and `keep`: the hash of each window of span words at every place, for all kinds (span,
+    exact): of its template, or (exact) of its words with what stands in the slots. Hashes of longer windows are made
+    of two shorter ones each."""
+    held = ["id", "n", *keep]
+    chains = {False: F.transform("t", lambda x: F.xxhash64(x)), True: F.zip_with("t", "s", lambda x, y: F.xxhash64(x, y))}
+    used = sorted({e for _, e in kinds})
+    out = _apart(tokens, list(dict.fromkeys([*held, "t", "s"])), **{f"h1_{int(e)}": chains[e] for e in used})
+    have = [f"h1_{int(e)}" for e in used]
+    parts, todo = set(), [w for w, _ in kinds if w > 1]
+    while todo:  # w is half + rest, half the greatest power of two below w
+        w = todo.pop()
+        if w > 1 and w not in parts:
+            parts.add(w)
+            half = 1 << ((w - 1).bit_length() - 1)
+            todo += [half, w - half]
+    for w in sorted(parts):
+        half = 1 << ((w - 1).bit_length() - 1)
+        size = F.greatest(F.col("n") - (w - 1), F.lit(0))
+        made = {
+            f"h{w}_{int(e)}": F.zip_with(F.slice(f"h{half}_{int(e)}", 1, size), F.slice(f"h{w - half}_{int(e)}", F.lit(half + 1), size), lambda x, y: F.xxhash64(x, y))
+            for e in used
+        }
+        out = _apart(out, [*held, *have], **made)
+        have += list(made)
+    each = F.array(*[F.struct(F.lit(w).alias("span"), F.lit(e).alias("exact"), F.col(f"h{w}_{int(e)}").alias("hs")) for w, e in kinds])
+    out = out.select(*held, F.explode(each).alias("x")).select(*held, "x.span", "x.exact", F.posexplode("x.hs").alias("at", "h"))
+    return out.select(*held, "span", "exact", (F.col("at") + 1).alias("pos"), "h")
+
+
+def _item_windows(items: DataFrame, width: int, kinds: list[tuple[int, bool]]) -> DataFrame:
+    """item_id, first, item_n, item_pos, span, exact, h: the windows that items are looked up by. A window with fewer
+    than LITERALS words that are no placeholders (or than its own words, if it is shorter), or of one or two words, is
+    looked up with its slots' values, others by their templates. Of an item's forms beyond the first only the first
+    window differs."""
+    out = windows(items, kinds, ("s", "first")).where((F.col("span") == F.least("n", F.lit(width))) & ((F.col("first") == 0) | (F.col("pos") == 1)))
+    literal = F.size(F.filter(F.slice("s", F.col("pos"), F.col("span")), lambda v: v == ""))
+    poor = (F.col("span") < 3) | (literal < F.least(F.lit(LITERALS), F.col("span")))
+    return out.where(F.col("exact") == poor).select(F.col("id").alias("item_id"), "first", F.col("n").alias("item_n"), F.col("pos").alias("item_pos"), "span", "exact", "h").distinct()
+
+
+def _forms(items: DataFrame) -> DataFrame:
+    """id, n, t, s, first: items, and again with the first word as a name or a unit: which of them it is depends on the
+    word before, so a copy inside a document may have either."""
+    word = F.element_at("t", 1)
+    as_slot = [
+        F.when(fits, F.struct(F.lit(i).alias("first"), F.concat(F.array(F.lit(mark)), F.slice("t", 2, F.size("t"))).alias("t"), F.concat(F.array(word), F.slice("s", 2, F.size("s"))).alias("s")))
+        for i, mark, fits in ((1, "\x03", (word >= "a") & (word < "{")), (2, "\x02", word.isin(*UNITS)))
+    ]
+    plain = F.struct(F.lit(0).alias("first"), F.col("t"), F.col("s"))
+    forms = F.when(F.element_at("s", 1) == "", F.array_compact(F.array(plain, *as_slot))).otherwise(F.array(plain))
+    return items.where("n > 0").select("id", "n", F.explode(forms).alias("x")).select("id", "n", "x.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int = STRIDE) -> DataFrame:
     """(doc_id, item_id, hits, consistent): documents and benchmark items with aligned template windows.
 
-    All windows of the items meet every `stride`-th window of the documents, so each shared run of width + stride - 1
-    template words is found wherever it begins. A pair counts if HITS windows agree on one alignment (one, if the
-    item has no room for more) and its slots are consistent: along the alignment, the item's values map one to one to
-    the document's. Items shorter than `width` are looked up by one window of their own length at every place.
+    All windows of the items meet all windows of the documents, and each alignment found is then compared over its
+    whole length. Windows of it count (hits) if their templates are equal and hold enough literal words, or if they are
+    equal with the slots' values. The pair counts if such windows cover width + stride - 1 words of the alignment
+    (`width`, if the item has fewer than width + 2 * stride words; all of an item shorter than `width`), so each shared
+    run of that many template words is found wherever it begins, and each whole copy of an item. It is consistent if
+    the item's values map one to one to the document's along the covered words, or if windows equal with their values
+    cover as many words alone.
 
     Null or empty texts share nothing; repeated rows and items count once a pair; extra columns are ignored."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
-    items = scratch.save(templates(benchmark, "item_id"), "items")
-    short = [r["n"] for r in items.where(F.col("n").between(3, width - 1)).select("n").distinct().collect()]  # at most width - 3 values
-    tokens = templates(docs, "doc_id")
-
-    def met(span: int, step: int, own: DataFrame) -> DataFrame:
-        least = min(LITERALS, span)
-        theirs = windows(own, span, 1, least).select(F.col("id").alias("item_id"), F.col("n").alias("item_n"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"))
-        theirs = checked_broadcast(scratch.save(theirs.distinct(), f"windows{span}"))
-        ours = windows(tokens, span, step, least).select(F.col("id").alias("doc_id"), "pos", "h", "slots")
-        return ours.join(theirs, "h").withColumn("room", F.floor((F.col("item_n") - span) / step))
-
-    hits = met(width, stride, items.where(F.col("n") >= width))
-    for span in short:
-        hits = hits.unionByName(met(span, 1, items.where(F.col("n") == span)))
-    hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "room", "slots", "item_slots", "pos")
-    hits = scratch.save(hits, "hits")
-    aligned = hits.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("pos").alias("hits"), F.min("room").alias("room"))
-    aligned = aligned.where(F.col("hits") >= F.least(F.lit(HITS), F.greatest("room", F.lit(1))))
-    slots = hits.where("slots <> item_slots").select(
-        "doc_id", "item_id", "shift", F.explode(F.arrays_zip(F.split("slots", "\x01").alias("d"), F.split("item_slots", "\x01").alias("b"))).alias("v")
-    )
-    slots = slots.select("doc_id", "item_id", "shift", "v.d", "v.b").where("d <> '' or b <> ''").distinct()
-    clash = slots.groupBy("doc_id", "item_id", "shift").agg(
-        F.count(F.lit(1)).alias("both"), F.countDistinct("d").alias("ds"), F.countDistinct("b").alias("bs")
-    ).where("both > ds or both > bs").select("doc_id", "item_id", "shift", F.lit(True).alias("clash"))
-    out = aligned.join(clash, ["doc_id", "item_id", "shift"], "left")
-    out = out.groupBy("doc_id", "item_id").agg(F.max("hits").alias("hits"), F.max(F.col("clash").isNull()).alias("consistent"))
+    items = scratch.save(_forms(templates(benchmark, "item_id")), "items")
+    spans = [r["span"] for r in items.select(F.least("n", F.lit(width)).alias("span")).distinct().collect()]  # at most width values
+    if not spans:
+        return scratch.save(spark.createDataFrame([], "doc_id long, item_id long, hits long, consistent boolean"), "pairs")
+    theirs = scratch.save(_item_windows(items, width, [(w, e) for w in sorted(spans) for e in (False, True)]), "windows")
+    kinds = sorted((r["span"], r["exact"]) for r in theirs.select("span", "exact").distinct().collect())
+    ours = windows(templates(docs, "doc_id"), kinds).select(F.col("id").alias("doc_id"), "pos", "h", F.col("span").alias("w"), F.col("exact").alias("e"))
+    met = ours.join(checked_broadcast(theirs), "h").where("w = span and e = exact")
+    found = scratch.save(met.select("doc_id", "item_id", "first", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "found")
+
+    again = docs.select("doc_id", "text").join(checked_broadcast(scratch.save(found.select("doc_id").distinct(), "ids")), "doc_id", "left_semi")
+    own = templates(again, "doc_id").select(F.col("id").alias("doc_id"), "t", "s", "n")
+    other = items.select(F.col("id").alias("item_id"), "first", F.col("t").alias("bt"), F.col("s").alias("bs"), F.col("n").alias("item_n"))
+    pairs = own.join(checked_broadcast(found), "doc_id").join(checked_broadcast(other), ["item_id", "first"])
+    lo = F.greatest(F.lit(1), 1 - F.col("shift"))
+    size = F.greatest(F.least("item_n", F.col("n") - F.col("shift")) - lo + 1, F.lit(0))
+    kept = ["doc_id", "item_id", "item_n"]
+    pairs = _apart(pairs, kept, dt=F.slice("t", lo + F.col("shift"), size), ds=F.slice("s", lo + F.col("shift"), size), bt=F.slice("bt", lo, size), bs=F.slice("bs", lo, size))
+    span = F.least("item_n", F.lit(width))
+    starts = F.when(F.size("dt") >= span, F.sequence(F.lit(1), F.size("dt") - span + 1)).otherwise(F.array().cast("array<int>"))
+    alike = F.filter(starts, lambda i: F.slice("dt", i, span) == F.slice("bt", i, span))
+    pairs = _apart(pairs, [*kept, "ds", "bs"], alike=alike)
+    exact = F.filter("alike", lambda i: F.slice("ds", i, span) == F.slice("bs", i, span))
+    pairs = _apart(pairs, [*kept, "ds", "bs", "alike"], exact=exact)
+    literal = F.filter("alike", lambda i: (span > 2) & (F.size(F.filter(F.slice("bs", i, span), lambda v: v == "")) >= F.least(F.lit(LITERALS), span)))
+    pairs = _apart(pairs, [*kept, "ds", "bs", "exact"], good=F.array_union(literal, "exact"))
+
+    def words(places):
+        return F.array_distinct(F.flatten(F.transform(places, lambda i: F.sequence(i, i + span - 1))))
+
+    pairs = _apart(pairs, [*kept, "ds", "bs"], hits=F.size("good"), cover=words("good"), sure=F.size(words("exact")))
+    slots = F.filter(F.array_distinct(F.transform("cover", lambda j: F.struct(F.element_at("ds", j).alias("d"), F.element_at("bs", j).alias("b")))), lambda v: (v["d"] != "") | (v["b"] != ""))
+    pairs = _apart(pairs, [*kept, "hits", "sure"], size=F.size("cover"), slots=slots)
+    need = F.when(F.col("item_n") < width + 2 * stride, span).otherwise(F.lit(width + stride - 1))
+    mapped = (F.size(F.array_distinct("slots.d")) == F.size("slots")) & (F.size(F.array_distinct("slots.b")) == F.size("slots"))
+    out = pairs.where(F.col("size") >= need).groupBy("doc_id", "item_id").agg(F.max("hits").alias("hits"), F.max(mapped | (F.col("sure") >= need)).alias("consistent"))
     return scratch.save(out, "pairs")
 
 
