@@ -344,10 +344,10 @@ def rr1_diverse_slate(s, d):
 @query()
 def rr1_diverse_slate_texts(s, d):
     """Slates of documents by source: the near-duplicate rule with real vectors."""
-    docs = A.table(s, d, "documents").where("n_chars < 3000")
+    docs = A.table(s, d, "documents")
     w = T.tfidf(docs.select(F.col("doc_id").alias("item_id"), "text"), 1000)
     vec = w.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("vec"))
-    c = docs.select(F.floor(F.col("doc_id") / 20).alias("impression_id"), F.col("doc_id").alias("item_id"), F.col("n_chars").cast("double").alias("score"), F.col("lang").alias("category"))
+    c = docs.select(F.floor(F.col("doc_id") / 20).alias("impression_id"), F.col("doc_id").alias("item_id"), F.coalesce("n_chars", F.lit(0)).cast("double").alias("score"), F.col("lang").alias("category"))
     return SL.diverse_slate(c.join(vec, "item_id", "left"), 5)
 
 
