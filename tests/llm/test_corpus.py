@@ -249,3 +249,20 @@ def test_decontamination_of_short_and_placeholder_items(spark):
     texts = [f"{text(1, i)} {items[i]} {text(2, 9)}" for i in range(5)] + ["11 12 13 14 15 16 17 18 19 20 sum", "5 plus 6", f"{text(3, 40)}"]
     got = {r["doc_id"]: r["item_id"] for r in decontaminate.contamination(docs(spark, texts), bench).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: None, 6: None, 7: None}
+
+
+def test_licenses_without_cue_words_and_over_lines(spark):
+    wrapped = "This work is licensed under the GNU\nGeneral Public\nLicense, version 3."
+    texts = ["CC BY-SA 4.0", "This work is available under Creative Commons Attribution 4.0 International.", "Distributed under the Apache 2.0 terms.", wrapped, text(3, 300)]
+    got = {r["doc_id"]: r for r in licenses.document_licenses(docs(spark, texts)).collect()}
+    assert got[0]["families"] == "cc-by-sa" and got[3]["families"] == "gpl" and got[4]["families"] == ""
+    assert all(got[i]["n_notices"] + got[i]["n_unconfirmed"] for i in range(3)), got
+
+
+def test_licence_bound_spares_only_the_unknown():
+    m = licenses.LicenseModel()
+    r, known = np.random.default_rng(1), sorted({w for g in m.index for w in g.split()})
+    for _ in range(2000):
+        words = [str(w) for w in r.choice([*known, *WORDS[:60]], r.integers(0, 25))]
+        if m.hopeless(words):
+            assert (m._softmax(m._vector(words) @ m.w)[:-1] < licenses.SURE).all()

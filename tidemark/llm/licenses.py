@@ -97,7 +97,9 @@ class LicenseModel:
                 break
             self.w[-1, -1] += 0.1
         self.pairs = {f: [set(grams(_WORD.findall(t.lower()))) for t in ts] for f, ts in NOTICES.items()}
-        self.cues = {"license", "licensed", "licence", "licenses", "spdx", "copyright", "reserved", "proprietary", "copying", "redistribution", "permission", "redistribute", "cc0", "warranties", "mozilla", "gnu"}
+        # what each gram and the bias can add at most to a family's score beyond that of the unknown class
+        beyond = (self.w[:, :-1] - self.w[:, -1:]).max(axis=1)
+        self.most, self.bias = {g: float(beyond[i]) for g, i in self.index.items()}, float(beyond[-1])
 
     def _vector(self, words: list[str]) -> np.ndarray:
         x = np.zeros(len(self.index) + 1)
@@ -111,6 +113,11 @@ class LicenseModel:
         e = np.exp(z - z.max(axis=-1, keepdims=True))
         return e / e.sum(axis=-1, keepdims=True)
 
+    def hopeless(self, words: list[str]) -> bool:
+        """Whether no family's score can reach the unknown class's, so that none has probability SURE (a half)."""
+        got = [self.most[g] for g in {*grams(words)} if g in self.most]
+        return sum(got) / max(1, len(got)) ** 0.5 + self.bias < -1e-6
+
     def predict(self, paragraph: str) -> tuple[str, float, float]:
         """(family, its probability, share of the best template's grams that the paragraph holds)."""
         words = _WORD.findall(paragraph.lower())
@@ -122,29 +129,45 @@ class LicenseModel:
         return FAMILIES[k], float(p[k]), max(len(own & t) / len(t) for t in self.pairs[FAMILIES[k]])
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """One row per paragraph (line) that is taken for a licence notice: doc_id, paragraph (from 0), family, probability,
-    likeness, confirmed (likeness of a template of the family reaches ALIKE). Unconfirmed rows are predictions only.
+    def notices(self, lines: list[str]):
+        """(number, family, probability, likeness) of the lines and blocks of lines taken for notices."""
+        start, known = 0, set()
+        for no, line in enumerate([*lines, ""]):
+            if line.strip():
+                if self.hopeless(_WORD.findall(line.lower())):
+                    continue
+                family, p, like = self.predict(line)
+                if family != "unknown":
+                    yield no, family, p, like
+                    if like >= ALIKE:
+                        known.add(family)
+                continue
+            if no - start > 1:
+                family, p, like = self.predict(" ".join(lines[start:no]))
+                if family != "unknown" and like >= ALIKE and family not in known:
+                    yield start, family, p, like
+            start, known = no + 1, set()
 
-    Every line of every text is judged; a line without any word that all notices of some family have (license,
-    copyright, reserved, ...) is unknown at once, as its score could only be the unknown class's. Null and empty texts
-    have no row; repeated rows are scanned each; extra columns are ignored."""
+
+def scan_licenses(docs: DataFrame) -> DataFrame:
+    """One row per paragraph that is taken for a licence notice: doc_id, paragraph (number of its first line, from 0),
+    family, probability, likeness, confirmed (likeness of a template of the family reaches ALIKE). Unconfirmed rows are
+    predictions only.
+
+    Every line of every text is judged, and every block of lines between blank ones: a block gives a row if it is
+    confirmed for a family that none of its lines is confirmed for. A bound from the trained weights spares only those
+    whose score must be the unknown class's. Null and empty texts have no row; repeated rows are scanned each; extra
+    columns are ignored."""
     model = docs.sparkSession.sparkContext.broadcast(LicenseModel())
 
     def run(batches):
         m = model.value
-        cue = re.compile(rb"(?i)licen[sc]e|copyright|spdx|reserved|proprietary|copying|redistribut|permission|cc0|warrant|mozilla|\bgnu\b")
         for batch in batches:
             out = {k: [] for k in ("doc_id", "paragraph", "family", "probability", "likeness")}
             for name, text in zip(batch.column(0).to_pylist(), blobs(batch, "text"), strict=True):
-                if not text or not cue.search(text):
-                    continue
-                for no, line in enumerate(text.split(b"\n")):
-                    if cue.search(line):
-                        family, p, like = m.predict(line.decode())
-                        if family != "unknown":
-                            for k, v in zip(out, (name, no, family, p, like), strict=True):
-                                out[k].append(v)
+                for row in m.notices((text or b"").decode().split("\n")):
+                    for k, v in zip(out, (name, *row), strict=True):
+                        out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64()), strict=True)], list(out))
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, paragraph int, family string, probability double, likeness double")
