@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, WORD, Scratch, checked_broadcast
+from .shared import WORD, Scratch, checked_broadcast
 
 #: Weights by rank of the source, repeating; share of all words that the mix takes; most copies of a document.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-BINS = 4096
-ROUNDING = 3
-STEPS = 3
+#: Cells by hash into which a source's words are cut for rounding.
+CELLS = 4096
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(source, size) of each source -> source, source_size, weight, target: share of the total by weight, at most
     `most` times the source's size, the excess reshared by weight. The level at which water stands over the sources
-    sorted by room per weight gives the fixed point of that resharing at once. One row per source throughout."""
+    sorted by room per weight gives the fixed point of that resharing at once. One row per source throughout: the
+    windows sort a table of names and counts, no documents."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
     s = sizes.select("source", F.col("size").alias("source_size"), w.alias("weight"))
@@ -38,146 +40,120 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _solve(hist: DataFrame, scratch: Scratch, most: int, few: bool, rounds: int = 42, tol: float = 1e-6) -> DataFrame:
-    """Newton steps on the dual of each source; hist: source, size, n, target, source_size, docs. Gives source, lam.
-
-    The rate of a document is min(most, exp(lam * size / mean size)), the minimiser of the divergence from one copy
-    each under the token constraint and the cap. log(tokens) is solved for log(target), inside a bracket."""
-    mean = F.col("source_size") / F.greatest("docs", F.lit(1))
-    first = hist.groupBy("source").agg(*[F.first(c).alias(c) for c in ("target", "source_size", "docs")])
-    gap = F.log(F.greatest("source_size", F.lit(1)) / F.greatest("target", F.lit(1e-9)))
-    state = first.select(
-        "source", "target", "source_size", "docs", F.lit(0.0).alias("lam"), (F.col("target") >= most * F.col("source_size")).alias("done"),
-        (-mean * F.greatest(gap, F.lit(0.0)) - 1.0).alias("lo"), (mean * F.lit(math.log(most)) + 1.0).alias("hi"),
-    )
-    state = scratch.save(state, "state0")
-    for i in range(rounds):
-        joined = hist.select("source", "size", "n").alias("h").join(
-            (F.broadcast(state) if few else state).alias("s"), F.col("h.source").eqNullSafe(F.col("s.source")) & ~F.col("done")
-        )
-        x = F.col("size") / mean
-        e = F.exp(F.least(F.col("lam") * x, F.lit(math.log(most))))
-        free = (F.col("lam") * x < math.log(most)).cast("double")
-        sums = joined.groupBy(F.col("s.source").alias("source")).agg(
-            F.sum(F.col("n") * F.col("size") * e).alias("f"), F.sum(F.col("n") * F.col("size") * x * e * free).alias("df")
-        )
-        t = state.alias("s").join(sums.alias("d"), F.col("s.source").eqNullSafe(F.col("d.source")), "left")
-        over = F.col("f") > F.col("target")
-        lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("hi"))
-        step = F.col("lam") - F.when((F.col("df") > 0) & (F.col("f") > 0) & (F.col("target") > 0), F.log(F.col("f") / F.col("target")) * F.col("f") / F.col("df"))
-        new = F.when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
-        ends = F.col("done") | F.col("f").isNull() | (F.abs(F.col("f") - F.col("target")) <= tol * F.col("target") + 1e-6)
-        state = t.select(
-            F.col("s.source").alias("source"), "target", "source_size", "docs", F.when(ends, F.col("lam")).otherwise(new).alias("lam"), ends.alias("done"),
-            F.when(ends, F.col("lo")).otherwise(lo).alias("lo"), F.when(ends, F.col("hi")).otherwise(hi).alias("hi"),
-        )
-        if i % STEPS == STEPS - 1:  # some steps a job, then lineage ends in a written table
-            state = scratch.save(state, f"state{i + 1}")
-            scratch.drop(f"state{i + 1 - STEPS}")
-            if not state.where(~F.col("done")).limit(1).count():
-                break
-    return state.select("source", "lam")
-
-
-def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, passes: int = 5) -> DataFrame:
+def solve_dual(x: np.ndarray, mass: np.ndarray, target: float, most: int, rounds: int = 100, tol: float = 1e-9) -> float:
+    """The multiplier at which the words taken, sum(mass * min(most, exp(lam * x))), meet the target: Newton steps on
+    the logarithm of the sum, inside a bracket. x: the classes' tilts, positive; mass: their words."""
+    lo = hi = 0.0
+    taken = lambda lam: float((mass * np.exp(np.minimum(lam * x, math.log(most)))).sum())
+    if not 0 < target < most * mass.sum():
+        return -math.inf if target <= 0 else math.inf
+    while taken(lo) > target:
+        lo = 2 * lo - 1
+    while taken(hi) < target:
+        hi = 2 * hi + 1
+    lam = 0.0
+    for _ in range(rounds):
+        e = mass * np.exp(np.minimum(lam * x, math.log(most)))
+        f, slope = float(e.sum()), float((e * x)[lam * x < math.log(most)].sum())
+        if abs(f - target) <= tol * target:
+            break
+        lo, hi = (lo, lam) if f > target else (lam, hi)
+        step = lam - math.log(f / target) * f / slope if slope > 0 else math.inf
+        lam = step if lo < step < hi else (lo + hi) / 2
+    return lam
+
+
+def class_rates(levels: np.ndarray, n: np.ndarray, mass: np.ndarray, target: float, most: int) -> np.ndarray:
+    """Rate of each class of sizes: exp(lam * level / mean size), at most `most`; classes without words keep 1."""
+    total = float(mass.sum())
+    some = mass > 0
+    rate = np.ones(len(levels))
+    if total > 0:
+        x = levels[some] * (n.sum() / total)
+        lam = solve_dual(x, mass[some], target, most)
+        rate[some] = np.exp(np.minimum(lam * x, math.log(most))) if math.isfinite(lam) else (float(most) if lam > 0 else 0.0)
+    return rate
+
+
+def diffuse(levels: np.ndarray, rates: np.ndarray, masses: list[np.ndarray], most: int) -> np.ndarray:
+    """How many cells of each class, in hash order, take one copy more than the rounded-down rate. From the largest
+    sizes to the smallest, each class takes the cells whose words come nearest to what is due, and what is then missing
+    or too much is carried to the next. masses: the words of each class's cells."""
+    cuts, carry = np.zeros(len(levels), np.int64), 0.0
+    for i in np.argsort(-levels, kind="stable"):
+        base = math.floor(rates[i] + 1e-9)
+        due = max(rates[i] - base, 0.0) * masses[i].sum() + carry
+        upto = np.concatenate([[0.0], np.cumsum(masses[i]) if base < most and levels[i] > 0 else []])
+        cuts[i] = int(np.abs(upto - due).argmin())
+        carry = due - upto[cuts[i]]
+    return cuts
+
+
+def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """docs plus size, source_size, target, rate and copies (int, 0 to most), by entropy balancing.
 
-    Size is the number of words. Newton steps run over the counts of (source, size), exact sufficient statistics,
-    so a source that holds a third of the rows is pre-aggregated before any shuffle. Rates are rounded down; what a
-    source then lacks goes to documents in the order of a hash of id and text over the lost fraction, cut where the
-    sum of sizes reaches it, ROUNDING times with what still fits; then any document below the cap may take one more copy
-    that fits. Reruns agree: nothing is random.
-
-    Null text has size 0; null source is a source of its own, last in order. Documents without words get 0 copies'
-    worth of words and 1 copy. Rows that repeat in every column get equal copies. Extra columns pass through, unless
-    they have a name of the result's; an empty table gives an empty result. In input, needs doc_id, text, source.
+    Size is the number of words. Documents are tilted by the class of their size: exact below 128 words, then 64
+    classes an octave, so that a source has at most some 3,700 classes at any size of the input and their counts and
+    words, aggregated before any shuffle, are all that the dual of its token constraint depends on. Every source's
+    Newton iteration runs in its own group. Rates are rounded down; the lost fractions are given back to the documents
+    of least hash in each class, by cells of a hash whose words are counted exactly, class by class with the remainder
+    carried on (diffuse), so that a source misses its target by half a cell or document at most. Five jobs over the
+    documents or their counts, whatever the number of sources. Reruns agree: nothing is random.
+
+    Null text has size 0; null source is a source of its own, last in order. Documents without words get 1 copy. Rows
+    that repeat id and text get equal copies. Extra columns pass through, unless they have a name of the result's; an
+    empty table gives an empty result. In input, needs doc_id, text, source.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     made = ["size", "source_size", "target", "rate", "copies"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
+    kind = docs.schema["source"].dataType.simpleString()
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.xxhash64(F.lit("mix"), F.col("doc_id"), "text")
-    thin = scratch.save(docs.select("source", size.alias("size"), key.alias("key")), "thin")
-    per_size = scratch.save(thin.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    totals = per_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs"))
-    totals = scratch.save(totals, "totals")
-    targets = source_targets(totals, weights, share, most)
-    few = totals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # sources; else every join by source is shuffled
-    goal = scratch.save(targets.alias("t").join(totals.alias("d"), F.col("t.source").eqNullSafe(F.col("d.source"))).select("t.*", "d.docs"), "targets")
-    with_goal = _by_source(per_size, goal, few)
-    lam = _solve(with_goal, scratch, most, few)
-    goal = scratch.save(_by_source(goal, lam, few), "solved")
-    counts = thin.groupBy("source", "size", "key").agg(F.count(F.lit(1)).alias("rows"))
-    rated = _rate(_by_source(counts, goal, few), most)
-    frac = F.col("rate") - F.col("copies")
-    rated = rated.where("size > 0").select("source", "size", "key", "rows", frac.alias("frac"), "copies", F.lit(False).alias("up"))
-    whole = _rate(_by_source(per_size, goal, few), most).groupBy("source").agg(F.sum(F.col("copies") * F.col("size") * F.col("n")).alias("got"))
-    need = goal.alias("g").join(whole.alias("w"), F.col("g.source").eqNullSafe(F.col("w.source"))).select("g.source", (F.col("target") - F.col("got")).alias("need"))
-    need = scratch.save(need, "need0")
-    open_ = scratch.save(rated, "open0")
-    cuts = None
-    for i in range(passes):
-        fits = _by_source(open_, need, few).where(_may(i, most) & (F.col("size") * F.col("rows") <= F.col("need")))
-        bins = fits.groupBy("source", _bin("key", "frac", i).alias("bin")).agg(F.sum(F.col("size") * F.col("rows")).alias("sum"))
-        run = Window.partitionBy("source").orderBy("bin")
-        bins = bins.withColumn("upto", F.sum("sum").over(run))
-        cut = _by_source(bins, need, few).where(F.col("upto") <= F.col("need")).groupBy("source").agg(F.max("bin").alias("cut"), F.max("upto").alias("spent"))
-        cut = scratch.save(_by_source(need.withColumnRenamed("need", "fit"), cut, few, "left"), f"cut{i}")
-        if i < passes - 1:
-            open_ = scratch.save(_take(_by_source(open_, cut, few), i, most, F.col("size") * F.col("rows")).drop("cut", "fit", "spent"), f"open{i + 1}")
-            scratch.drop(f"open{i}")
-        need = scratch.save(cut.select("source", (F.col("fit") - F.coalesce("spent", F.lit(0))).alias("need")), f"need{i + 1}")
-        more = cut.select("source", F.lit(i).alias("i"), "cut", "fit")
-        cuts = more if cuts is None else cuts.unionByName(more)
-    cuts = cuts.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("i", "cut", "fit"))).alias("cuts"))  # `passes` entries each
-    plan = scratch.save(_by_source(goal, cuts, few), "plan")
-    # Every document's fate follows from its own columns and its source's plan.
-    rows_of = scratch.save(counts.where("rows > 1").select("key", F.col("rows").alias("same")), "same")
-    x = plan.withColumnRenamed("source", "__source")
+    place = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id"), "text"), F.lit(1 << 40)) / float(1 << 40)
+    shift = F.greatest(F.length(F.bin("size")) - 7, F.lit(0))
+    level = F.call_function("shiftleft", F.call_function("shiftright", F.col("size"), shift), shift)
+
+    thin = scratch.save(docs.select("source", size.alias("size"), place.alias("place")).withColumn("level", level), "thin")
+    classes = thin.groupBy("source", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("mass"))
+    classes = scratch.save(classes, "classes")
+    targets = scratch.save(source_targets(classes.groupBy("source").agg(F.sum("mass").alias("size")), weights, share, most), "targets")
+
+    def rates(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("level")
+        mass = g["mass"].to_numpy(float)
+        rate = class_rates(g["level"].to_numpy(float), g["n"].to_numpy(float), mass, float(g["target"].iloc[0]), most)
+        cells = np.maximum(np.minimum(np.ceil(CELLS * mass / max(mass.sum(), 1.0)), g["n"]), 1).astype(np.int64)
+        return g[["source", "level", "source_size", "target"]].assign(rate=rate, cells=cells)
+
+    rated = _meet(classes, targets, ["source"]).select("source", "level", "n", "mass", F.col("source_size").cast("long").alias("source_size"), "target")
+    rated = rated.groupBy("source").applyInPandas(rates, f"source {kind}, level long, source_size long, target double, rate double, cells long")
+    rated = scratch.save(rated, "rated")
+    cell = F.floor(F.col("place") * F.col("cells"))
+    cells = _meet(thin, rated, ["source", "level"]).groupBy("source", "level", cell.alias("cell")).agg(F.sum("size").alias("words"))
+    cells = scratch.save(_meet(cells, rated, ["source", "level"]), "cells")
+
+    def cuts(g: pd.DataFrame) -> pd.DataFrame:
+        by = [x.sort_values("cell") for _, x in g.groupby("level")]
+        one = [x.iloc[0] for x in by]
+        masses = [np.bincount(x["cell"], x["words"], int(x["cells"].iloc[0])) for x in by]
+        levels, rate = np.array([x["level"] for x in one], float), np.array([x["rate"] for x in one], float)
+        cut = diffuse(levels, rate, masses, most)
+        head = pd.DataFrame([x[["source", "level", "source_size", "target", "rate", "cells"]] for x in one])
+        return head.assign(base=np.where(levels > 0, np.floor(rate + 1e-9), 1).astype(np.int64), cut=cut)
+
+    plan = cells.groupBy("source").applyInPandas(cuts, f"source {kind}, level long, source_size long, target double, rate double, cells long, base long, cut long")
+    plan = scratch.save(plan, "plan")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")  # so that no name of theirs meets one of ours
-    out = docs.select(own, size.alias("size"), key.alias("key"), F.col("source").alias("s")).join(
-        F.broadcast(x) if few else x, F.col("s").eqNullSafe(F.col("__source"))
-    ).join(checked_broadcast(rows_of), "key", "left")
-    out = _rate(out, most)
-    out = out.withColumns({"frac": F.col("rate") - F.col("copies"), "up": F.lit(False)})
-    for i in range(passes):
-        c = F.element_at("cuts", i + 1)
-        out = _take(out.withColumns({"cut": c["cut"], "fit": c["fit"]}), i, most, F.col("size") * F.coalesce("same", F.lit(1)))
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int")
+    out = docs.select(own, "source", size.alias("size"), place.alias("place")).withColumn("level", level)
+    out = _meet(out, plan, ["source", "level"])
+    copies = (F.col("base") + (cell < F.col("cut")).cast("int")).cast("int")
     return out.select("own.*", "size", "source_size", "target", "rate", copies.alias("copies"))
 
 
-def _bin(key: str, frac: str, i: int):
-    """The place of a document in the order of pass i: first by a hash over the lost fraction, then by other hashes."""
-    u = F.pmod(F.xxhash64(key, F.lit(i)), F.lit(1 << 40)) / float(1 << 40)
-    if not i:
-        u = u / F.greatest(F.col(frac), F.lit(1e-12))
-        u = u / (1 + u)
-    return F.floor(u * BINS)
-
-
-def _may(i: int, most: int):
-    """Whom pass i may give a copy: first those whose rate was rounded down, from pass ROUNDING on all below the cap."""
-    below = (F.col("size") > 0) & (F.col("copies") < most)
-    return below & (F.col("frac") > 1e-12) & ~F.col("up") if i < ROUNDING else below
-
-
-def _take(df: DataFrame, i: int, most: int, mass) -> DataFrame:
-    yes = F.coalesce(_may(i, most) & (_bin("key", "frac", i) <= F.col("cut")) & (mass <= F.col("fit")), F.lit(False))
-    return df.withColumns({"copies": F.col("copies") + yes.cast("int"), "up": F.col("up") | yes})
-
-
-def _by_source(left: DataFrame, right: DataFrame, few: bool, how: str = "inner") -> DataFrame:
-    """left with the columns that right has besides, by source (null is a value); right has a row per source."""
-    new = [c for c in right.columns if c not in left.columns]
-    side = right.select(F.col("source").alias("__s"), *new)
-    side = F.broadcast(side) if few else side
-    return left.join(side, F.col("source").eqNullSafe(F.col("__s")), how).drop("__s")
-
-
-def _rate(df: DataFrame, most: int) -> DataFrame:
-    mean = F.col("source_size") / F.greatest("docs", F.lit(1))
-    full = F.col("target") >= most * F.col("source_size")
-    rate = F.when(full, F.lit(float(most))).otherwise(F.exp(F.least(F.col("lam") * F.col("size") / mean, F.lit(math.log(most)))))
-    return df.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + 1e-9))
+def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the columns that right has besides, by keys (null is a value); right, a written table, has one row a
+    key and is broadcast if it is small, else Spark splits the partitions of hot keys."""
+    side = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in left.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(checked_broadcast(side), on).drop(*[f"__{k}" for k in keys])

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but these characters (space and \x09-\x0D).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows up to which a keyed side table may be broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 20_000
+#: Bytes up to which a keyed side table may be broadcast; beyond them the join is shuffled.
+BROADCAST_BYTES = 8 << 20
 
 _LOCAL: dict[str, str] = {}
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -59,9 +59,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df (a written table) with a broadcast hint if it has at most limit rows, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a written table) with a broadcast hint if its rows take at most `limit` bytes, else as it is, for a shuffled join."""
+    size = F.lit(16)
+    for f in df.schema:
+        kind, col = f.dataType.typeName(), F.col(f"`{f.name}`")
+        wide = F.octet_length(col) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(col))) if kind in ("array", "map", "struct") else F.lit(0)
+        size = size + 16 + F.coalesce(wide.cast("long"), F.lit(0))
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
 
 
 class WordHash(dict):
