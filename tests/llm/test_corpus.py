@@ -85,6 +85,34 @@ def test_near_duplicates_against_brute_force(spark, k, percent):
     assert got[0]["kept"] and got[1]["kept"]  # empty ones link with nothing
 
 
+def test_near_duplicates_of_edge_hubs_and_short_sets(spark):
+    """Groups whose members differ from each other, not from one middle, and sets of 1 to 20 shingles."""
+    base, texts = text(11, 60).split(), []
+    for i in range(60):
+        r, w = np.random.default_rng(100 + i), list(base)
+        for _ in range(int(r.integers(0, 7))):
+            at = int(r.integers(0, len(w)))
+            w[at : at + 1] = [[], ["the"], [f"odd{i}"], [w[at], "of"]][int(r.integers(0, 4))]
+        texts.append(" ".join(w))
+    texts += [text(200, n) for n in range(1, 23)] + [text(200, n) + " end" for n in range(1, 23)]
+    for k, percent in ((3, 85), (5, 80)):
+        want, _ = brute_components(texts, k, percent)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, texts), k, percent, bands=40, rows=2).collect()}
+        assert got == want
+
+
+def test_near_duplicates_null_and_repeated_ids(spark):
+    one, other = text(21, 40), text(22, 40)
+    rows = [(None, one), (3, one), (1, one), (5, one), (5, other), (7, None), (None, ""), (9, text(23, 40)), (9, text(23, 40))]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string")
+    got = sorted(tuple(r) for r in minhash.near_duplicates(df).select("doc_id", "component_id", "kept").na.fill(-1).collect())
+    assert got == sorted([(-1, 1, False), (3, 1, False), (1, 1, True), (5, 1, False), (5, 5, True), (7, 7, True), (-1, -1, True), (9, 9, True), (9, 9, True)])
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect() if r["text"]) == sorted([(1, one), (5, other), (9, text(23, 40))])
+    assert kept.count() == 5
+    assert minhash.near_duplicates(df.where("false")).count() == 0 and minhash.drop_near_duplicates(df.where("false")).count() == 0
+
+
 def test_language_model_sums_to_one_and_beats_the_base(spark):
     r = np.random.default_rng(3)
     texts = [*ODD]
