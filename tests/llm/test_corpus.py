@@ -6,6 +6,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tidemark.llm.queries")
@@ -148,17 +149,32 @@ def test_quality_held_out(spark):
     assert kept.columns == docs(spark, []).columns and kept.where("doc_id >= 2").count() == 300
 
 
-def test_wavelet_matrix():
-    ids = np.random.default_rng(5).integers(0, 50257, 3000).astype(np.uint32)
-    ids[::7] = 11
-    wm = tokens.WaveletMatrix.build(ids)
-    wm, names, lengths = tokens.WaveletMatrix.from_bytes(wm.to_bytes(np.arange(3), np.array([1000, 1500, 500])))
-    assert (wm.decode() == ids).all() and names.tolist() == [0, 1, 2] and lengths.sum() == 3000
-    assert all(wm.access(i) == ids[i] for i in (0, 511, 512, 2999))
-    assert wm.count(11) == (ids == 11).sum() and wm.count(11, 777) == (ids[:777] == 11).sum()
-    assert wm.select(11, 5) == np.flatnonzero(ids == 11)[5]
-    empty = tokens.WaveletMatrix.build(np.empty(0, np.uint32))
-    assert len(empty.decode()) == 0 and empty.count(3) == 0
+@pytest.mark.parametrize(("largest", "bits"), [(50_256, 16), (200_000, 18)])
+def test_wavelet_file_by_path(tmp_path, largest, bits):
+    n = 2 * tokens.BLOCK + 777
+    ids = np.random.default_rng(5).integers(0, largest + 1, n).astype(np.uint32)
+    ids[::7], ids[5] = 11, largest
+    lengths = np.array([1000, n - 1500, 500])
+    path = tmp_path / "shard"
+    path.write_bytes(tokens.WaveletMatrix.build(ids, bits).to_bytes(np.array([0, 4, 9]), lengths, nulls=1, part=3, seq=2) + b"\n")
+    with tokens.WaveletFile(path) as shard:
+        names, sizes = shard.documents()
+        assert (len(shard), shard.bits, shard.part, shard.seq, shard.nulls) == (n, bits, 3, 2, 1) and names.tolist() == [0, 4, 9] and (sizes == lengths).all()
+        assert all(shard.access(i) == ids[i] for i in (0, 5, 511, 512, tokens.BLOCK - 1, tokens.BLOCK, n - 1))
+        where = np.flatnonzero(ids == 11)
+        assert shard.count(11) == len(where) and all(shard.count(11, i) == (ids[:i] == 11).sum() for i in (0, 777, tokens.BLOCK, n, n + 9))
+        assert all(shard.select(11, k) == where[k] for k in (0, 5, len(where) // 2, len(where) - 1))
+        assert shard.select(int(ids[5]), 0) == np.flatnonzero(ids == ids[5])[0] and shard.count(1 << bits) == 0
+        assert (shard.decode() == ids).all()
+        with pytest.raises(IndexError):
+            shard.access(n)
+        with pytest.raises(IndexError):
+            shard.select(11, len(where))
+    with pytest.raises(ValueError):
+        tokens.WaveletMatrix.build(np.array([70_000], np.uint32), 16)
+    path.write_bytes(tokens.WaveletMatrix.build(np.empty(0, np.uint32), 16).to_bytes(np.empty(0), np.empty(0)))
+    with tokens.WaveletFile(path) as empty:
+        assert len(empty.decode()) == 0 and empty.count(3) == 0
 
 
 def test_token_round_trip(spark):
@@ -175,6 +191,27 @@ def test_token_round_trip(spark):
         at += len(ids)
 
 
+def test_token_files_of_null_and_repeated_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    rows = [(None, text(1, 50)), (None, None), (0, "zero"), (4, text(2, 900)), (4, text(3, 700)), (-3, "a  b"), (None, text(4, 800))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens.write_shards(df, tokenizer_path(), str(tmp_path / "shards"), shard_ids=1000)
+    docs_of, ids = [], []
+    files = [tokens.WaveletFile(f) for f in (tmp_path / "shards").glob("part-*")]
+    for shard in sorted(files, key=lambda s: (s.part, s.seq)):
+        names, sizes = shard.documents()
+        docs_of += [None if i < shard.nulls else int(x) for i, x in enumerate(names)]
+        ids += np.split(shard.decode(), np.cumsum(sizes)[:-1])
+    assert len(files) > 1 and docs_of == [None, None, None, -3, 0, 4, 4]
+    want = sorted((-9 if i is None else i, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for i, x in rows)
+    assert sorted((-9 if i is None else i, x.tolist()) for i, x in zip(docs_of, ids, strict=True)) == want
+    found = tokens.encode_documents(df, tokenizer_path()).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == docs_of and [r["n_tokens"] for r in found[3:5]] == [len(want[3][1]), len(want[4][1])]
+    assert tokens.encode_documents(df.where("false"), tokenizer_path()).count() == 0
+
+
 def test_decontamination(spark):
     item = "Anna has 12 apples and gives 5 apples to her friend so how many apples does Anna keep after the long walk"
     other = "it was said that Paul rode 40 km in 3 hours and that this was more than anybody else had ever done"
@@ -256,9 +293,12 @@ def test_pieces_equal_whole_texts():
     rng = np.random.default_rng(3)
     texts = [None, "", *("".join(rng.choice(alphabet, rng.integers(1, 40))) for _ in range(5000))]
     own = tokens.PieceEncoder(tokenizer_path())
-    own.LIMIT = 4000  # pieces are forgotten and met again
-    for x, ids in zip(texts, own.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, x
+    own.KEEP = 500  # runs are forgotten and met again
+    for i in range(0, len(texts), 700):
+        some = texts[i : i + 700]
+        ids, sizes = own.encode(pa.array([x or "" for x in some]), 2)
+        for x, part in zip(some, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert part.tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 2], x
 
 
 @pytest.mark.parametrize("n", [8, 9, 10, 11, 13, 16, 24])
