@@ -59,7 +59,7 @@ class WaveletMatrix:
             out[np.flatnonzero(~bit)] = seq[: self.zeros[k]]
             out[np.flatnonzero(bit)] = seq[self.zeros[k] :] | seq.dtype.type(1 << (self.bits - 1 - k))
             seq = out
-        return seq.astype(np.uint32)
+        return seq.astype(np.uint32, copy=False)
 
     def to_bytes(self, doc_ids: np.ndarray, lengths: np.ndarray, nulls: int = 0, part: int = 0, seq: int = 0) -> bytes:
         """The file: head, zeros of each plane, directory of ones before each block, ends of the compressed blocks, the
@@ -292,10 +292,10 @@ class PieceEncoder:
         cut = pc.split_pattern(texts, " ")
         words, at = cut.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))]).astype(np.int64)
         coded = words.dictionary_encode()
-        codes, unique = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        codes, unique = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         odd = np.fromiter((not w or w[0].isspace() for w in unique), bool, len(unique))
         pieces = [self.now.get(w) or (b"" if o else self.piece(w)) for w, o in zip(unique, odd.tolist(), strict=True)]
-        heads = [self._head(w) for w in words.take(pa.array(at[:-1])).to_pylist()]
+        heads = [self._head(w) for w in words.take(pa.array(at[:-1])).to_numpy(zero_copy_only=False).tolist()]
         first = at[:-1]
         wrong = odd[codes]  # white space before a word that is no single space: cut the text anew
         wrong[first] = False
@@ -378,7 +378,7 @@ def read_shards(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
             for blob in batch.column(0):
                 with WaveletFile(pa.BufferReader(blob.as_buffer())) as shard:
                     names, lengths = shard.documents()
-                    raw = memoryview(shard.decode().astype("<u4").tobytes())
+                    raw = memoryview(shard.decode().astype("<u4", copy=False)).cast("B")
                     ends = np.cumsum(lengths)
                     starts = ends - lengths
                     crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
