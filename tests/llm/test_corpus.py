@@ -245,9 +245,22 @@ def test_line_dedup(spark):
     assert passage not in got[4]["text"] and got[4]["removed_chunks"] == 1
     assert got[1]["removed_lines"] >= 6 and "tail 1" in got[1]["text"] and "head 1" in got[1]["text"]
     lines = [x.encode() for x in block.split("\n")]
-    ends = {lines[b - 1] for _, b in line_dedup.chunks(lines)}
-    later = {x for x in ends if x in {[b"new", *lines][b - 1] for _, b in line_dedup.chunks([b"new", *lines])}}
-    assert len(later) >= len(ends) - 1  # a line put in moves no boundary but the first
+    cut = lambda x: {x[b - 1] for _, b in line_dedup.chunks(line_dedup.line_hashes(x), np.zeros(len(x), bool))}
+    ends = cut(lines)
+    assert len(ends & cut([b"new", *lines])) >= len(ends) - 1  # a line put in moves no boundary but the first
+
+
+@pytest.mark.parametrize("sizes", [[25, 25, 3], [8] * 6, [8] * 10, [30, 25], [9, 60, 9], [4] * 40])
+def test_line_dedup_removes_whole_passages(spark, sizes):
+    """Passages of over 50 words between other lines, against what must go and what must stay."""
+    passage = "\n".join(text(300 + i, n) for i, n in enumerate(sizes))
+    texts = [f"{text(400 + i, 7)}\n{text(420 + i, 5)}\n{passage}\n{text(440 + i, 6)}" for i in range(6)] + [text(500 + i, 6) + "\n" + text(510 + i, 6) for i in range(4)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    single = {x for x, n in zip(passage.split("\n"), sizes, strict=True) if 60 in sizes and n == 9}
+    for i in range(1, 6):
+        left = set(got[i].split("\n"))
+        assert set(texts[i].split("\n")) - set(passage.split("\n")) <= left and left & set(passage.split("\n")) <= single
+    assert got[0] == texts[0] and all(got[i] == texts[i] for i in range(6, 10))
 
 
 def test_line_dedup_odd_rows(spark):
