@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, WordHash, blobs, mix, shingle_set, words_of
+from .shared import Scratch, WordHash, blobs, lean, mix, shingle_set, words_of
 
 BANDS, ROWS = 24, 5
 
@@ -77,7 +77,7 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             )
 
     schema = "doc_id long, text_hash long, n long, k1 long, k2 long, buckets array<long>"
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lean(run), schema)
     return made.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
@@ -100,7 +100,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
     left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -166,7 +166,7 @@ def differences(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
 
     left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean, n long, d long, r long, prefix array<long>")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long, linked boolean, n long, d long, r long, prefix array<long>")
 
 
 def _classes(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, blobs
+from .shared import Scratch, blobs, lean
 
 FEATURES = (
     "chars", "words", "word_chars", "upper", "digits", "marks", "other", "line_words", "own_words", "top_word",
@@ -144,19 +144,23 @@ def text_features(docs: DataFrame) -> DataFrame:
             offsets = pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(table: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> AdditiveModel:
-    """Fits on at most `rows` labelled rows that are not held out: those whose ids have the least hashes. Labels that
-    are null, or of ids without a text, are left out; of an id's several labels each counts."""
+def sampled(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, y of at most `rows` labels that are not held out: those whose ids have the least hashes. Null labels and
+    ids are left out; of an id's several labels each counts."""
     marks = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    some = marks.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    got = table.join(some, "doc_id").select("doc_id", "x", "y").toArrow().to_pydict()
+    return marks.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+
+
+def train(table: DataFrame, some: DataFrame) -> AdditiveModel:
+    """Fits on the rows of the feature table that a bounded sample of labels names."""
+    got = table.join(F.broadcast(some), "doc_id").select("doc_id", "x", "y").toArrow().to_pydict()
     order = np.lexsort((got["y"], got["doc_id"])) if got["y"] else np.empty(0, int)
     x = np.array(got["x"], np.float64).reshape(-1, len(FEATURES))[order]
     return AdditiveModel().fit(x, np.array(got["y"], np.float64)[order])
@@ -169,26 +173,27 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     all features 0 and a score like any other. Repeated rows are scored each; extra columns are ignored."""
     scratch = Scratch(docs.sparkSession, "quality")
     table = scratch.save(text_features(docs), "features")
-    model = train(table, labels, train_rows)
+    model = train(table, scratch.save(sampled(labels, train_rows), "labels"))
 
     def run(batches):
         for batch in batches:
             x = np.array(batch.column(1).flatten()).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
-    out = table.mapInArrow(run, "doc_id long, score double")
+    out = table.mapInArrow(lean(run), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that the classifier rejects; the model scores each text where it is read, without a shuffle."""
     scratch = Scratch(docs.sparkSession, "quality")
-    marked = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    model = train(scratch.save(text_features(docs.join(marked, "doc_id", "left_semi")), "features"), labels)
+    some = scratch.save(sampled(labels), "labels")
+    # at most TRAIN_ROWS ids are broadcast, so no text is shuffled
+    model = train(scratch.save(text_features(docs.join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")), "features"), some)
 
     def run(batches):
         for batch in batches:
             x = np.array([features(t) for t in blobs(batch, "text")], np.float64).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

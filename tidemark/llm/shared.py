@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -70,6 +74,23 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if total <= limit else df
 
 
+def lean(run, keep: bool = False):
+    """run (batches -> batches) for workers that serve one task after another: frees first what encoding tasks keep from
+    task to task (unless keep), and gives freed buffers back to the system when the task ends."""
+
+    def wrapped(batches):
+        held = sys.modules.get("_tidemark_worker")
+        if held is not None and not keep:
+            held.__dict__.pop("encoders", None)
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 class WordHash(dict):
     """64-bit hashes of words; emptied when it has grown beyond its bound."""
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, checked_broadcast
+from .shared import Scratch, checked_broadcast, lean
 
 MAGIC = b"TDWM2\0"
 END_ID = 2
@@ -233,8 +233,8 @@ class PieceEncoder:
     @classmethod
     def of_worker(cls, path: str) -> PieceEncoder:
         """The worker's own encoder: what one task has learned serves the next. Kept outside of this code's module,
-        which travels to the workers with every task anew."""
-        held = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
+        which travels to the workers with every task anew; other operators' tasks free it (shared.lean)."""
+        held = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__.setdefault("encoders", {})
         if path not in held:
             held[path] = cls(path)
         return held[path]
@@ -367,7 +367,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("place"))
     rows = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     # the text writer puts bytes as they are; the line end after them lies beyond what the head describes
-    rows.mapInArrow(run, "image binary").select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows.mapInArrow(lean(run, keep=True), "image binary").select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_shards(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
@@ -389,7 +389,7 @@ def read_shards(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
                     })
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    found = scratch.save(files.mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long"), "found")
+    found = scratch.save(files.mapInArrow(lean(run, keep=True), "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long"), "found")
     sizes = scratch.save(found.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n_ids")), "sizes")
     before_part = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row per task
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("all")).select("part", F.coalesce(F.sum("all").over(before_part), F.lit(0)).alias("p0"))
