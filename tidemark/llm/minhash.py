@@ -98,9 +98,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                     good.append(i)
             yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in good], pa.int64()), "b": pa.array([b[i] for i in good], pa.int64())})
 
+    return _with_texts(pairs, texts).mapInArrow(lean(run), "a long, b long")
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, ta, tb. Pairs that grow with the corpus come with a merge hint: their join is a shuffled one at every size."""
     left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long")
+    side = texts.select(F.col("row").alias("b"), F.col("text").alias("tb"))
+    return left.join(side, "b").select("a", "b", "ta", "tb")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -164,9 +169,7 @@ def differences(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
                 ["a", "b", "linked", "n", "d", "r", "prefix"],
             )
 
-    left = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long, linked boolean, n long, d long, r long, prefix array<long>")
+    return _with_texts(pairs.hint("merge"), texts).mapInArrow(lean(run), "a long, b long, linked boolean, n long, d long, r long, prefix array<long>")
 
 
 def _classes(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
@@ -195,14 +198,14 @@ def _classes(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> Da
     name = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "text_hash"]
     keys = classes.where("row = rep").join(met, "row", "left_semi").select(*name, "row")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").select(*name, "text")
-    texts = named.join(keys, ["id", "no_id", "text_hash"]).groupBy("id", "no_id", "text_hash").agg(F.min("row").alias("row"), F.min("text").alias("text"))
+    texts = named.join(keys.hint("merge"), ["id", "no_id", "text_hash"]).groupBy("id", "no_id", "text_hash").agg(F.min("row").alias("row"), F.min("text").alias("text"))
     texts = scratch.save(texts.select("row", "text"), "texts")
 
     # Every class is compared with the hub it meets most often.
     stars = members.where((F.col("rep") != F.col("hub")) & alike)
     stars = stars.groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     best = stars.groupBy("a").agg(F.max(F.struct("c", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b"))
-    links = scratch.save(confirmed(scratch.save(best, "stars"), texts, k, percent), "links0")
+    links = scratch.save(confirmed(scratch.save(best, "stars").hint("merge"), texts, k, percent), "links0")
     label = components(links, scratch, "cc0")
 
     # Buckets that still hold several components: differences from their hubs, and those who may share enough of them.

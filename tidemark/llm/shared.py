@@ -91,6 +91,18 @@ def lean(run, keep: bool = False):
     return wrapped
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Arrow batches of so many rows for what is executed inside: whole texts of the usual 10,000 take much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class WordHash(dict):
     """64-bit hashes of words; emptied when it has grown beyond its bound."""
 

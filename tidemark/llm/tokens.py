@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, checked_broadcast, lean
+from .shared import Scratch, checked_broadcast, lean, small_batches
 
 MAGIC = b"TDWM2\0"
 END_ID = 2
@@ -209,6 +209,8 @@ class PieceEncoder:
     most KEEP in each of two generations, some 120 MB a worker (250 MB if all are of that length)."""
 
     KEEP, LONGEST = 400_000, 32
+    #: Pieces whose ids are gathered at once.
+    GATHER = 100_000
     #: Apostrophes are left out: they may join letters. All letters of the range, and no others, are taken as such.
     _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"
     PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+(?:\n[{_LETTERS}0-9{_MARKS}]+)*")
@@ -292,10 +294,11 @@ class PieceEncoder:
         cut = pc.split_pattern(texts, " ")
         words, at = cut.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))]).astype(np.int64)
         coded = words.dictionary_encode()
-        codes, unique = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes, unique = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = [self._head(w) for w in words.take(pa.array(at[:-1])).to_numpy(zero_copy_only=False).tolist()]
+        del cut, words, coded
         odd = np.fromiter((not w or w[0].isspace() for w in unique), bool, len(unique))
         pieces = [self.now.get(w) or (b"" if o else self.piece(w)) for w, o in zip(unique, odd.tolist(), strict=True)]
-        heads = [self._head(w) for w in words.take(pa.array(at[:-1])).to_numpy(zero_copy_only=False).tolist()]
         first = at[:-1]
         wrong = odd[codes]  # white space before a word that is no single space: cut the text anew
         wrong[first] = False
@@ -308,13 +311,21 @@ class PieceEncoder:
         codes = np.insert(codes, at[1:], nothing - 1)
         pieces += [*heads, np.uint32(end_id).astype("<u4").tobytes(), b""]
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        flat, begin, n = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(size) - size, size[codes]
-        upto = np.cumsum(n)
-        small = np.int32 if max(len(flat), int(upto[-1]) if len(upto) else 0) < 1 << 30 else np.int64
-        place = np.repeat((begin[codes] - (upto - n)).astype(small), n)
-        place += np.arange(len(place), dtype=small)
-        last = at[1:] + np.arange(len(heads))  # where each text's end stands
-        return flat[place], np.diff(upto[last], prepend=0)
+        flat, begin = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(size) - size
+        ends, out, lengths = at[1:] + np.arange(1, len(heads) + 1), [], []  # where each text's codes end
+        a = 0
+        while a < len(ends):  # some texts at a time: the indices take several times the ids' own memory
+            start = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, start + self.GATHER, side="right")))
+            code = codes[start : int(ends[b - 1])]
+            n = size[code]
+            upto = np.cumsum(n)
+            place = np.repeat(begin[code] - (upto - n), n)
+            place += np.arange(len(place))
+            out.append(flat[place])
+            lengths.append(np.diff(upto[ends[a:b] - start - 1], prepend=0))
+            a = b
+        return np.concatenate(out), np.concatenate(lengths)
 
 
 def _chunks(texts: pa.Array):
@@ -367,7 +378,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("place"))
     rows = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "text")
     # the text writer puts bytes as they are; the line end after them lies beyond what the head describes
-    rows.mapInArrow(lean(run, keep=True), "image binary").select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    out = rows.mapInArrow(lean(run, keep=True), "image binary").select(F.col("image").cast("string").alias("value"))
+    with small_batches(docs.sparkSession):
+        out.write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_shards(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
