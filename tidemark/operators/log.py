@@ -85,3 +85,19 @@ def last_n(array, n: int = 20) -> F.Column:
     """The last n entries, all if fewer."""
     a = F.col(array) if isinstance(array, str) else array
     return F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), F.lit(n))
+
+
+def ingest_report(behaviors: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row: rows of both tables, null histories, first and last time."""
+    b = behaviors.agg(F.count(F.lit(1)).alias("behaviors"), F.count_if(F.col("history").isNull()).alias("null_histories"), F.min("time").alias("first"), F.max("time").alias("last"))
+    return b.crossJoin(catalog.agg(F.count(F.lit(1)).alias("items"))).select("behaviors", "items", "null_histories", "first", "last")
+
+
+def scale_factors(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """name, ratio (2 digits): rows of the first table over rows of the second, null if that is empty."""
+    out = None
+    for name, (large, small) in pairs.items():
+        both = large.agg(F.count(F.lit(1)).alias("a")).crossJoin(small.agg(F.count(F.lit(1)).alias("b")))
+        one = both.select(F.lit(name).alias("name"), F.round(F.try_divide("a", "b"), 2).alias("ratio"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -6,9 +6,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered, running_total
+
 
 def dominant_category(histories: DataFrame, catalog: DataFrame, key: str = "user_id") -> DataFrame:
     """key, dominant_category: most frequent category of known ids (key, item_id), ties to the smallest; else absent."""
@@ -73,13 +75,12 @@ def click_probability(rows: DataFrame, fitted) -> DataFrame:
 
 
 def log_loss_auc(scored: DataFrame, label: str = "clicked", p: str = "p") -> DataFrame:
-    """log_loss, auc (mean ranks of tied scores): scores are counted first, so the ranking window sees distinct scores."""
+    """log_loss, auc (mean ranks of tied scores): scores are counted first, then ranked in parts."""
     eps = 1e-15
     q = F.least(F.greatest(F.col(p), F.lit(eps)), F.lit(1 - eps))
     loss = scored.agg(F.avg(-(F.col(label) * F.log(q) + (1 - F.col(label)) * F.log(1 - q))).alias("log_loss"))
     by = scored.groupBy(p).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    below = F.sum("neg").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1))
-    auc = by.withColumn("below", F.coalesce(below, F.lit(0))).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    auc = running_total(by, p, "neg", "below").withColumn("below", F.col("below") - F.col("neg")).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
     return loss.crossJoin(auc)
 
 
@@ -97,8 +98,8 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 def collaborative_factors(clicks: DataFrame, k: int = 20):
     """Truncated SVD of the user x item click counts (duplicates add up): (user_id, u = U S), (item_id, v)."""
     spark = clicks.sparkSession
-    users = clicks.select("user_id").distinct().select("user_id", (F.row_number().over(Window.orderBy("user_id")) - 1).alias("r"))
-    items = clicks.select("item_id").distinct().select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("c"))
+    users = numbered(clicks.select("user_id").distinct(), "user_id", "r")
+    items = numbered(clicks.select("item_id").distinct(), "item_id", "c").withColumn("c", F.col("c").cast("int"))
     cells = clicks.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")).join(users, "user_id").join(items, "item_id")
     width = items.count()
     rows = cells.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("x")).rdd.map(
@@ -121,18 +122,23 @@ def collaborative_scores(log: DataFrame, u: DataFrame, v: DataFrame, popularity:
     return out.select(*log.columns, score.alias("score"), F.col("u").isNull().alias("fallback"))
 
 
-def sample_negatives(positives: DataFrame, catalog: DataFrame, clicked: DataFrame, n: int = 4, seed: int = 7, tries: int = 16) -> DataFrame:
-    """positives (user_id, item_id) with n negatives each, uniform over the catalog with replacement, never one that the
-    user clicked. Draws are hashes of (user, item, try, seed), so reruns agree; positives whose `tries` draws leave
-    fewer than n get those. The catalog is numbered and met by number."""
-    numbered = catalog.select("item_id").distinct().select(F.col("item_id").alias("negative_id"), F.row_number().over(Window.orderBy("item_id")).alias("place"))
+def sample_negatives(positives: DataFrame, catalog: DataFrame, clicked: DataFrame, n: int = 4, seed: int = 7) -> DataFrame:
+    """positives (user_id, item_id) with n negatives each, uniform over the catalog with replacement, never the positive
+    nor one that the user clicked; a user who clicked all of the catalog gets none.
+
+    The k-th free item of a user is found without listing the free ones: the user's clicked places, sorted, are shifted
+    by their own rank, and a draw among the free places moves past as many of them as it reaches. So every draw counts,
+    however much of the catalog the user clicked. Draws are hashes of (user, item, number, seed), so reruns agree."""
+    numbers = numbered(catalog.select("item_id").distinct(), "item_id")
     size = catalog.agg(F.countDistinct("item_id").alias("size"))
-    draws = positives.crossJoin(F.broadcast(size)).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(tries))))
-    draws = draws.withColumn("place", (F.pmod(F.xxhash64("user_id", "item_id", "t", F.lit(seed)), F.col("size")) + 1).cast("int"))
-    free = draws.join(numbered, "place").join(clicked.select("user_id", F.col("item_id").alias("negative_id")).distinct(), ["user_id", "negative_id"], "left_anti")
-    free = free.where("negative_id <> item_id")
-    first = F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy("t"))
-    return free.withColumn("rn", first).where(F.col("rn") <= n).select("user_id", "item_id", "negative_id")
+    taken = clicked.select("user_id", "item_id").unionByName(positives.select("user_id", "item_id")).distinct()
+    own = taken.join(numbers, "item_id").groupBy("user_id").agg(F.array_sort(F.collect_list("place")).alias("own"))  # one user's clicks
+    own = own.select("user_id", F.transform("own", lambda x, i: x - i).alias("shifted"))
+    draws = positives.join(own, "user_id", "left").crossJoin(F.broadcast(size)).withColumn("shifted", F.coalesce("shifted", F.array().cast("array<bigint>")))
+    draws = draws.withColumn("free", F.col("size") - F.size("shifted")).where("free > 0").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    draw = F.pmod(F.xxhash64("user_id", "item_id", "t", F.lit(seed)), F.col("free"))
+    draws = draws.withColumn("draw", draw).withColumn("place", F.col("draw") + F.size(F.filter("shifted", lambda x: x <= F.col("draw"))))
+    return draws.select("user_id", "item_id", "place").join(numbers.withColumnRenamed("item_id", "negative_id"), "place").select("user_id", "item_id", "negative_id")
 
 
 def training_examples(log: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import running_total
+
 #: Least content similarity that counts as evidence.
 GROUNDED = 0.05
 
@@ -21,7 +23,9 @@ def popular_fallback(requests: DataFrame, popularity: DataFrame, most: int = 50)
 def explain(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """items (user_id, item_id, category_match, content_similarity) -> with category, abstract (300 characters), refused,
     evidence and explanation. Refused without evidence; an item missing from the catalog raises."""
-    rows = items.join(catalog.select("item_id", "category", "abstract"), "item_id", "left")
+    rows = items.join(catalog.select("item_id", "category", "abstract", F.lit(True).alias("known")), "item_id", "left")
+    missing = F.raise_error(F.concat(F.lit("item missing from the catalog: "), F.col("item_id").cast("string")))
+    rows = rows.withColumn("category", F.when(F.coalesce("known", missing.cast("boolean")), F.col("category")))
     similar = F.col("content_similarity") >= GROUNDED
     match = F.col("category_match")
     clauses = F.array_compact(F.array(
@@ -55,14 +59,22 @@ def latency_percentiles(samples: DataFrame, value: str) -> DataFrame:
     """The four ways in use: interpolated; sorted[min(int(n p), n - 1)]; sorted[n // 2]; sorted[int(.99 n) - 1].
 
     Ranks come from counts of distinct values, so no list of all values is gathered."""
-    by = samples.groupBy(value).agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy(value)))
-    n = F.sum("c").over(Window.partitionBy())
+    by = samples.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
+    total = by.agg(F.sum("c").alias("n"))
+    upto = running_total(by, value, "c").crossJoin(F.broadcast(total))
     at = lambda i: F.min(F.when(F.col("upto") > i, F.col(value)))
-    ranks = by.withColumn("n", n).agg(
-        at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)).alias("p95_index"), at(F.floor(F.col("n") / 2)).alias("p50_half"), at(F.floor(F.col("n") * 0.99) - 1).alias("p99_before")
-    )
-    exact = samples.agg(F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"), F.percentile(value, F.lit(0.99)).alias("p99"))
-    return exact.crossJoin(ranks)
+
+    def between(p):  # the two ranks around p (n - 1)
+        x = (F.col("n") - 1) * p
+        return [at(F.floor(x)).alias(f"lo{p}"), at(F.ceil(x)).alias(f"hi{p}")]
+
+    ranks = upto.agg(
+        F.first("n").alias("n"), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)).alias("p95_index"), at(F.floor(F.col("n") / 2)).alias("p50_half"),
+        at(F.floor(F.col("n") * 0.99) - 1).alias("p99_before"), *[c for p in (0.5, 0.95, 0.99) for c in between(p)],
+    )
+    share = lambda p: (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
+    mid = [(F.col(f"`lo{p}`") + (F.col(f"`hi{p}`") - F.col(f"`lo{p}`")) * share(p)).alias(k) for p, k in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
+    return ranks.select(*mid, "p95_index", "p50_half", "p99_before")
 
 
 def rolling_quality(responses: DataFrame, last: int = 500) -> DataFrame:

@@ -18,13 +18,13 @@ def _by_score(x, y):
     return F.when(less, -1).when((x["neg"] == y["neg"]) & (x["item_id"] == y["item_id"]), 0).otherwise(1)
 
 
-def diverse_slate(candidates: DataFrame, k: int, cap: int = MAX_PER_CATEGORY, alike: float = NEAR_DUPLICATE, group: str = "impression_id") -> DataFrame:
+def diverse_slate(candidates: DataFrame, k: int, cap: int = MAX_PER_CATEGORY, alike: float = NEAR_DUPLICATE, group: str = "impression_id", places: str | None = None) -> DataFrame:
     """The slate of each group in the order of selection: group, place, item_id, score.
 
     Candidates (item_id, score, category, vec: map term -> weight or null) are taken by score, then id; one is passed
     over while its category (null never) has `cap` members or its cosine with a member is `alike` or more; places
-    still open go by score alone. A fold over the group's sorted array: a group is one impression's list."""
-    rows = candidates.groupBy(group).agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "item_id", "category", "vec")).alias("c"))
+    still open go by score alone. places names a column with a group's own number of places, at most k. A fold over the group's sorted array: a group is one impression's list."""
+    rows = candidates.groupBy(group).agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "item_id", "category", "vec")).alias("c"), (F.least(F.max(places), F.lit(k)) if places else F.lit(k)).alias("__k"))
     rows = rows.withColumn("c", F.array_sort("c", _by_score))
     kind = rows.schema["c"].dataType.simpleString()
     first = F.array().cast(kind)
@@ -32,13 +32,13 @@ def diverse_slate(candidates: DataFrame, k: int, cap: int = MAX_PER_CATEGORY, al
     def fits(acc, x):
         same = F.size(F.filter(acc, lambda y: y["category"] == x["category"]))
         near = F.exists(acc, lambda y: F.coalesce(_dot(x["vec"], y["vec"]) >= alike, F.lit(False)))
-        return (F.size(acc) < k) & (x["category"].isNull() | (same < cap)) & ~near
+        return (F.size(acc) < F.col("__k")) & (x["category"].isNull() | (same < cap)) & ~near
 
     chosen = F.aggregate("c", first, lambda acc, x: F.when(fits(acc, x), F.concat(acc, F.array(x)).cast(kind)).otherwise(acc))
     rows = rows.withColumn("sel", chosen)
     ids = F.transform("sel", lambda x: x["item_id"])
     rest = F.filter("c", lambda x: ~F.array_contains(ids, x["item_id"]))
-    slate = F.slice(F.concat("sel", rest), 1, k)
+    slate = F.slice(F.concat("sel", rest), F.lit(1), F.col("__k"))
     return rows.select(group, F.posexplode(slate).alias("p", "x")).select(group, (F.col("p") + 1).alias("place"), "x.item_id", (-F.col("x.neg")).alias("score"))
 
 
@@ -46,19 +46,20 @@ def freshness_quota(slate: DataFrame, candidates: DataFrame, least: int = MIN_FR
     """group, place, item_id, score, age_days: where a slate (place, item_id, score, age_days) has too few items of at
     most `days`, the best fresh candidates outside it come in for its worst stale ones, and the slate is sorted by
     score; others keep their order. With fewer stale members than fresh ones to come, the slate grows."""
-    fresh = F.col("age_days") <= days
-    need = slate.groupBy(group).agg((F.lit(least) - F.count_if(fresh)).alias("need")).where("need > 0")
-    pool = candidates.where(fresh).join(need, group).join(slate.select(group, "item_id"), [group, "item_id"], "left_anti")
-    pool = pool.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "item_id"))).where("r <= need")
-    come = pool.select(group, "item_id", "score", "age_days")
-    number = come.groupBy(group).agg(F.count(F.lit(1)).alias("in"))
-    marked = slate.join(number, group, "left").withColumn("stale", ~F.coalesce(fresh, F.lit(False)))
-    worst = Window.partitionBy(group, "stale").orderBy("score", F.desc("item_id"))
-    stay = marked.withColumn("w", F.row_number().over(worst)).where("in is null or not stale or w > in")
-    changed = stay.where("in is not null").select(group, "item_id", "score", "age_days").unionByName(come)
-    changed = changed.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "item_id")))
-    same = stay.where("in is null").select(group, "item_id", "score", "age_days", "place")
-    return same.unionByName(changed).select(group, "place", "item_id", "score", "age_days")
+    # One frame: slate members keep their place, candidates outside have none; windows by group do the rest.
+    inside = slate.select(group, "item_id", "score", "age_days", "place")
+    outside = candidates.select(group, "item_id", "score", "age_days", F.lit(None).cast("int").alias("place"))
+    rows = inside.unionByName(outside).groupBy(group, "item_id").agg(F.max("place").alias("place"), F.max_by("score", F.col("place").isNotNull()).alias("score"), F.max_by("age_days", F.col("place").isNotNull()).alias("age_days"))
+    member, fresh = F.col("place").isNotNull(), F.coalesce(F.col("age_days") <= days, F.lit(False))
+    all_ = Window.partitionBy(group)
+    rows = rows.withColumns({"need": F.greatest(F.lit(least) - F.count_if(member & fresh).over(all_), F.lit(0)), "members": F.count_if(member).over(all_), "pool": ~member & fresh, "stale": member & ~fresh})
+    rows = rows.where("members > 0")
+    best, worst = Window.partitionBy(group, "pool").orderBy(F.desc("score"), "item_id"), Window.partitionBy(group, "stale").orderBy("score", F.desc("item_id"))
+    rows = rows.withColumns({"r": F.row_number().over(best), "w": F.row_number().over(worst)})
+    rows = rows.withColumn("in", F.count_if(F.col("pool") & (F.col("r") <= F.col("need"))).over(all_))
+    rows = rows.where("(place is not null and (not stale or w > in)) or (pool and r <= need)")
+    again = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "item_id"))
+    return rows.select(group, F.when(F.col("in") > 0, again).otherwise(F.col("place")).alias("place"), "item_id", "score", "age_days")
 
 
 def age_days(time: str = "time", first_seen: str = "first_seen") -> F.Column:
@@ -83,8 +84,7 @@ def history_bucket(n) -> F.Column:
 
 def failure_segments(results: DataFrame) -> DataFrame:
     """Miss rates by bucket, cold and category_match in one pass over grouping sets; results: those columns and hit."""
-    results.createOrReplaceTempView("_failure_results")
     return results.sparkSession.sql("""
         SELECT CASE grouping_id(bucket, cold, category_match) WHEN 3 THEN concat('history ', bucket) WHEN 5 THEN concat('cold ', cold)
                WHEN 6 THEN concat('match ', category_match) ELSE 'all' END AS segment, count(*) AS n, 1 - avg(hit) AS miss_rate
-        FROM _failure_results GROUP BY GROUPING SETS ((bucket), (cold), (category_match), ())""")
+        FROM {results} GROUP BY GROUPING SETS ((bucket), (cold), (category_match), ())""", results=results)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -16,11 +18,38 @@ def norm(a) -> F.Column:
     return F.sqrt(dot(a, a))
 
 
-def exact_top_n(queries: DataFrame, items: DataFrame, n: int) -> DataFrame:
+def _blocks(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """Blocks of about `size` rows by a hash of the key: keys, flat (the vectors one after another)."""
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k is not null and v is not null")
+    parts = -(-rows.count() // size) or 1
+    lists = rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(parts)).alias("block")).agg(F.collect_list(F.struct("k", "v")).alias("x"))
+    return lists.select(F.transform("x", lambda e: e["k"]).alias(f"{key}_keys"), F.flatten(F.transform("x", lambda e: e["v"])).alias(f"{key}_flat"))
+
+
+def exact_top_n(queries: DataFrame, items: DataFrame, n: int, size: int = 2048) -> DataFrame:
     """query_id, item_id, score, rn: the n greatest inner products of each query (query_id, q) among items (item_id, v).
 
-    A stated query set is compared with all items in blocks: tasks keep n per query before the shuffle. Ties by id."""
-    pairs = items.crossJoin(F.broadcast(queries)).select("query_id", "item_id", dot("q", "v").alias("score"))
+    The stated query set meets all items block by block: a task multiplies two bounded blocks and keeps n per query of
+    it, and those meet by query. Neither side is broadcast or gathered. Ties go to the smaller id, null vectors are left out."""
+    kinds = queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    both = _blocks(items, "item_id", "v", size).crossJoin(_blocks(queries, "query_id", "q", size).hint("shuffle_replicate_nl"))
+
+    def run(batches):
+        for batch in batches:
+            for ids, flat, names, q in zip(*(batch.column(i) for i in range(4)), strict=True):
+                ids, names = ids.as_py(), names.as_py()
+                v, q = (x.values.to_numpy().reshape(k, -1) for x, k in ((flat, len(ids)), (q, len(names))))
+                out = ([], [], [])
+                for name, score in zip(names, q @ v.T, strict=True):
+                    edge = np.partition(score, len(score) - n)[len(score) - n] if n < len(score) else -np.inf
+                    best = sorted((-score[i], ids[i]) for i in np.flatnonzero(score >= edge).tolist())[:n]
+                    out[0].extend([name] * len(best))
+                    out[1].extend(i for _, i in best)
+                    out[2].extend(-x for x, _ in best)
+                types = batch.column(2).type.value_type, batch.column(0).type.value_type, pa.float64()
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["query_id", "item_id", "score"])
+
+    pairs = both.mapInArrow(run, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n)
 

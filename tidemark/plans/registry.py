@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import log as L
 from ..operators import models as M
+from ..operators import monitoring as MO
+from ..operators import recommend as RC
+from ..operators import towers as TW
 from ..operators import ranking as R
 from ..operators import serving as S
 from ..operators import slates as SL
@@ -194,16 +197,48 @@ def arr4_vocabulary(s, d):
     return X.vocabulary(_news(s, d), "subcategory")
 
 
-@query(""", l AS (SELECT impression_id, count(*) AS n FROM hist GROUP BY 1),
-  dc AS (SELECT impression_id, category AS dc FROM (SELECT impression_id, category, count(*) AS c FROM hist JOIN news USING (item_id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY impression_id ORDER BY c DESC, category) = 1)
-  SELECT impression_id, item_id, clicked, 0.0::DOUBLE AS retrieval_score, round(ln(1 + popularity), 6) AS popularity, CASE WHEN category = dc THEN 1.0 ELSE 0.0 END::DOUBLE AS category_match,
-    0.0::DOUBLE AS content_similarity, coalesce(n, 0)::INT AS user_history_length, hour(time)::INT AS hour_of_day
-  FROM cand JOIN news USING (item_id) LEFT JOIN pop USING (item_id) LEFT JOIN l USING (impression_id) LEFT JOIN dc USING (impression_id)""")
+#: Item vectors: the embeddings in turn; the last 20 clicks of each history; title weights and profiles.
+ITEMS = r""", vec AS (SELECT item_id, embedding::DOUBLE[] AS v FROM news JOIN embeddings ON vec_id = item_id % (SELECT count(*) FROM embeddings)),
+  l AS (SELECT impression_id, count(*) AS n FROM hist GROUP BY 1),
+  hp AS (SELECT impression_id, i, string_split(history, ' ')[i]::BIGINT AS item_id, len(string_split(history, ' ')) AS n FROM (SELECT impression_id, history, unnest(range(1, len(string_split(history, ' ')) + 1)) AS i FROM beh WHERE history IS NOT NULL)),
+  dc AS (SELECT impression_id, category AS dc FROM (SELECT impression_id, category, count(*) AS c FROM hist JOIN news USING (item_id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY impression_id ORDER BY c DESC, category) = 1),
+  rs AS (SELECT c.impression_id, c.item_id, avg(list_dot_product(a.v, b.v)) AS retrieval FROM cand c JOIN hp ON hp.impression_id = c.impression_id AND hp.i > hp.n - 20 JOIN vec a ON a.item_id = hp.item_id JOIN vec b ON b.item_id = c.item_id GROUP BY ALL),
+  w AS (SELECT item_id, unnest(regexp_extract_all(lower(title || ' '), '([\p{L}\p{N}_]{2,})')) AS term FROM news),
+  tf AS (SELECT item_id, term, count(*) AS tf FROM w GROUP BY ALL), st AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 5000),
+  rw AS (SELECT item_id, term, tf * (ln((1 + (SELECT count(*) FROM news)) / (1 + df)) + 1) AS w FROM tf JOIN st USING (term)),
+  tv AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM rw),
+  kn AS (SELECT impression_id, item_id FROM hist WHERE item_id IN (SELECT item_id FROM tv)),
+  ps AS (SELECT impression_id, term, sum(w) AS s FROM kn JOIN tv USING (item_id) GROUP BY ALL),
+  pf AS (SELECT impression_id, term, s / sqrt(sum(s * s) OVER (PARTITION BY impression_id)) AS p FROM ps),
+  cs AS (SELECT c.impression_id, c.item_id, sum(w * p) AS similarity FROM cand c JOIN tv ON tv.item_id = c.item_id JOIN pf ON pf.impression_id = c.impression_id AND pf.term = tv.term GROUP BY ALL)"""
+
+
+def _vectors(s, d):
+    e = A.table(s, d, "embeddings")
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    ids = _news(s, d).select("item_id").crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("item_id") % F.col("n"))
+    return ids.join(e, "vec_id").select("item_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
+def _positions(behaviors: DataFrame) -> DataFrame:
+    return behaviors.select("impression_id", F.posexplode(L.history_ids().cast("array<bigint>")).alias("pos", "item_id"))
+
+
+def _context(s, d, train=None):
+    return RC.Context(_cand(s, d) if train is None else train, _news(s, d), _vectors(s, d))
+
+
+@query(ITEMS + """ SELECT impression_id, item_id, clicked, round(coalesce(retrieval, 0), 5) AS retrieval_score, round(ln(1 + popularity), 6) AS popularity, CASE WHEN category = dc THEN 1.0 ELSE 0.0 END::DOUBLE AS category_match,
+    round(coalesce(similarity, 0), 5) AS content_similarity, coalesce(n, 0)::INT AS user_history_length, hour(time)::INT AS hour_of_day
+  FROM cand JOIN news USING (item_id) LEFT JOIN pop USING (item_id) LEFT JOIN l USING (impression_id) LEFT JOIN dc USING (impression_id) LEFT JOIN rs USING (impression_id, item_id) LEFT JOIN cs USING (impression_id, item_id)""")
 def ml11_ranking_rows(s, d):
+    rows = _feature_rows(s, d)
+    return rows.withColumns({"popularity": F.round("popularity", 6), "retrieval_score": F.round("retrieval_score", 5), "content_similarity": F.round("content_similarity", 5)})
+
+
+def _feature_rows(s, d):
     log = _cand(s, d)
-    none = s.createDataFrame([], "impression_id long, item_id long, similarity double")
-    rows = M.ranking_rows(log, _histories(A.behaviors(log)), _news(s, d), L.item_statistics(log), none, none.withColumnRenamed("similarity", "retrieval_score"))
-    return rows.withColumn("popularity", F.round("popularity", 6))
+    return RC.feature_rows(log, _positions(A.behaviors(log)), _context(s, d))
 
 
 def _embeddings(s, d):
@@ -252,23 +287,22 @@ def ml1_tfidf(s, d):
     return T.tfidf(docs, 2000).select("item_id", "term", F.round("w", 6).alias("w"))
 
 
-@query(TFIDF + """, me AS (SELECT source AS user_id, doc_id AS item_id FROM documents WHERE doc_id % 10 = 0),
+@query(TFIDF + """, me AS (SELECT source AS user_id, doc_id AS item_id FROM documents),
   kn AS (SELECT * FROM me WHERE item_id IN (SELECT item_id FROM v)), nn AS (SELECT user_id, count(*) AS n FROM kn GROUP BY 1),
   s AS (SELECT user_id, term, sum(w) / any_value(n) AS w FROM kn JOIN v USING (item_id) JOIN nn USING (user_id) GROUP BY ALL),
-  p AS (SELECT user_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY user_id)) AS p FROM s),
-  x AS (SELECT user_id, doc_id AS item_id FROM (SELECT DISTINCT user_id FROM me), documents WHERE doc_id % 50 = 1)
-  SELECT x.user_id, x.item_id, round(coalesce(sum(w * p), 0), 5) AS similarity FROM x LEFT JOIN v USING (item_id) LEFT JOIN p ON p.user_id = x.user_id AND p.term = v.term GROUP BY ALL""")
+  p AS (SELECT user_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY user_id)) AS p FROM s)
+  SELECT m.user_id, m.item_id, round(coalesce(sum(w * p), 0), 5) AS similarity FROM me m LEFT JOIN v USING (item_id) LEFT JOIN p ON p.user_id = m.user_id AND p.term = v.term GROUP BY ALL""")
 def ml2_content_similarity(s, d):
+    """Every document against the profile of its source's documents."""
     docs = A.table(s, d, "documents")
     w = T.tfidf(docs.select(F.col("doc_id").alias("item_id"), "text"), 2000)
-    members = docs.where("doc_id % 10 = 0").select(F.col("source").alias("user_id"), F.col("doc_id").alias("item_id"))
-    pairs = members.select("user_id").distinct().crossJoin(F.broadcast(docs.where("doc_id % 50 = 1").select(F.col("doc_id").alias("item_id"))))
-    return T.similarity(pairs, T.profiles(members, w), w).select("user_id", "item_id", F.round("similarity", 5).alias("similarity"))
+    pairs = docs.select(F.col("source").alias("user_id"), F.col("doc_id").alias("item_id"))
+    return T.similarity(pairs, T.profiles(pairs, w), w).select("user_id", "item_id", F.round("similarity", 5).alias("similarity"))
 
 
 def _fitted(s, d):
-    rows = ml11_ranking_rows(s, d)
-    return rows, M.fit_click_model(rows, ["category_match", "user_history_length", "hour_of_day", "popularity"])
+    rows = _feature_rows(s, d).cache()  # the solver passes over them once an iteration
+    return rows, M.fit_click_model(rows, list(RC.MODEL_FEATURES))
 
 
 @query()
@@ -494,3 +528,205 @@ def agg30_replay_hit_rate(s, d):
     top = L.popularity(log).orderBy(F.desc("popularity"), "item_id").limit(50).select("item_id", F.lit(1).alias("in"))
     hits = log.where("clicked = 1").join(F.broadcast(top), "item_id", "left").groupBy("impression_id").agg(F.max(F.coalesce("in", F.lit(0))).alias("hit"))
     return hits.agg(F.round(F.avg("hit"), 6).alias("hit_rate"), F.count(F.lit(1)).alias("impressions"))
+
+
+#: Every event as a served response: an error or a success, its latency, its number of items, what it used.
+SERVED = """, sv AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS outcome, value / 1000 AS latency_seconds, event_id % 7 AS n_items, event_type = 'signup' AS is_fallback,
+    event_type <> 'signup' AS durable_used, event_type IN ('view', 'click') AS recent_used FROM events),
+  co AS (SELECT count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'error') AS error, coalesce(sum(latency_seconds) FILTER (outcome = 'success'), 0) AS latency_sum,
+    count(*) FILTER (outcome = 'success' AND n_items = 0) AS empty, count(*) FILTER (outcome = 'success' AND is_fallback) AS fallback, count(*) FILTER (outcome = 'success' AND durable_used) AS durable_hit,
+    count(*) FILTER (outcome = 'success' AND NOT durable_used) AS durable_miss, count(*) FILTER (outcome = 'success' AND recent_used) AS recent_hit, count(*) FILTER (outcome = 'success' AND NOT recent_used) AS recent_miss FROM sv)"""
+
+
+def _served(s, d):
+    kind = F.col("event_type")
+    return A.table(s, d, "events").select(
+        F.col("event_id").alias("seq"), F.when(kind == "error", "error").otherwise("success").alias("outcome"), (F.col("value") / 1000).alias("latency_seconds"), (F.col("event_id") % 7).alias("n_items"),
+        (kind == "signup").alias("is_fallback"), (kind != "signup").alias("durable_used"), kind.isin("view", "click").alias("recent_used"),
+    )
+
+
+@query(SERVED + " SELECT success, error, round(latency_sum, 6) AS latency_sum, empty, fallback, durable_hit, durable_miss, recent_hit, recent_miss FROM co")
+def agg28_counters(s, d):
+    return MO.counters(_served(s, d)).withColumn("latency_sum", F.round("latency_sum", 6))
+
+
+@query(SERVED + """ SELECT success + error AS total_requests, round(error / (success + error), 6) AS error_rate, round(latency_sum / success * 1000, 6) AS mean_latency_ms, round(fallback / (success + error), 6) AS fallback_rate,
+    round(empty / (success + error), 6) AS empty_response_rate, round(durable_hit / (durable_hit + durable_miss), 6) AS durable_cache_hit_rate, round(recent_hit / (recent_hit + recent_miss), 6) AS recent_cache_hit_rate FROM co""")
+def agg27_dashboard(s, d):
+    b = MO.dashboard(MO.counters(_served(s, d)))
+    return b.select("total_requests", *[F.round(c, 6).alias(c) for c in b.columns[1:]])
+
+
+@query(""", q AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE event_type <> 'error')
+  SELECT (SELECT count(*) FROM events) AS requests, (SELECT count(*) FROM events WHERE event_type = 'error') AS errors, round((SELECT avg((event_type = 'error')::INT) FROM events), 6) AS error_rate, round((SELECT count(*) FROM events) / 60.0, 6) AS throughput,
+    max(CASE WHEN i = least(n * 50 // 100, n - 1) THEN v END) AS p50_ms, max(CASE WHEN i = least(n * 95 // 100, n - 1) THEN v END) AS p95_ms, max(CASE WHEN i = least(n * 99 // 100, n - 1) THEN v END) AS p99_ms FROM q""")
+def agg29_load_summary(s, d):
+    r = A.table(s, d, "events").select(F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("failed"))
+    return MO.load_summary(r, 60.0).withColumns({c: F.round(c, 6) for c in ("error_rate", "throughput")})
+
+
+SLOTS = """, so AS (SELECT event_id AS seq, json_extract_string(props, '$.k') AS item_id, value AS score, event_type AS category FROM events)"""
+
+
+@query(SLOTS + """, nw AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM (SELECT * FROM so ORDER BY seq DESC, item_id DESC LIMIT 5000)),
+  pi AS (SELECT item_id, count(*) AS c FROM so GROUP BY 1)
+  SELECT round((SELECT avg(score) FROM nw), 6) AS score_mean, (SELECT score FROM nw WHERE i = n // 2) AS score_p50, (SELECT score FROM nw WHERE i = floor(n * 0.9)) AS score_p90,
+    round((SELECT avg(x) FROM (SELECT count(DISTINCT category) AS x FROM so GROUP BY seq ORDER BY seq DESC LIMIT 500)), 6) AS mean_diversity, round((SELECT count(*) FROM pi) / 2000, 6) AS catalog_coverage,
+    round((SELECT sum(c) FROM (SELECT c FROM pi ORDER BY c DESC, item_id LIMIT 10)) / (SELECT sum(c) FROM pi), 6) AS top_n_concentration""")
+def agg26_quality_snapshot(s, d):
+    slots = A.table(s, d, "events").select(F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").alias("item_id"), F.col("value").alias("score"), F.col("event_type").alias("category"))
+    out = MO.quality_snapshot(slots, 2000)
+    return out.select("score_p50", "score_p90", *[F.round(c, 6).alias(c) for c in ("score_mean", "mean_diversity", "catalog_coverage", "top_n_concentration")])
+
+
+@query("SELECT max_by(CASE WHEN event_type = 'click' THEN value END, event_id) FILTER (event_type = 'click') AS clicks, max_by(value, event_id) AS any_value FROM events")
+def agg31_latest_gauges(s, d):
+    e = A.table(s, d, "events").select("event_id", F.when(F.col("event_type") == "click", F.col("value")).alias("clicks"), F.col("value").alias("any_value"))
+    return MO.latest_gauges(e, ["clicks", "any_value"], "event_id")
+
+
+@query("SELECT (ceil(step / 500.0) * 500)::BIGINT AS step, round(avg(value), 6) AS mean_loss FROM (SELECT row_number() OVER (ORDER BY event_id) AS step, value FROM events) GROUP BY 1 HAVING count(*) = 500")
+def win9_loss_checkpoints(s, d):
+    """The events' values in place of losses, numbered from the ids' order."""
+    e = A.table(s, d, "events").select("event_id", "value", F.lit(1).alias("one"))
+    from ..functions.ordering import running_total
+
+    steps = running_total(e, "event_id", "one", "step").select("step", F.col("value").alias("loss"))
+    return MO.loss_checkpoints(steps).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
+@query("""SELECT count(*) AS behaviors, (SELECT count(*) FROM news) AS items, count(*) FILTER (history IS NULL) AS null_histories, min(time) AS first, max(time) AS last FROM beh""")
+def agg5_ingest_report(s, d):
+    return L.ingest_report(_beh(s, d), _news(s, d))
+
+
+@query("""SELECT 'behaviors' AS name, round((SELECT count(*) FROM beh) / (SELECT count(*) FROM customer), 2) AS ratio UNION ALL SELECT 'items', round((SELECT count(*) FROM news) / (SELECT count(*) FROM supplier), 2)""")
+def agg7_scale_factors(s, d):
+    """How many times as large one table is as another."""
+    return L.scale_factors({"behaviors": (_beh(s, d), A.table(s, d, "customer")), "items": (_news(s, d), A.table(s, d, "supplier"))})
+
+
+@query("SELECT impression_id, string_agg(DISTINCT item_id, ' ' ORDER BY item_id) AS clicked_ids FROM cand WHERE clicked = 1 GROUP BY 1")
+def agg9_clicked_sets(s, d):
+    c = TW.clicked_sets(_cand(s, d))
+    return c.select("impression_id", F.array_join(F.col("clicked_ids").cast("array<string>"), " ").alias("clicked_ids"))
+
+
+CODES = """, ct AS (SELECT category, dense_rank() OVER (ORDER BY category) AS cat FROM (SELECT DISTINCT category FROM news)), sb AS (SELECT subcategory, dense_rank() OVER (ORDER BY subcategory) AS subcat FROM (SELECT DISTINCT subcategory FROM news)),
+  ic AS (SELECT item_id, cat, subcat FROM news JOIN ct USING (category) JOIN sb USING (subcategory) WHERE item_id % 3 > 0)"""
+
+
+@query(CODES + """, x AS (SELECT impression_id, string_split(history, ' ') AS h FROM beh WHERE history IS NOT NULL),
+  y AS (SELECT impression_id, i, h[i]::BIGINT AS item_id FROM (SELECT impression_id, h, unnest(range(greatest(len(h) - 19, 1), len(h) + 1)) AS i FROM x))
+  SELECT impression_id, string_agg(coalesce(cat, 0) || ':' || coalesce(subcat, 0) || ':' || (cat IS NOT NULL)::INT, ' ' ORDER BY i) AS codes FROM y LEFT JOIN ic USING (item_id) GROUP BY 1""")
+def arr3_encoded_history(s, d):
+    """Histories against a vocabulary that lacks each third item, so that gaps occur."""
+    codes = TW.item_codes(_news(s, d)).where("item_id % 3 > 0")
+    h = _beh(s, d).where("history is not null").select("impression_id", L.history_ids().cast("array<bigint>").alias("ids"))
+    e = TW.encode_histories(h, codes)
+    return e.select("impression_id", F.array_join(F.transform("codes", lambda x: F.concat_ws(":", x["cat"].cast("string"), x["subcat"].cast("string"), x["mask"].cast("string"))), " ").alias("codes"))
+
+
+def _trained(s, d, steps=6):
+    log, codes = _cand(s, d), TW.item_codes(_news(s, d)).cache()
+    encoded = TW.encode_histories(_beh(s, d).select("impression_id", L.history_ids().cast("array<bigint>").alias("ids")), codes).cache()
+    size = codes.agg(F.max("cat").alias("c"), F.max("subcat").alias("s")).first()
+    model = TW.TwoTowers(size["c"], size["s"], dim=16)
+    return model, model.train(TW.examples(log, encoded, codes).cache(), steps), codes, encoded
+
+
+@query()
+def ml6_training_losses(s, d):
+    losses = _trained(s, d)[1]
+    return s.createDataFrame([(i + 1, float(x)) for i, x in enumerate(losses)], "step int, loss double")
+
+
+@query()
+def ml12_evaluate_retrieval(s, d):
+    model, _, codes, encoded = _trained(s, d)
+    users = model.user_vectors(encoded).withColumnRenamed("impression_id", "query_id")
+    return TW.evaluate_retrieval(users, model.item_vectors(codes), _cand(s, d), _news(s, d).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(ITEMS + METRICS.replace("pop USING (item_id))", "pop USING (item_id) LEFT JOIN cs USING (impression_id, item_id) LEFT JOIN (SELECT DISTINCT impression_id, TRUE AS has FROM kn) USING (impression_id))", 1)
+       .replace("ORDER BY popularity DESC, item_id", "ORDER BY CASE WHEN has THEN round(coalesce(similarity, 0), 9) ELSE popularity END DESC, item_id") + """
+  SELECT round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, round((SELECT count(DISTINCT item_id) FROM r WHERE rn <= 3) / (SELECT count(*) FROM news), 6) AS coverage,
+    count(*) AS impressions, (SELECT count(*) FROM imp) - (SELECT count(DISTINCT impression_id) FROM kn) AS fallbacks FROM k""")
+def ml13_evaluate_content(s, d):
+    log, x = _cand(s, d), _context(s, d)
+    pop = log.join(L.popularity(log), "item_id").withColumn("popularity", F.col("popularity").cast("double"))
+    known = _histories(A.behaviors(log)).select("impression_id", "item_id").join(x.weights.select("item_id").distinct(), "item_id", "left_semi")
+    scored = RC.content_scores(pop, known, x).withColumn("score", F.round("score", 9))
+    size = _news(s, d).agg(F.count(F.lit(1)).alias("n"))
+    fell = scored.where("fallback").agg(F.countDistinct("impression_id").alias("fallbacks"))
+    e = R.evaluation(scored, "score", size, 3).crossJoin(F.broadcast(fell))
+    return e.select(*[F.round(c, 6).alias(c) for c in ("hit", "recall", "ndcg", "mrr", "coverage")], "impressions", "fallbacks")
+
+
+@query()
+def ml13_evaluate_baselines(s, d):
+    log = L.time_split(_cand(s, d), 7)
+    train, valid = log.where("split = 'train'"), log.where("split = 'validation'")
+    return RC.evaluate_baselines(valid, _positions(_beh(s, d)).join(valid.select("impression_id").distinct(), "impression_id"), _context(s, d, train), train)
+
+
+@query()
+def ml14_evaluate_ranker(s, d):
+    """The click model, its ablation without the retrieval score, and the retrieval score alone."""
+    rows, fitted = _fitted(s, d)
+    return RC.evaluate_ranker(rows, {"model": fitted, "no_retrieval_score": M.fit_click_model(rows, list(RC.NO_RETRIEVAL))}, _news(s, d))
+
+
+def _rerank_candidates(s, d):
+    return _slate_candidates(s, d).withColumn("vec", F.lit(None).cast("map<string,double>"))
+
+
+RR3 = RR2.replace("""sl AS (SELECT *, row_number() OVER (PARTITION BY impression_id ORDER BY score DESC, item_id) AS place FROM ca QUALIFY place <= 2)""",
+    """nt AS (SELECT *, row_number() OVER (PARTITION BY impression_id, category ORDER BY score DESC, item_id) AS nth FROM ca), sl AS (SELECT * EXCLUDE (nth), row_number() OVER (PARTITION BY impression_id ORDER BY nth > 1, score DESC, item_id) AS place FROM nt QUALIFY place <= 2)""")
+
+
+def _slate_sql(name, slate):
+    return f"""SELECT '{name}' AS variant, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, round(avg(cats), 6) AS categories, round(avg(mx), 6) AS most_of_one, round(avg(age), 6) AS mean_age,
+    round(avg(fs), 6) AS fresh_share, round(avg(bq::INT), 6) AS below_quota_share, count(*) AS impressions, (SELECT count(DISTINCT item_id) FROM {slate}) AS distinct_items, round((SELECT count(DISTINCT item_id) FROM {slate}) / (SELECT count(*) FROM news), 6) AS coverage
+    FROM (SELECT impression_id, max(CASE WHEN rn <= 2 THEN clicked ELSE 0 END)::DOUBLE AS hit, CASE WHEN any_value(total) > 0 THEN sum(CASE WHEN rn <= 2 THEN clicked ELSE 0 END) / any_value(total) ELSE 0 END AS recall,
+      CASE WHEN any_value(total) > 0 THEN sum(CASE WHEN rn <= 2 THEN clicked / log2(rn + 1) ELSE 0 END) / (CASE WHEN any_value(total) = 1 THEN 1 ELSE 1 + 1 / log2(3) END) ELSE 0 END AS ndcg, coalesce(1 / min(CASE WHEN clicked = 1 THEN rn END), 0) AS mrr,
+      avg(age_days) AS age, avg((age_days <= 100)::INT) AS fs, count(*) FILTER (age_days <= 100) < 2 AS bq FROM (SELECT f.*, c.clicked, row_number() OVER (PARTITION BY f.impression_id ORDER BY place) AS rn, t.total FROM {slate} f JOIN ca c USING (impression_id, item_id)
+      JOIN (SELECT impression_id, sum(clicked) AS total FROM ca GROUP BY 1) t USING (impression_id)) GROUP BY 1)
+    JOIN (SELECT impression_id, count(DISTINCT category) AS cats, max(c) AS mx FROM (SELECT impression_id, category, count(*) AS c FROM {slate} JOIN news USING (item_id) GROUP BY ALL) GROUP BY 1) USING (impression_id)"""
+
+
+@query(RR3 + """, pl AS (SELECT impression_id, row_number() OVER (PARTITION BY impression_id ORDER BY score DESC, item_id) AS place, item_id, score, age_days FROM ca QUALIFY place <= 2) """ + _slate_sql("ranked_only", "pl") + " UNION ALL " + _slate_sql("reranked", "fi"))
+def rr3_evaluate_reranking(s, d):
+    e = RC.evaluate_reranking(_rerank_candidates(s, d), _news(s, d).agg(F.count(F.lit(1)).alias("n")), k=2, cap=1, days=100.0)
+    return e.select("variant", *[F.round(c, 6).alias(c) for c in ("hit", "recall", "ndcg", "mrr", "categories", "most_of_one", "mean_age", "fresh_share", "below_quota_share", "coverage")], "impressions", "distinct_items")
+
+
+def _recommended(s, d):
+    behaviors = _beh(s, d).cache()
+    requests = A.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), (1 + F.col("c_custkey") % 10).cast("int").alias("num_candidates"), F.lit("2024-06-01 12:00:00").cast("timestamp_ntz").alias("request_time"))
+    recent = C.recomputed(A.events(s, d).withColumnRenamed("ts", "timestamp"))
+    rows, fitted = _fitted(s, d)
+    return RC.safe_recommend(requests, M.durable_features(behaviors, _news(s, d)), recent, _context(s, d), fitted)
+
+
+@query()
+def rr4_recommend(s, d):
+    return _recommended(s, d).withColumns({c: F.round(c, 6) for c in ("score", "retrieval_score", "content_similarity")})
+
+
+@query()
+def rr7_explained_recommendations(s, d):
+    return S.explain(RC.explanation_requests(_recommended(s, d)), _news(s, d)).select("user_id", "item_id", "refused", F.array_join("evidence", ",").alias("evidence"), "explanation")
+
+
+@query()
+def agg30_replay_recommended(s, d):
+    return RC.replay_hit_rate(_cand(s, d), _recommended(s, d))
+
+
+@query(ONLINE + """, tm AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT DISTINCT user_id, ts FROM ev))
+  SELECT t.user_id, t.ts AS cutoff, count(*) FILTER (e.event_type = 'impression') AS impressions, count(*) FILTER (e.event_type = 'click') AS clicks, TRUE AS matches
+  FROM tm t JOIN ev e ON e.user_id = t.user_id AND e.ts <= t.ts WHERE n >= 5 AND (i = 1 OR i = n // 2 + 1 OR i = n) GROUP BY ALL""")
+def stm10_parity(s, d):
+    return C.parity(A.events(s, d).withColumnRenamed("ts", "timestamp"))

@@ -104,3 +104,34 @@ def lag_report(progress: dict) -> list[dict]:
             for p, x in parts.items():
                 out.append({"topic": topic, "partition": p, "lag": max(x - end.get(topic, {}).get(p, 0), 0)})
     return out
+
+
+def recent_features(states: DataFrame) -> DataFrame:
+    """User states as the features that a request looks up: user_id, recent, impressions, clicks, last_event_time."""
+    return states.select("user_id", F.coalesce("recent", F.array().cast("array<string>")).alias("recent"), "impressions", "clicks", "last_event_time")
+
+
+def parity(events: DataFrame, least_times: int = 5) -> DataFrame:
+    """user_id, cutoff, impressions, clicks, matches: for every user with at least `least_times` distinct times, at the
+    first, the middle and the last of these, whether the running state equals what is recomputed from the log up to the
+    cutoff. The state runs over the user's events in arrival order; the recomputation aggregates the events up to each
+    cutoff by itself. events: event_id, event_type, user_id, item_id, timestamp."""
+    times = events.select("user_id", "timestamp").distinct()
+    by = Window.partitionBy("user_id")
+    times = times.withColumns({"i": F.row_number().over(by.orderBy("timestamp")), "n": F.count(F.lit(1)).over(by)})
+    cuts = times.where((F.col("n") >= least_times) & F.expr("i = 1 or i = n div 2 + 1 or i = n")).select("user_id", F.col("timestamp").alias("cutoff"))
+    running = by.orderBy("timestamp").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    kind = F.col("event_type")
+    clicks = F.collect_list(F.when(kind == "click", F.struct("timestamp", "event_id", "item_id"))).over(running)
+    state = events.select(
+        "user_id", "timestamp", F.count_if(kind == "impression").over(running).alias("impressions"), F.count_if(kind == "click").over(running).alias("clicks"),
+        F.transform(F.slice(F.array_sort(clicks), F.greatest(F.size(clicks) - RECENT + 1, F.lit(1)), F.lit(RECENT)), lambda x: x["item_id"]).alias("recent"),
+    ).dropDuplicates(["user_id", "timestamp"])
+    online = cuts.join(state, (state["user_id"] == cuts["user_id"]) & (state["timestamp"] == cuts["cutoff"])).select(cuts["user_id"], "cutoff", "impressions", "clicks", "recent")
+    named = cuts.select(F.struct("user_id", "cutoff").alias("key"), F.col("user_id").alias("u"), "cutoff")
+    upto = named.join(events, (F.col("u") == events["user_id"]) & (events["timestamp"] <= F.col("cutoff")))
+    again = recomputed(upto.select(F.col("key").alias("user_id"), "event_id", "event_type", "item_id", "timestamp"))
+    again = again.select(F.col("user_id.user_id").alias("user_id"), F.col("user_id.cutoff").alias("cutoff"), F.col("impressions").alias("i2"), F.col("clicks").alias("c2"), F.col("recent").alias("r2"))
+    both = online.join(again, ["user_id", "cutoff"])
+    same = (F.col("impressions") == F.col("i2")) & (F.col("clicks") == F.col("c2")) & (F.col("recent") == F.col("r2"))
+    return both.select("user_id", "cutoff", "impressions", "clicks", same.alias("matches"))
