@@ -289,7 +289,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     alike = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     others = scratch.save(others.select(*named(F.col("doc_id"), F.col("text_hash")), alike.alias("alike")).distinct(), "others")
     own = docs.select(*named(F.col("doc_id").cast("long"), F.xxhash64("text")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
-    out = own.join(others.where("not alike"), key, "left_anti")
+    out = own.join(others.where("not alike").hint("merge"), key, "left_anti")  # grows with the corpus: shuffled at every size
     twice = others.where("alike").drop("alike")
     if twice.limit(1).count():  # rows that repeat the very id and text that stays
         out = out.join(twice, key, "left_anti").unionByName(out.join(twice, key, "left_semi").dropDuplicates(key))
