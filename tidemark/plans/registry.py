@@ -258,14 +258,14 @@ def top3_exact_neighbours(s, d):
 def jn11_cell_neighbours(s, d):
     e, q = _embeddings(s, d)
     indexed, centres = X.build_cells(e, 16)
-    return X.cell_top_n(q, indexed, centres, 10, 8).select("query_id", "item_id", "rn")
+    return X.cell_top_n(q, indexed, centres, 10, 12).select("query_id", "item_id", "rn")
 
 
 @query()
 def set3_cell_recall(s, d):
     e, q = _embeddings(s, d)
     indexed, centres = X.build_cells(e, 16)
-    return R.overlap_share(X.exact_top_n(q, e, 10), X.cell_top_n(q, indexed, centres, 10, 8), "query_id", "item_id", 10)
+    return R.overlap_share(X.exact_top_n(q, e, 10), X.cell_top_n(q, indexed, centres, 10, 12), "query_id", "item_id", 10)
 
 
 @query("""SELECT label AS user_id, i::INT AS i, round(avg(x), 5) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY ALL""")
