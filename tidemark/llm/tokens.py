@@ -217,7 +217,8 @@ class PieceEncoder:
     RUNS = re.compile(f"[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|\n")
     WORD = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")  # the commonest pieces
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int | None = None):
+        self.KEEP = keep or self.KEEP
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -233,13 +234,13 @@ class PieceEncoder:
         self.plain_model = isinstance(own, pre_tokenizers.ByteLevel) and own.use_regex and not own.add_prefix_space and tokenizer.normalizer is None
 
     @classmethod
-    def of_worker(cls, path: str) -> PieceEncoder:
+    def of_worker(cls, path: str, keep: int | None = None) -> PieceEncoder:
         """The worker's own encoder: what one task has learned serves the next. Kept outside of this code's module,
         which travels to the workers with every task anew; other operators' tasks free it (shared.lean)."""
         held = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__.setdefault("encoders", {})
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
+        if (path, keep) not in held:
+            held[path, keep] = cls(path, keep)
+        return held[path, keep]
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -338,15 +339,15 @@ def _chunks(texts: pa.Array):
         i = j
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
+def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, keep: int | None = None) -> None:
     """Shards under path, one file each (WaveletFile): documents in ascending id order, nulls first.
 
     Rows are dealt by ranges of id and a hash of the text, so that rows that share an id, or have none, can be parted;
     a task writes shards one after another. Each shard holds at most shard_ids ids and one document. Ids take as many
-    bits as the vocabulary's largest needs. Spark's text writer commits the files: a task or executor that fails leaves none."""
+    bits as the vocabulary's largest needs. keep bounds the runs that a worker remembers (PieceEncoder.KEEP). Spark's text writer commits the files: a task or executor that fails leaves none."""
 
     def run(batches):
-        encoder = PieceEncoder.of_worker(tokenizer_path)
+        encoder = PieceEncoder.of_worker(tokenizer_path, keep)
         bits = max(encoder.largest, end_id, 1).bit_length()
         part, seq, held, lengths, names, nulls, n = TaskContext.get().partitionId(), 0, [], [], [], 0, 0
 
@@ -412,10 +413,10 @@ def read_shards(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     return out.select("doc_id", (F.col("p0") + F.col("s0") + F.col("at")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, keep: int | None = None) -> DataFrame:
     """Writes the shards and reads them back: doc_id, start, n_tokens, ids_crc32. Null text is empty (one id, the end);
     null ids come first; rows with one id follow each other by a hash of the text. Extra columns are ignored; an empty
     table gives no shard and an empty result."""
     scratch = Scratch(docs.sparkSession, "tokens")
-    write_shards(docs, tokenizer_path, scratch.path("shards"), end_id)
+    write_shards(docs, tokenizer_path, scratch.path("shards"), end_id, keep=keep)
     return read_shards(docs.sparkSession, scratch.path("shards"), scratch)
