@@ -9,6 +9,9 @@ from tidemark.llm import decontaminate, minhash, mixing, quality, tokens
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.shared import Scratch, table
 
+#: Runs of letters that an encoding worker remembers: fewer than for encoding alone, as the stages before have left their mark on memory.
+RUNS_KEPT = 150_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; null and empty texts have a score like any other. Rows are
@@ -37,7 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shards' content: doc_id, start, n_tokens, ids_crc32 of every copy; a null text has the end id only."""
-    return tokens.encode_documents(docs, tokenizer_path())
+    return tokens.encode_documents(docs, tokenizer_path(), keep=RUNS_KEPT)
 
 
 STAGES = [
@@ -48,7 +51,7 @@ STAGES = [
     ("token output", token_stage),
 ]
 
-#: Trained models, MinHash and BPE have no SQL form; tests compare the stages with brute force.
+#: Trained models, MinHash and BPE have no SQL form; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
