@@ -1,4 +1,6 @@
+import collections
 import datetime as dt
+import random
 
 import pytest
 
@@ -10,30 +12,55 @@ def behaviors(spark, rows):
     return spark.createDataFrame(rows, "impression_id long, user_id string, time timestamp_ntz, history string, impressions string")
 
 
-T0 = dt.datetime(2019, 11, 11, 9, 5, 58)
+T0 = dt.datetime(2021, 2, 27, 9, 40, 3)
 
 
-def test_explode_keeps_dashes_and_order(spark):
-    b = behaviors(spark, [(1, "U1", T0, "N1 N2", "N-1-1  N2-0"), (2, "U2", T0, None, "N3-0")])
-    got = [tuple(r) for r in log.explode_impressions(b).select("impression_id", "pos", "item_id", "clicked").orderBy("impression_id", "pos").collect()]
-    assert got == [(1, 0, "N-1", 1), (1, 1, "N2", 0), (2, 0, "N3", 0)]
+def shown(seed, n=60):
+    """Impressions of items whose names hold dashes, with runs of white space between them."""
+    r, rows = random.Random(seed), []
+    for i in range(n):
+        c = [(f"item-{r.randint(1, 9)}-{r.choice('uvw')}", r.randint(0, 1)) for _ in range(r.randint(1, 6))]
+        rows.append((i, f"user{r.randint(1, 5)}", T0 + dt.timedelta(hours=r.randint(0, 90)), None, c))
+    return rows
 
 
-def test_ctr_and_rank(spark):
-    c = log.explode_impressions(behaviors(spark, [(1, "U", T0, None, "N1-1 N2-0"), (2, "U", T0, None, "N3-0")]))
-    news = spark.createDataFrame([("N1", "sports"), ("N2", "sports"), ("N3", "news")], "item_id string, category string")
-    got = {r["category"]: tuple(r)[1:] for r in log.ctr_by_category(c, news).collect()}
-    assert got == {"sports": (2, 1, 0.5, 1), "news": (1, 0, 0.0, 2)}
+def encoded(rows, gap):
+    return [(i, u, t, h, gap.join(f"{a}-{b}" for a, b in c)) for i, u, t, h, c in rows]
 
 
-def test_split_last_day_and_leak(spark):
-    times = [dt.datetime(2019, 11, 9, 10), dt.datetime(2019, 11, 10, 10), dt.datetime(2019, 11, 11, 8), dt.datetime(2019, 11, 11, 20)]
-    s = log.time_split(behaviors(spark, [(i, "U", t, None, "A-0") for i, t in enumerate(times)]))
-    assert [r["split"] for r in s.orderBy("time").collect()] == ["train", "train", "validation", "validation"]
+def test_explode_parts_at_the_last_dash(spark):
+    rows = shown(1)
+    got = collections.defaultdict(dict)
+    for r in log.explode_impressions(behaviors(spark, encoded(rows, " \t "))).collect():
+        got[r["impression_id"]][r["pos"]] = (r["item_id"], r["clicked"])
+    assert all([got[i][p] for p in sorted(got[i])] == c for i, _, _, _, c in rows)
+
+
+def test_rates_against_counting(spark):
+    rows = shown(2)
+    kind = {f"item-{i}-{x}": f"kind{i % 4}" for i in range(1, 9) for x in "uvw"}  # items 9 are in no catalog
+    count = collections.Counter((kind[a], b) for *_, c in rows for a, b in c if a in kind)
+    want = {k: (count[k, 0] + count[k, 1], count[k, 1]) for k in set(kind.values())}
+    catalog = spark.createDataFrame(list(kind.items()), "item_id string, category string")
+    got = log.ctr_by_category(log.explode_impressions(behaviors(spark, encoded(rows, " "))), catalog).collect()
+    assert {r["category"]: (r["impressions"], r["clicks"]) for r in got} == want
+    for r in got:
+        assert r["ctr"] == round(r["clicks"] / r["impressions"], 4)
+        assert r["ctr_rank"] == 1 + sum(c / n > r["clicks"] / r["impressions"] for n, c in want.values())
+
+
+@pytest.mark.parametrize("days", [1, 2, 4])
+def test_split_at_midnight_and_leaks(spark, days):
+    rows = shown(3)
+    last = max(r[2] for r in rows)
+    cut = dt.datetime(last.year, last.month, last.day) - dt.timedelta(days=days - 1)
+    s = log.time_split(behaviors(spark, encoded(rows, " ")), days).cache()
+    assert {r["impression_id"]: r["split"] for r in s.collect()} == {r[0]: "train" if r[2] < cut else "validation" for r in rows}
     train, valid = s.where("split = 'train'"), s.where("split = 'validation'")
     validation.assert_ordered(train, valid)
-    with pytest.raises(ValueError):
-        validation.assert_ordered(valid, train)
+    if train.count():
+        with pytest.raises(ValueError):
+            validation.assert_ordered(valid, train)
 
 
 def test_read_files_and_validate(spark, tmp_path):
@@ -41,7 +68,7 @@ def test_read_files_and_validate(spark, tmp_path):
     news = files.read_news(spark, str(tmp_path / "news.tsv")).orderBy("news_id").collect()
     assert news[0]["abstract"] is None and news[0]["title_entities"] == "[]" and news[0]["abstract_entities"] == "NA"
     assert news[1]["title"] == 'Quoted "a"'
-    (tmp_path / "beh.tsv").write_text("1\tU1\t11/11/2019 9:05:58 AM\tN1 N2\tN1-1 N2-0\n2\tU2\t11/11/2019 1:05:58 PM\t\tN1-0\n")
+    (tmp_path / "beh.tsv").write_text("1\tU1\t2/27/2021 9:40:03 AM\tN1 N2\tN1-1 N2-0\n2\tU2\t2/27/2021 1:40:03 PM\t\tN1-0\n")
     rows = files.read_behaviors(spark, str(tmp_path / "beh.tsv")).orderBy("impression_id").collect()
     assert rows[0]["time"] == T0 and rows[1]["time"].hour == 13 and rows[1]["history"] is None
     (tmp_path / "twice.tsv").write_text("N1\ta\tb\tT\t\tu\t[]\t[]\n" * 2)
