@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,10 +160,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     confirmed for a family that none of its lines is confirmed for. A bound from the trained weights spares only those
     whose score must be the unknown class's. Null and empty texts have no row; repeated rows are scanned each; extra
     columns are ignored."""
-    model = docs.sparkSession.sparkContext.broadcast(LicenseModel())
+    # as bytes that hold the class as well: workers need no copy of this package
+    model = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(LicenseModel()))
 
     def run(batches):
-        m = model.value
+        m = pickle.loads(model.value)
         for batch in batches:
             out = {k: [] for k in ("doc_id", "paragraph", "family", "probability", "likeness")}
             for name, text in zip(batch.column(0).to_pylist(), blobs(batch, "text"), strict=True):
