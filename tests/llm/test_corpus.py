@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 pytest.importorskip("tidemark.llm.queries")
 
@@ -133,6 +134,48 @@ def test_language_model_sums_to_one_and_beats_the_base(spark):
     assert np.allclose(np.exp(language_model._log_softmax(np.random.default_rng(0).normal(size=(5, 32)))).sum(1), 1)
 
 
+def test_language_model_pairs_equal_counting_and_sum_to_one(spark):
+    """Counts of pairs over several chunks against a Counter, and each context's probabilities over all words."""
+    r = np.random.default_rng(8)
+    texts = [None, "", *(" ".join(WORDS[j] for j in r.integers(0, 40, 25)) for _ in range(60))]
+    learn = [i % 7 != 3 for i in range(len(texts))]
+    lines = [[*(t or "").encode().split(), language_model.END] for t in texts]
+    words = sorted({w for x in lines for w in x})
+    hashes = {w: xxhash.xxh3_64_intdigest(w) for w in words}
+    h = np.sort(np.array([hashes[w] for w in words[::2]], np.uint64).view(np.int64))  # every other word is unknown
+    kinds = language_model.NAMED + np.zeros(len(h), np.int64)
+    of_kind = np.arange(language_model.KINDS) % 3
+    of_code = language_model.class_table(kinds, of_kind)
+    sc = spark.sparkContext
+    shared, classes = sc.broadcast((h, h)), sc.broadcast(of_code)
+    df = spark.createDataFrame([(i, t, f, i) for i, (t, f) in enumerate(zip(texts, learn, strict=True))], "doc_id long, text string, learn boolean, rid long")
+    chunks = language_model.encode(df.repartition(3), shared).cache()
+    answers = language_model.pair_answers(language_model.pair_requests(chunks, shared, classes, 5)).cache()
+    coder = language_model.Coder(h)
+    cls = {w: int(of_code[coder[w] + language_model.ENDINGS]) for w in words}
+    counts = collections.Counter((a, b) for x, f in zip(lines, learn, strict=True) if f for a, b in zip([language_model.END, *x], x, strict=False))
+    seen = 0
+    for row in chunks.collect():
+        told = sorted(answers.where(f"cid = {row['cid']}").collect(), key=lambda x: x["bucket"])
+        n, total, some = (np.concatenate([np.frombuffer(x[k], np.float32) for x in told]) for k in ("n", "total", "kinds"))
+        sizes, syms = np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["syms"], np.int32)
+        flat = [w for i in row["ids"] for w in lines[i]]
+        assert sizes.tolist() == [len(lines[i]) for i in row["ids"]] and syms.tolist() == [coder[w] for w in flat]
+        starts = np.cumsum([0, *sizes])
+        _, of, _, place = language_model.pair_places(syms, np.frombuffer(row["rare"], np.uint64), starts, h, of_code, hashes[language_model.END])
+        prior = [language_model.END if j in set(starts) else flat[j - 1] for j in range(len(flat))]
+        for j, (a, b) in enumerate(zip(prior, flat, strict=True)):
+            after = {w: c for (x, w), c in counts.items() if x == a and cls[w] == cls[b]}
+            assert (n[place[j]], total[of[j]], some[of[j]]) == (counts[a, b], sum(after.values()), len(after))
+            if j % 50 == 0:
+                q = {w: 1 / (1 + sum(cls[x] == cls[b] for x in words)) for w in words if cls[w] == cls[b]}
+                each = np.array([float(after.get(w, 0)) for w in q])
+                t, g = language_model.word_factor(each, np.full(len(q), total[of[j]]), np.full(len(q), some[of[j]]))
+                assert np.isclose((t + g * np.array(list(q.values()))).sum() + g[0] * (1 - sum(q.values())), 1)
+            seen += 1
+    assert seen == sum(map(len, lines))
+
+
 def test_quality_held_out(spark):
     r = np.random.default_rng(4)
     texts = [None, ""]

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, blobs, mix, words_of
+from .shared import Scratch, blobs, lean, mix, one_row_reads, words_of
 
 END = b"\n"  # no word holds white space, so no word is this
 CLASSES = 32
@@ -24,6 +24,8 @@ KNOWN = 1_000_000
 #: Rows of weights that features are hashed into.
 ROWS = 8192
 EPOCHS = 12
+#: Tokens of an encoded chunk, tokens a bucket of word pairs, what the word factor takes off each pair's count.
+CHUNK_TOKENS, BUCKET_TOKENS, DISCOUNT = 500_000, 2_000_000, 0.75
 
 
 def _ending(word: bytes) -> int:
@@ -61,14 +63,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Coder(dict):
-    """word -> (place among the known words or -1) * CLASSES + class, or * KINDS + kind before there are classes."""
+    """word -> its place among the known words, or -1 - its ending."""
 
     LIMIT = 300_000
 
-    def __init__(self, known: np.ndarray, places: np.ndarray, kinds: np.ndarray, width: int):
-        # arrays: as small as numpy's, and much faster to look at one number at a time
-        self.known, self.places, self.kinds = (array("q", x.astype(np.int64).tobytes()) for x in (known, places, kinds))
-        self.width = width
+    def __init__(self, known: np.ndarray):
+        # an array: as small as numpy's, and much faster to look at one number at a time
+        self.known = array("q", known.astype(np.int64).tobytes())
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -76,19 +77,133 @@ class Coder(dict):
         h = xxhash.xxh3_64_intdigest(word)
         h -= (h >> 63) << 64
         i = bisect_left(self.known, h)
-        place = i if i < len(self.known) and self.known[i] == h else -1
-        kind = self.places[place] if place >= 0 else -1
-        kind = NAMED + _ending(word) if kind < 0 else kind
-        out = self[word] = (place + 1) * self.width + self.kinds[kind]
+        out = self[word] = i if i < len(self.known) and self.known[i] == h else -1 - _ending(word)
         return out
 
 
-def _codes(texts: list, coder: Coder) -> tuple[np.ndarray, np.ndarray, list]:
-    """Codes of all tokens of a batch with each text's end, the offsets of texts, and the words themselves."""
-    words = [words_of(t) for t in texts]
-    flat = [w for x in words for w in (*x, END)]
-    codes = np.fromiter(map(coder.__getitem__, flat), np.int64, len(flat))
-    return codes, np.cumsum([0, *(len(x) + 1 for x in words)]), flat
+def encode(docs: DataFrame, known) -> DataFrame:
+    """Chunks of some CHUNK_TOKENS tokens, whole texts each: cid, ids, learn, sizes (tokens of each text), syms (codes of
+    all tokens), rare (hashes of the unknown words in order). docs: doc_id, text, learn, rid (consecutive in a task)."""
+
+    def run(batches):
+        coder = Coder(known.value[0])
+
+        def row(ids, learn, cid, parts):
+            sizes, syms, rare = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return pa.RecordBatch.from_pydict({
+                "cid": pa.array([cid], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())),
+                **{k: pa.array([v.tobytes()], pa.binary()) for k, v in (("learn", np.array(learn, np.uint8)), ("sizes", sizes), ("syms", syms), ("rare", rare))},
+            })
+
+        ids, learn, parts, held, cid = [], [], [], 0, None
+        for batch in batches:
+            texts, keys = blobs(batch, "text"), batch.column(3).to_pylist()
+            all_ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for i in range(0, len(texts), 250):
+                words = [words_of(t) for t in texts[i : i + 250]]
+                flat = [w for x in words for w in (*x, END)]
+                syms = np.fromiter(map(coder.__getitem__, flat), np.int32, len(flat))
+                at = np.flatnonzero(syms < 0).tolist()
+                rare = np.fromiter((xxhash.xxh3_64_intdigest(flat[j]) for j in at), np.uint64, len(at))
+                cid = keys[i] if cid is None else cid
+                ids += all_ids[i : i + 250]
+                learn += flags[i : i + 250]
+                parts.append((np.array([len(x) + 1 for x in words], np.int32), syms, rare))
+                held += len(flat)
+                if held >= CHUNK_TOKENS:
+                    yield row(ids, learn, cid, parts)
+                    ids, learn, parts, held, cid = [], [], [], 0, None
+        if parts:
+            yield row(ids, learn, cid, parts)
+
+    return docs.select("doc_id", "text", "learn", "rid").mapInArrow(
+        lean(run), "cid long, ids array<long>, learn binary, sizes binary, syms binary, rare binary"
+    )
+
+
+def _chunks(batches):
+    """cid, learn (of each token), starts, syms and rare of each row of encoded chunks."""
+    for batch in batches:
+        for r in batch.select(["cid", "learn", "sizes", "syms", "rare"]).to_pylist():
+            sizes = np.frombuffer(r["sizes"], np.int32)
+            learn = np.repeat(np.frombuffer(r["learn"], np.uint8), sizes)
+            yield r["cid"], learn, np.cumsum([0, *sizes]), np.frombuffer(r["syms"], np.int32), np.frombuffer(r["rare"], np.uint64)
+
+
+def class_table(known_kinds: np.ndarray, of_kind: np.ndarray) -> np.ndarray:
+    """What of_kind says for each code, found at code + ENDINGS."""
+    return np.concatenate([of_kind[NAMED + np.arange(ENDINGS)[::-1]], of_kind[known_kinds]])
+
+
+def pair_places(syms, rare, starts, known: np.ndarray, of_code: np.ndarray, end: int) -> tuple:
+    """Contexts (hash of the word before and the class; sorted), each token's place among them, the pairs (place of the
+    context << 32 | hash of the word; sorted) and each token's place among those."""
+    h = np.empty(len(syms), np.uint64)
+    h[syms >= 0] = known.view(np.uint64)[syms[syms >= 0]]
+    h[syms < 0] = rare
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[starts[:-1]] = np.uint64(end)
+    ctx = mix(before * np.uint64(CLASSES) + of_code[syms + ENDINGS].astype(np.uint64))
+    contexts, of = np.unique(ctx, return_inverse=True)
+    pairs, place = np.unique((of.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)), return_inverse=True)
+    return contexts, of, pairs, place
+
+
+def pair_requests(chunks: DataFrame, shared, of_code, buckets: int) -> DataFrame:
+    """For each chunk and bucket of contexts: the chunk's contexts, how many pairs each has, the pairs' words and how
+    often the training texts of the chunk hold them. A pair is sent once a chunk, however common it is."""
+
+    def run(batches):
+        end = xxhash.xxh3_64_intdigest(END)
+        for cid, learn, starts, syms, rare in _chunks(batches):
+            contexts, _, pairs, place = pair_places(syms, rare, starts, shared.value[0], of_code.value, end)
+            n = np.bincount(place, weights=learn, minlength=len(pairs)).astype(np.int32)
+            sizes = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(contexts)).astype(np.int32)
+            ends = np.cumsum([0, *sizes])
+            b = ((contexts >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with contexts
+            some, first = np.unique(b, return_index=True)
+            cuts = [*first.tolist(), len(b)]
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            w = pairs.astype(np.uint32)
+            yield pa.RecordBatch.from_pydict({
+                "bucket": pa.array(some), "cid": pa.array([cid] * len(some), pa.int64()),
+                "contexts": pa.array([contexts[i:j].tobytes() for i, j in spans], pa.binary()), "sizes": pa.array([sizes[i:j].tobytes() for i, j in spans], pa.binary()),
+                "words": pa.array([w[ends[i] : ends[j]].tobytes() for i, j in spans], pa.binary()), "n": pa.array([n[ends[i] : ends[j]].tobytes() for i, j in spans], pa.binary()),
+            })
+
+    return chunks.mapInArrow(run, "bucket long, cid long, contexts binary, sizes binary, words binary, n binary")
+
+
+def pair_answers(requests: DataFrame) -> DataFrame:
+    """Each request's counts over all training texts: n of its pairs, total and kinds (pairs seen) of its contexts."""
+
+    def run(table):
+        def arrays(name, kind):
+            return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+
+        contexts, words = arrays("contexts", np.uint64), arrays("words", np.uint32)
+        _, of = np.unique(np.concatenate(contexts), return_inverse=True)
+        own = np.repeat(of, np.concatenate(arrays("sizes", np.int32))).astype(np.uint64)
+        pairs, place = np.unique((own << np.uint64(32)) | np.concatenate(words), return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate(arrays("n", np.int32)))
+        owner = (pairs >> np.uint64(32)).astype(np.int64)
+        total, kinds = np.bincount(owner, weights=n), np.bincount(owner, weights=n > 0)
+        at, to = (np.cumsum([0, *map(len, x)]) for x in (words, contexts))
+
+        def cut(values, places, ends):
+            values = values[places].astype(np.float32)
+            return pa.array([values[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
+
+        return pa.table({"cid": table.column("cid"), "bucket": table.column("bucket"), "n": cut(n, place, at), "total": cut(total, of, to), "kinds": cut(kinds, of, to)})
+
+    return requests.groupBy("bucket").applyInArrow(run, "cid long, bucket long, n binary, total binary, kinds binary")
+
+
+def word_factor(n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """t and g of pairs: P(word | class, word before) = t + g * P(word | class)."""
+    t = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)
+    return t, np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
 
 
 def _contexts(classes: np.ndarray, starts: np.ndarray, end: int, width: int) -> list[np.ndarray]:
@@ -103,20 +218,17 @@ def _contexts(classes: np.ndarray, starts: np.ndarray, end: int, width: int) ->
     return out
 
 
-def _tally(docs: DataFrame, coder_of, size: int, cells) -> DataFrame:
-    """Counts of cells, added up in each task before the shuffle; at most `size` cells."""
+def _tally(chunks: DataFrame, size: int, cells) -> DataFrame:
+    """Counts of the training tokens' cells, added up in each task before the shuffle; at most `size` cells."""
 
     def run(batches):
-        coder, total = coder_of(), np.zeros(size, np.int64)
-        for batch in batches:
-            texts = blobs(batch, "text")
-            for i in range(0, len(texts), 2000):
-                codes, starts, _ = _codes(texts[i : i + 2000], coder)
-                total += np.bincount(cells(codes, starts, coder), minlength=size)
+        total = np.zeros(size, np.int64)
+        for _, learn, starts, syms, _ in _chunks(batches):
+            total += np.bincount(cells(syms, starts)[learn > 0], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    return docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return chunks.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def word_classes(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 25) -> np.ndarray:
@@ -191,54 +303,63 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents whose crc32(doc_id) mod 7 is not 2. A token is a lower-cased word or the text's end. The
-    model: P(token | before) = P(class | before) * P(word | class). The class softmax adds hashed weights of the bias,
-    the last three classes, their n-grams and skips, trained by gradient over counts of all training tokens; the second
-    factor is the maximum-entropy distribution of the class's counts, (c + 1) / (N_class + V_class + 1), whose last
-    part is the unseen word, so the whole sums to 1. Classes group common words and word endings by their neighbours.
+    model: P(token | before) = P(class | before) * P(word | class, word before). The class softmax adds hashed weights of
+    the bias, the last three classes, their n-grams and skips, trained by gradient over counts of all training tokens.
+    The word factor has a hashed feature for each pair of words, of weight log(1 + t / (g * q)) over the class's counts
+    q = (c + 1) / (N_class + V_class + 1), whose last part is the unseen word: t + g * q once normalised, where t is the
+    pair's discounted share of its context (word before and class) and g what the discounts leave. Its weights thus
+    have a closed form and take no gradient steps. The whole sums to 1. Classes group common words and word endings by
+    their neighbours.
 
     Counts cover the whole corpus. Words of at least one token in KNOWN (so at most KNOWN words) are known to every
-    worker; those of other words meet their counts in a join by hash. Null and empty texts have one token, the end.
-    No training text: N = V = 0, scores from the formulas. Repeated rows are scored each; extra columns are ignored.
+    worker; those of other words meet their counts in a join by hash. Pairs of all words are counted in buckets of
+    their contexts, whose number grows with the corpus. Null and empty texts have one token, the end. No training
+    text: N = V = 0, scores from the formulas. Repeated rows are scored each; extra columns are ignored.
     """
+    with one_row_reads(docs.sparkSession):
+        return _score_texts(docs)
+
+
+def _score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    learn = docs.where(_trains())
-    counts = scratch.save(word_counts(learn), "counts")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("learn", _trains())
+    counts = scratch.save(word_counts(docs.where("learn")), "counts")
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     bound = max(2, -(-n_all // KNOWN))
-    known = counts.where(F.col("n") >= bound).select("h", "n").toArrow()
-    h, n = np.array(known.column(0), np.int64), np.array(known.column(1), np.int64)
+    known = counts.where(F.col("n") >= bound).select("h", "n", "ending").toArrow()
+    h, n, ending = (np.array(known.column(i), np.int64) for i in range(3))
     order = np.argsort(h)
-    h, n = h[order], n[order]
+    h, n, ending = h[order], n[order], ending[order]
     top = np.lexsort((h, -n))[:NAMED]
-    places = np.full(len(h), -1, np.int64)
-    places[top] = np.arange(len(top))
-    shared = spark.sparkContext.broadcast((h, places, np.log10(n + 1.0)))
-
-    def before():
-        return Coder(shared.value[0], shared.value[1], np.arange(KINDS), KINDS)
-
-    def pair_cells(codes, starts, coder):
-        k = codes % KINDS
+    kinds = NAMED + ending
+    kinds[top] = np.arange(len(top))
+    shared = spark.sparkContext.broadcast((h, n))
+    chunks = scratch.save(encode(docs.withColumn("rid", F.monotonically_increasing_id()), shared), "chunks")
+    coder = Coder(h)
+    end = coder[END]
+    kind_of = spark.sparkContext.broadcast(class_table(kinds, np.arange(KINDS)).astype(np.int16))
+
+    def pair_cells(syms, starts):
+        k = kind_of.value[syms + ENDINGS].astype(np.int64)
         prior = np.roll(k, 1)
-        prior[starts[:-1]] = coder[END] % KINDS
+        prior[starts[:-1]] = kind_of.value[end + ENDINGS]
         return prior * KINDS + k
 
-    got = _tally(learn, before, KINDS * KINDS, pair_cells).toArrow()  # KINDS**2 cells at most
+    got = _tally(chunks, KINDS * KINDS, pair_cells).toArrow()  # KINDS**2 cells at most
     pairs = np.zeros(KINDS * KINDS)
     pairs[np.array(got.column(0), np.int64)] = np.array(got.column(1), np.int64)
     classes = word_classes(pairs.reshape(KINDS, KINDS))
+    of_code = spark.sparkContext.broadcast(class_table(kinds, classes).astype(np.int16))
+    buckets = max(64, -(-n_all // BUCKET_TOKENS))
+    answers = scratch.save(pair_answers(pair_requests(chunks, shared, of_code, buckets)), "answers")
 
-    def coder_of():
-        return Coder(shared.value[0], shared.value[1], classes, CLASSES)
-
-    def event_cells(codes, starts, coder):
-        c = codes % CLASSES
-        c1, c2, c3 = _contexts(c, starts, coder[END] % CLASSES, CLASSES)
+    def event_cells(syms, starts):
+        c = of_code.value[syms + ENDINGS].astype(np.int64)
+        c1, c2, c3 = _contexts(c, starts, of_code.value[end + ENDINGS], CLASSES)
         return ((c1 * CLASSES + c2) * CLASSES + c3) * CLASSES + c
 
-    events = _tally(learn, coder_of, CLASSES**4, event_cells)
+    events = _tally(chunks, CLASSES**4, event_cells)
     events = scratch.save(events.repartition(8, F.floor(F.col("cell") / CLASSES)), "events")
     # the start: log probabilities of classes after the last class
     two = events.groupBy((F.floor(F.col("cell") / CLASSES**3) * CLASSES + F.col("cell") % CLASSES).alias("k")).agg(F.sum("n").alias("n")).toArrow()
@@ -262,38 +383,41 @@ def score_texts(docs: DataFrame) -> DataFrame:
         size[classes[k]] += n[np.searchsorted(h, x)] + 1
     for r in by_end:
         size[classes[NAMED + r["ending"]]] += r["n"] + r["v"]
-    tables = spark.sparkContext.broadcast((table.astype(np.float64), np.log10(size)))
-
-    def score(batches):
-        coder = coder_of()
-        logs = np.concatenate([[0.0], shared.value[2]])
-        by_class, in_class = tables.value
-        for batch in batches:
-            texts, ids, keys = blobs(batch, "text"), batch.column(0), batch.column(2)
-            for i in range(0, len(texts), 2000):
-                some = texts[i : i + 2000]
-                codes, starts, flat = _codes(some, coder)
-                c, place = codes % CLASSES, codes // CLASSES
-                c1, c2, c3 = _contexts(c, starts, coder[END] % CLASSES, CLASSES)
-                own = by_class[(c1 * CLASSES + c2) * CLASSES + c3, c] - in_class[c]
-                rare = np.flatnonzero(place == 0)
-                owner = np.searchsorted(starts, rare, side="right") - 1
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(flat[j]) for j in rare), np.uint64, len(rare)).view(np.int64)
-                ends = np.searchsorted(owner, np.arange(len(some) + 1)).astype(np.int32)
-                at = starts[:-1]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, len(some)), keys.slice(i, len(some)), pa.array(np.diff(starts), pa.int64()),
-                     pa.array(np.add.reduceat((place > 0).astype(np.int64), at), pa.int64()), pa.array(np.add.reduceat(logs[place], at)),
-                     pa.array(np.add.reduceat(own, at)), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))],
-                    ["doc_id", "rid", "n_tokens", "known", "logs", "own", "rare"],
-                )
-
-    schema = "doc_id long, rid long, n_tokens long, known long, logs double, own double, rare array<long>"
-    scored = scratch.save(docs.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(score, schema), "scored")
-    rare = scored.select("rid", F.explode("rare").alias("h"))
+    tables = spark.sparkContext.broadcast((table.astype(np.float64), size))
+
+    def score(chunk, told):
+        (r,) = chunk.select(["ids", "sizes"]).to_pylist()
+        ((cid, _, starts, syms, rare),) = _chunks(chunk.to_batches())
+        told = told.sort_by("bucket")
+        by_class, class_sizes = tables.value
+        c = of_code.value[syms + ENDINGS].astype(np.int64)
+        c1, c2, c3 = _contexts(c, starts, of_code.value[end + ENDINGS], CLASSES)
+        own = by_class[(c1 * CLASSES + c2) * CLASSES + c3, c]
+        _, of, _, place = pair_places(syms, rare, starts, shared.value[0], of_code.value, xxhash.xxh3_64_intdigest(END))
+        n, total, seen = (np.frombuffer(b"".join(told.column(k).to_pylist()), np.float32).astype(np.float64) for k in ("n", "total", "kinds"))
+        t, g = word_factor(n[place], total[of], seen[of])
+        g /= class_sizes[c]
+        more, is_known = np.zeros(len(syms), np.int64), syms >= 0
+        more[is_known] = shared.value[1][syms[is_known]]
+        own[is_known] += np.log10(t[is_known] + g[is_known] * (more[is_known] + 1))
+        at, odd = starts[:-1], np.flatnonzero(~is_known)
+        ends = np.searchsorted(odd, starts).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (rare.view(np.int64), t[odd], g[odd])]
+        return pa.table({
+            "doc_id": pa.array(r["ids"], pa.int64()), "rid": pa.array(cid + np.arange(len(at))), "n_tokens": pa.array(np.diff(starts), pa.int64()),
+            "known": pa.array(np.add.reduceat(is_known.astype(np.int64), at)), "logs": pa.array(np.add.reduceat(np.log10(more + 1.0), at)),
+            "own": pa.array(np.add.reduceat(own, at)), "rare": lists[0], "t": lists[1], "g": lists[2],
+        })
+
+    schema = "doc_id long, rid long, n_tokens long, known long, logs double, own double, rare array<long>, t array<double>, g array<double>"
+    scored = scratch.save(chunks.groupBy("cid").cogroup(answers.groupBy("cid")).applyInArrow(score, schema), "scored")
+    rare = scored.select("rid", F.explode(F.arrays_zip("rare", "t", "g")).alias("x")).select("rid", F.col("x.rare").alias("h"), "x.t", "x.g")
     less = counts.where(F.col("n") < bound).select("h", "n")
-    more = rare.join(less, "h").groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))
-    out = scored.drop("rare").join(more, "rid", "left")
+    c = F.coalesce("n", F.lit(0))
+    more = rare.join(less, "h", "left").groupBy("rid").agg(
+        F.count("n").alias("more"), F.sum(F.log10(c + 1)).alias("more_logs"), F.sum(F.log10(F.col("t") + F.col("g") * (c + 1))).alias("more_own")
+    )
+    out = scored.drop("rare", "t", "g").join(more, "rid", "left")
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     return out.select(
         "doc_id",
@@ -302,5 +426,5 @@ def score_texts(docs: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.log10(F.lit(float(n_all + v_all + 1)))).alias("base_score"),
-        (logs + F.col("own")).alias("score"),
+        (F.col("own") + F.coalesce("more_own", F.lit(0.0))).alias("score"),
     )

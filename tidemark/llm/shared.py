@@ -103,6 +103,20 @@ def small_batches(spark: SparkSession, rows: int = 2000):
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def one_row_reads(spark: SparkSession):
+    """Parquet and Arrow batches of few rows for what is executed inside: rows that hold megabytes each."""
+    new = {"spark.sql.parquet.columnarReaderBatchSize": "8", "spark.sql.execution.arrow.maxRecordsPerBatch": "250"}
+    before = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class WordHash(dict):
     """64-bit hashes of words; emptied when it has grown beyond its bound."""
 
