@@ -142,7 +142,7 @@ def test_language_model_pairs_equal_counting_and_sum_to_one(spark):
     lines = [[*(t or "").encode().split(), language_model.END] for t in texts]
     words = sorted({w for x in lines for w in x})
     hashes = {w: xxhash.xxh3_64_intdigest(w) for w in words}
-    h = np.sort(np.array([hashes[w] for w in words[::2]], np.uint64).view(np.int64))  # every other word is unknown
+    h = np.array([hashes[w] for w in words[::2]], np.uint64).view(np.int64)  # every other word is unknown
     kinds = language_model.NAMED + np.zeros(len(h), np.int64)
     of_kind = np.arange(language_model.KINDS) % 3
     of_code = language_model.class_table(kinds, of_kind)
@@ -157,12 +157,12 @@ def test_language_model_pairs_equal_counting_and_sum_to_one(spark):
     seen = 0
     for row in chunks.collect():
         told = sorted(answers.where(f"cid = {row['cid']}").collect(), key=lambda x: x["bucket"])
-        n, total, some = (np.concatenate([np.frombuffer(x[k], np.float32) for x in told]) for k in ("n", "total", "kinds"))
-        sizes, syms = np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["syms"], np.int32)
+        n, total, some = (np.concatenate([language_model.unpack(x[k], np.int64) for x in told]) for k in ("n", "total", "kinds"))
+        sizes, syms = language_model.unpack(row["sizes"], np.int32), language_model.unpack(row["syms"], np.int32)
         flat = [w for i in row["ids"] for w in lines[i]]
         assert sizes.tolist() == [len(lines[i]) for i in row["ids"]] and syms.tolist() == [coder[w] for w in flat]
         starts = np.cumsum([0, *sizes])
-        _, of, _, place = language_model.pair_places(syms, np.frombuffer(row["rare"], np.uint64), starts, h, of_code, hashes[language_model.END])
+        _, of, _, place = language_model.pair_places(syms, language_model.unpack(row["rare"], np.uint64), starts, h, of_code, hashes[language_model.END])
         prior = [language_model.END if j in set(starts) else flat[j - 1] for j in range(len(flat))]
         for j, (a, b) in enumerate(zip(prior, flat, strict=True)):
             after = {w: c for (x, w), c in counts.items() if x == a and cls[w] == cls[b]}

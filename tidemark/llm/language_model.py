@@ -62,14 +62,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, compressed; unpack gives them back."""
+    planes = numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    planes = pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, len(planes) // np.dtype(kind).itemsize).T).view(kind).ravel()
+
+
 class Coder(dict):
     """word -> its place among the known words, or -1 - its ending."""
 
     LIMIT = 300_000
 
     def __init__(self, known: np.ndarray):
-        # an array: as small as numpy's, and much faster to look at one number at a time
-        self.known = array("q", known.astype(np.int64).tobytes())
+        # known: hashes, the commonest word first; arrays: as small as numpy's, much faster to look at one number at a time
+        order = np.argsort(known)
+        self.known, self.places = array("q", known[order].tobytes()), array("i", order.astype(np.int32).tobytes())
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -77,7 +89,7 @@ class Coder(dict):
         h = xxhash.xxh3_64_intdigest(word)
         h -= (h >> 63) << 64
         i = bisect_left(self.known, h)
-        out = self[word] = i if i < len(self.known) and self.known[i] == h else -1 - _ending(word)
+        out = self[word] = self.places[i] if i < len(self.known) and self.known[i] == h else -1 - _ending(word)
         return out
 
 
@@ -92,7 +104,7 @@ def encode(docs: DataFrame, known) -> DataFrame:
             sizes, syms, rare = (np.concatenate(x) for x in zip(*parts, strict=True))
             return pa.RecordBatch.from_pydict({
                 "cid": pa.array([cid], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())),
-                **{k: pa.array([v.tobytes()], pa.binary()) for k, v in (("learn", np.array(learn, np.uint8)), ("sizes", sizes), ("syms", syms), ("rare", rare))},
+                **{k: pa.array([pack(v)], pa.binary()) for k, v in (("learn", np.array(learn, np.uint8)), ("sizes", sizes), ("syms", syms), ("rare", rare))},
             })
 
         ids, learn, parts, held, cid = [], [], [], 0, None
@@ -125,9 +137,8 @@ def _chunks(batches):
     """cid, learn (of each token), starts, syms and rare of each row of encoded chunks."""
     for batch in batches:
         for r in batch.select(["cid", "learn", "sizes", "syms", "rare"]).to_pylist():
-            sizes = np.frombuffer(r["sizes"], np.int32)
-            learn = np.repeat(np.frombuffer(r["learn"], np.uint8), sizes)
-            yield r["cid"], learn, np.cumsum([0, *sizes]), np.frombuffer(r["syms"], np.int32), np.frombuffer(r["rare"], np.uint64)
+            sizes = unpack(r["sizes"], np.int32)
+            yield r["cid"], np.repeat(unpack(r["learn"], np.uint8), sizes), np.cumsum([0, *sizes]), unpack(r["syms"], np.int32), unpack(r["rare"], np.uint64)
 
 
 def class_table(known_kinds: np.ndarray, of_kind: np.ndarray) -> np.ndarray:
@@ -136,7 +147,7 @@ def class_table(known_kinds: np.ndarray, of_kind: np.ndarray) -> np.ndarray:
 
 
 def pair_places(syms, rare, starts, known: np.ndarray, of_code: np.ndarray, end: int) -> tuple:
-    """Contexts (hash of the word before and the class; sorted), each token's place among them, the pairs (place of the
+    """Contexts (48-bit hash of the word before and the class; sorted), each token's place among them, the pairs (place of the
     context << 32 | hash of the word; sorted) and each token's place among those."""
     h = np.empty(len(syms), np.uint64)
     h[syms >= 0] = known.view(np.uint64)[syms[syms >= 0]]
@@ -144,7 +155,7 @@ def pair_places(syms, rare, starts, known: np.ndarray, of_code: np.ndarray, end:
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[starts[:-1]] = np.uint64(end)
-    ctx = mix(before * np.uint64(CLASSES) + of_code[syms + ENDINGS].astype(np.uint64))
+    ctx = mix(before * np.uint64(CLASSES) + of_code[syms + ENDINGS].astype(np.uint64)) >> np.uint64(16)
     contexts, of = np.unique(ctx, return_inverse=True)
     pairs, place = np.unique((of.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)), return_inverse=True)
     return contexts, of, pairs, place
@@ -158,18 +169,18 @@ def pair_requests(chunks: DataFrame, shared, of_code, buckets: int) -> DataFrame
         end = xxhash.xxh3_64_intdigest(END)
         for cid, learn, starts, syms, rare in _chunks(batches):
             contexts, _, pairs, place = pair_places(syms, rare, starts, shared.value[0], of_code.value, end)
-            n = np.bincount(place, weights=learn, minlength=len(pairs)).astype(np.int32)
+            n = np.bincount(place, weights=learn, minlength=len(pairs)).astype(np.int64)
             sizes = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(contexts)).astype(np.int32)
             ends = np.cumsum([0, *sizes])
-            b = ((contexts >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with contexts
+            b = ((contexts >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with contexts
             some, first = np.unique(b, return_index=True)
             cuts = [*first.tolist(), len(b)]
             spans = list(zip(cuts, cuts[1:], strict=False))
             w = pairs.astype(np.uint32)
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array(some), "cid": pa.array([cid] * len(some), pa.int64()),
-                "contexts": pa.array([contexts[i:j].tobytes() for i, j in spans], pa.binary()), "sizes": pa.array([sizes[i:j].tobytes() for i, j in spans], pa.binary()),
-                "words": pa.array([w[ends[i] : ends[j]].tobytes() for i, j in spans], pa.binary()), "n": pa.array([n[ends[i] : ends[j]].tobytes() for i, j in spans], pa.binary()),
+                "contexts": pa.array([pack(np.diff(contexts[i:j], prepend=np.uint64(0))) for i, j in spans], pa.binary()), "sizes": pa.array([pack(sizes[i:j]) for i, j in spans], pa.binary()),
+                "words": pa.array([pack(w[ends[i] : ends[j]]) for i, j in spans], pa.binary()), "n": pa.array([pack(n[ends[i] : ends[j]]) for i, j in spans], pa.binary()),
             })
 
     return chunks.mapInArrow(run, "bucket long, cid long, contexts binary, sizes binary, words binary, n binary")
@@ -180,20 +191,20 @@ def pair_answers(requests: DataFrame) -> DataFrame:
 
     def run(table):
         def arrays(name, kind):
-            return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+            return [unpack(x, kind) for x in table.column(name).to_pylist()]
 
-        contexts, words = arrays("contexts", np.uint64), arrays("words", np.uint32)
+        contexts, words = [np.cumsum(x, dtype=np.uint64) for x in arrays("contexts", np.uint64)], arrays("words", np.uint32)
         _, of = np.unique(np.concatenate(contexts), return_inverse=True)
         own = np.repeat(of, np.concatenate(arrays("sizes", np.int32))).astype(np.uint64)
         pairs, place = np.unique((own << np.uint64(32)) | np.concatenate(words), return_inverse=True)
-        n = np.bincount(place, weights=np.concatenate(arrays("n", np.int32)))
+        n = np.bincount(place, weights=np.concatenate(arrays("n", np.int64)))
         owner = (pairs >> np.uint64(32)).astype(np.int64)
         total, kinds = np.bincount(owner, weights=n), np.bincount(owner, weights=n > 0)
         at, to = (np.cumsum([0, *map(len, x)]) for x in (words, contexts))
 
         def cut(values, places, ends):
-            values = values[places].astype(np.float32)
-            return pa.array([values[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
+            values = values.astype(np.int64)[places]
+            return pa.array([pack(values[i:j]) for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
 
         return pa.table({"cid": table.column("cid"), "bucket": table.column("bucket"), "n": cut(n, place, at), "total": cut(total, of, to), "kinds": cut(kinds, of, to)})
 
@@ -329,15 +340,12 @@ def _score_texts(docs: DataFrame) -> DataFrame:
     bound = max(2, -(-n_all // KNOWN))
     known = counts.where(F.col("n") >= bound).select("h", "n", "ending").toArrow()
     h, n, ending = (np.array(known.column(i), np.int64) for i in range(3))
-    order = np.argsort(h)
-    h, n, ending = h[order], n[order], ending[order]
-    top = np.lexsort((h, -n))[:NAMED]
-    kinds = NAMED + ending
-    kinds[top] = np.arange(len(top))
+    order = np.lexsort((h, -n))  # the commonest first
+    h, n, kinds = h[order], n[order], NAMED + ending[order]
+    kinds[:NAMED] = np.arange(len(kinds[:NAMED]))
     shared = spark.sparkContext.broadcast((h, n))
     chunks = scratch.save(encode(docs.withColumn("rid", F.monotonically_increasing_id()), shared), "chunks")
-    coder = Coder(h)
-    end = coder[END]
+    end = Coder(h)[END]
     kind_of = spark.sparkContext.broadcast(class_table(kinds, np.arange(KINDS)).astype(np.int16))
 
     def pair_cells(syms, starts):
@@ -376,17 +384,17 @@ def _score_texts(docs: DataFrame) -> DataFrame:
     every = np.arange(CLASSES**3)
     table = np.concatenate([_log_softmax(weights[feature_rows(x)].sum(1)) for x in np.array_split(every, 16)]) / np.log(10)
     # N and V of each class
-    named = {int(h[i]): int(k) for k, i in enumerate(top)}
+    named = {int(x): k for k, x in enumerate(h[:NAMED])}
     by_end = counts.where(~F.col("h").isin(list(named)) if named else F.lit(True)).groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     size = np.ones(CLASSES)
-    for x, k in named.items():
-        size[classes[k]] += n[np.searchsorted(h, x)] + 1
+    for k in named.values():
+        size[classes[k]] += n[k] + 1
     for r in by_end:
         size[classes[NAMED + r["ending"]]] += r["n"] + r["v"]
     tables = spark.sparkContext.broadcast((table.astype(np.float64), size))
 
     def score(chunk, told):
-        (r,) = chunk.select(["ids", "sizes"]).to_pylist()
+        (ids,) = chunk.column("ids").to_pylist()
         ((cid, _, starts, syms, rare),) = _chunks(chunk.to_batches())
         told = told.sort_by("bucket")
         by_class, class_sizes = tables.value
@@ -394,7 +402,7 @@ def _score_texts(docs: DataFrame) -> DataFrame:
         c1, c2, c3 = _contexts(c, starts, of_code.value[end + ENDINGS], CLASSES)
         own = by_class[(c1 * CLASSES + c2) * CLASSES + c3, c]
         _, of, _, place = pair_places(syms, rare, starts, shared.value[0], of_code.value, xxhash.xxh3_64_intdigest(END))
-        n, total, seen = (np.frombuffer(b"".join(told.column(k).to_pylist()), np.float32).astype(np.float64) for k in ("n", "total", "kinds"))
+        n, total, seen = (np.concatenate([unpack(x, np.int64) for x in told.column(k).to_pylist()]) for k in ("n", "total", "kinds"))
         t, g = word_factor(n[place], total[of], seen[of])
         g /= class_sizes[c]
         more, is_known = np.zeros(len(syms), np.int64), syms >= 0
@@ -402,15 +410,16 @@ def _score_texts(docs: DataFrame) -> DataFrame:
         own[is_known] += np.log10(t[is_known] + g[is_known] * (more[is_known] + 1))
         at, odd = starts[:-1], np.flatnonzero(~is_known)
         ends = np.searchsorted(odd, starts).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (rare.view(np.int64), t[odd], g[odd])]
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (rare.view(np.int64), t[odd].astype(np.float32), g[odd].astype(np.float32))]
         return pa.table({
-            "doc_id": pa.array(r["ids"], pa.int64()), "rid": pa.array(cid + np.arange(len(at))), "n_tokens": pa.array(np.diff(starts), pa.int64()),
+            "doc_id": pa.array(ids, pa.int64()), "rid": pa.array(cid + np.arange(len(at))), "n_tokens": pa.array(np.diff(starts), pa.int64()),
             "known": pa.array(np.add.reduceat(is_known.astype(np.int64), at)), "logs": pa.array(np.add.reduceat(np.log10(more + 1.0), at)),
             "own": pa.array(np.add.reduceat(own, at)), "rare": lists[0], "t": lists[1], "g": lists[2],
         })
 
-    schema = "doc_id long, rid long, n_tokens long, known long, logs double, own double, rare array<long>, t array<double>, g array<double>"
+    schema = "doc_id long, rid long, n_tokens long, known long, logs double, own double, rare array<long>, t array<float>, g array<float>"
     scored = scratch.save(chunks.groupBy("cid").cogroup(answers.groupBy("cid")).applyInArrow(score, schema), "scored")
+    scratch.drop("chunks", "answers")
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "t", "g")).alias("x")).select("rid", F.col("x.rare").alias("h"), "x.t", "x.g")
     less = counts.where(F.col("n") < bound).select("h", "n")
     c = F.coalesce("n", F.lit(0))
