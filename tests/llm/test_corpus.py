@@ -333,6 +333,22 @@ def test_warc(spark):
     assert warc.archive_round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_files_close_by_bytes(spark, tmp_path):
+    html = ["x" * n for n in (10, 30, 40, 900, 1000, 20000, 20000, 70000)] + [None]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "archives")
+    warc.write_archives(pages, path, file_bytes=20000)
+    sizes = []
+    for f in (tmp_path / "archives").glob("*.gz"):
+        records = list(warc.parse(gzip.open(f)))
+        sizes.append([len(b) for h, b in records if h["warc-type"] == "response"])
+        assert len(records) % 3 == 0
+    assert len(sizes) > 4 and all(len(x) < 2 or sum(x) < 20000 for x in sizes)
+    got = warc.read_records(spark, path).where("type in ('response', 'revisit')").collect()
+    assert sorted(len(r["payload"]) for r in got) == [0, 0, 10, 30, 40, 900, 1000, 20000, 70000]
+    assert all(r["digest"] == "sha1:" + warc.payload_digest(bytes(r["payload"])) for r in got if r["type"] == "response")
+
+
 def test_warc_parser_reads_by_length():
     body = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 12\r\n\r\nWARC/1.1\r\n\r\n\r\n\r\n"
     got = list(warc.parse(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(body * 2)))))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
-import io
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .shared import Scratch
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records of a file at most, and the date that records bear, a parameter so that reruns agree.
-FILE_RECORDS, DATE = 1500, "2020-01-01T00:00:00Z"
+#: Records of a file at most, the bytes of payloads from which it takes fewer (a larger payload has a file of its own), and
+#: the date that records bear, a parameter so that reruns agree.
+BATCH_BYTES = 8 << 20
+FILE_RECORDS, FILE_BYTES, DATE = 1500, 128 << 20, "2020-01-01T00:00:00Z"
 
 
 def base32(digest) -> F.Column:
@@ -32,11 +34,12 @@ def _urn(kind: str, key) -> F.Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = DATE) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = DATE, file_bytes: int = FILE_BYTES) -> None:
     """Request, response (or revisit) and metadata records of each row, in gzipped WARC files under path.
 
     Of rows with equal payloads of at least `least` bytes, that with the smallest page_id is the response. Payloads
-    meet by SHA-256, length and SHA-1, counted before any shuffle; html itself is shuffled once, by page_id."""
+    meet by SHA-256, length and SHA-1, counted before any shuffle; html itself is shuffled once, by page_id. Payloads of
+    like size share files, as many as FILE_BYTES hold, so that no file grows with the size of pages."""
     scratch = Scratch(pages.sparkSession, "warc")
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
@@ -77,10 +80,16 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = DATE
         F.lit("metadata"), F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\npayload-bytes: "), size, F.lit("\r\n")),
         line(F.lit("WARC-Record-ID: "), ids["metadata"]), line(F.lit("WARC-Concurrent-To: "), ids["response"]), line(F.lit("Content-Type: application/warc-fields")),
     )
-    # The text sink writes bytes as they are, and a record ends with two line ends.
-    rows.select(F.explode(F.array(request, answer, metadata)).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option(
-        "maxRecordsPerFile", FILE_RECORDS
-    ).text(path)
+    records = F.explode(F.array(request, answer, metadata)).alias("value")
+    most = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    least_size, top = -1, file_bytes * 3 // FILE_RECORDS
+    while least_size < 0 or least_size < most:
+        some = rows.where(F.octet_length("html").between(least_size + 1, top))
+        # The text sink writes bytes as they are, and a record ends with two line ends.
+        some.select(records).write.mode("errorifexists" if least_size < 0 else "append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option(
+            "maxRecordsPerFile", max(3, min(FILE_RECORDS, file_bytes // top * 3))
+        ).text(path)
+        least_size, top = top, top * 16
 
 
 def parse(stream) -> tuple:
@@ -101,19 +110,32 @@ def parse(stream) -> tuple:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """type, record_id, concurrent_to, refers_to, uri, date, digest, payload (what follows HTTP's head), block (of other records)."""
+    """type, record_id, concurrent_to, refers_to, uri, date, digest, payload (what follows HTTP's head), block (of other records).
+
+    The digest of a response is computed from its payload, that of other records is their header's. Records are read one
+    at a time and passed on in batches of some megabytes."""
     names = ("type", "record_id", "concurrent_to", "refers_to", "uri", "date", "digest", "payload", "block")
 
+    types = [pa.string()] * 7 + [pa.binary()] * 2
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], list(names))
+
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for h, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
-                    web = h["warc-type"] in ("response", "revisit")
-                    payload = block.partition(b"\r\n\r\n")[2] if web else None
-                    rows.append((h["warc-type"], h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-payload-digest"), payload, None if web else block))
-                types = [pa.string()] * 7 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], list(names))
+                rows, held = [], 0
+                with gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer())) as stream:
+                    for h, block in parse(stream):
+                        web = h["warc-type"] in ("response", "revisit")
+                        payload = block.partition(b"\r\n\r\n")[2] if web else None
+                        digest = "sha1:" + payload_digest(payload) if h["warc-type"] == "response" else h.get("warc-payload-digest")
+                        rows.append((h["warc-type"], h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), digest, payload, None if web else block))
+                        held += len(block)
+                        if held > BATCH_BYTES:
+                            yield table(rows)
+                            rows, held = [], 0
+                yield table(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(run, ", ".join(f"{n} {'binary' if n in ('payload', 'block') else 'string'}" for n in names))
@@ -153,7 +175,5 @@ def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def payload_digest(payload: bytes) -> str:
-    """The digest of a payload by hashlib, for checks."""
-    import base64
-
+    """The digest of a payload: base32 of its SHA-1."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
