@@ -416,14 +416,23 @@ def agg17_slate_metrics(s, d):
 
 
 @query(METRICS + """, h AS (SELECT impression_id, count(*) AS n FROM hist GROUP BY 1),
-  f AS (SELECT hit, CASE WHEN coalesce(n, 0) = 0 THEN '0' WHEN n <= 5 THEN '1-5' WHEN n <= 20 THEN '6-20' ELSE '20+' END AS bucket, (n IS NULL)::VARCHAR AS cold, (impression_id % 2 = 0)::VARCHAR AS match FROM k LEFT JOIN h USING (impression_id) WHERE total > 0)
+  first_click AS (SELECT impression_id, category AS clicked_category FROM (SELECT impression_id, min(item_id) AS item_id FROM cand WHERE clicked = 1 GROUP BY 1) JOIN news USING (item_id)),
+  often AS (SELECT impression_id, category AS dominant FROM (SELECT impression_id, category, count(*) AS c FROM hist JOIN news USING (item_id) GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY impression_id ORDER BY c DESC, category) = 1),
+  f AS (SELECT hit, CASE WHEN coalesce(n, 0) = 0 THEN '0' WHEN n <= 5 THEN '1-5' WHEN n <= 20 THEN '6-20' ELSE '20+' END AS bucket, (n IS NULL)::VARCHAR AS cold, coalesce(clicked_category = dominant, false)::VARCHAR AS match
+    FROM k LEFT JOIN h USING (impression_id) LEFT JOIN first_click USING (impression_id) LEFT JOIN often USING (impression_id) WHERE total > 0)
   SELECT segment, count(*) AS n, round(1 - avg(hit), 6) AS miss_rate FROM (SELECT 'history ' || bucket AS segment, hit FROM f UNION ALL SELECT 'cold ' || cold, hit FROM f UNION ALL SELECT 'match ' || match, hit FROM f UNION ALL SELECT 'all', hit FROM f) GROUP BY 1""")
 def agg19_failure_segments(s, d):
     log = _cand(s, d)
     m = R.metrics(R.positions(log.join(L.popularity(log), "item_id"), "popularity"), 3).where("total > 0")
-    n = _histories(A.behaviors(log)).groupBy("impression_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = m.join(n, "impression_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rows = rows.select("hit", SL.history_bucket("n").alias("bucket"), (F.col("n") == 0).alias("cold"), (F.col("impression_id") % 2 == 0).alias("category_match"))
+    histories = _histories(A.behaviors(log))
+    n = histories.groupBy("impression_id").agg(F.count(F.lit(1)).alias("n"))
+    often = M.dominant_category(histories, _news(s, d), "impression_id")
+    clicked = log.where("clicked = 1").groupBy("impression_id").agg(F.min("item_id").alias("item_id"))
+    clicked = clicked.join(_news(s, d).select("item_id", "category"), "item_id").drop("item_id")
+    rows = m.join(n, "impression_id", "left").join(clicked, "impression_id", "left").join(often, "impression_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    match = F.coalesce(F.col("category") == F.col("dominant_category"), F.lit(False))
+    rows = rows.select("hit", SL.history_bucket("n").alias("bucket"), (F.col("n") == 0).alias("cold"), match.alias("category_match"))
     return SL.failure_segments(rows).withColumn("miss_rate", F.round("miss_rate", 6))
 
 
