@@ -319,7 +319,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     The word factor has a hashed feature for each pair of words, of weight log(1 + t / (g * q)) over the class's counts
     q = (c + 1) / (N_class + V_class + 1), whose last part is the unseen word: t + g * q once normalised, where t is the
     pair's discounted share of its context (word before and class) and g what the discounts leave. Its weights thus
-    have a closed form and take no gradient steps. The whole sums to 1. Classes group common words and word endings by
+    have a closed form and take no gradient steps. The whole sums to 1, but for features whose hashes collide (48 bits of a
+    context, 32 of a word in it). Classes group common words and word endings by
     their neighbours.
 
     Counts cover the whole corpus. Words of at least one token in KNOWN (so at most KNOWN words) are known to every
