@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_model, licenses, line_dedup, minhash, mixing, quality, tokens, warc
+from . import decontaminate, exact_dedup, language_model, licenses, line_dedup, merkle, minhash, mixing, quality, secrets, tokens, warc
 from .shared import table
 
 
@@ -57,10 +57,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars").cast("decimal(38,0)") + 1).otherwise(F.col("n_chars"))
+    out = merkle.audit(table(spark, sf_dir, "documents"), changed={"n_chars": tampered.cast("decimal(38,0)")})
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_token_output, op3_minhash, op4_language_model, op5_line_dedup, op6_decontamination, op7_licenses, op8_quality, op9_exact_dedup, op10_warc)
-}
+    for f in (
+        op1_mixing, op2_token_output, op3_minhash, op4_language_model, op5_line_dedup, op6_decontamination, op7_licenses, op8_quality, op9_exact_dedup, op10_warc, op11_merkle,
+        op12_secrets,
+    )
+}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
