@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import lean
 
@@ -260,7 +261,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", limit: int = LAYER_BYT
     limit bytes together; n_unread counts the layers of which some is left."""
     columns = [c for c in docs.columns if c not in ("secrets", "n_layers", "n_unread")]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("layers", pa.string())])
-    schema = docs.select(*[F.col(f"`{c}`") for c in columns]).schema
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns])
 
     def run(batches):
         for batch in batches:
@@ -274,8 +275,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", limit: int = LAYER_BYT
             new = [pa.array(spans, pa.list_(span)), pa.array(layers, pa.int64()), pa.array(unread, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "secrets", "n_layers", "n_unread"])
 
-    out = schema.add("secrets", "array<struct<start:bigint,end:bigint,kind:string,layers:string>>").add("n_layers", "long").add("n_unread", "long")
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(lean(run), out)
+    new = StructType.fromDDL("secrets array<struct<start:bigint,end:bigint,kind:string,layers:string>>, n_layers bigint, n_unread bigint")
+    return rows.mapInArrow(lean(run), StructType([*rows.schema, *new]))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
