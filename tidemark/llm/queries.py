@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_model, licenses, line_dedup, merkle, minhash, mixing, quality, secrets, tokens, warc
+from . import alignment, decontaminate, exact_dedup, language_model, licenses, line_dedup, merkle, minhash, mixing, quality, secrets, tokens, warc
 from .shared import table
 
 
@@ -67,11 +67,15 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_token_output, op3_minhash, op4_language_model, op5_line_dedup, op6_decontamination, op7_licenses, op8_quality, op9_exact_dedup, op10_warc, op11_merkle,
-        op12_secrets,
+        op12_secrets, op13_alignment,
     )
 }
 

@@ -283,5 +283,5 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per row: counts of the text's own matches by kind, the sha256 of their list, the list of all spans."""
     own = F.filter("secrets", lambda s: s["layers"] == "")
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter(own, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(id_col, *counts, F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), "n_layers", "n_unread")
+    count = lambda kind: F.size(F.filter(own, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(id_col, *map(count, KINDS), F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), "n_layers", "n_unread")

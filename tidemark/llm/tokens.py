@@ -217,13 +217,13 @@ class PieceEncoder:
     RUNS = re.compile(f"[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|\n")
     WORD = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")  # the commonest pieces
 
-    def __init__(self, path: str, keep: int | None = None):
+    def __init__(self, path: str, keep: int | None = None, special: bool = True):
         self.KEEP = keep or self.KEEP
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not special
         self.tokenizer, self.tokenize, self.now, self.older, self.inner = tokenizer, tokenizer.model.tokenize, {}, {}, {}
         self.largest = max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         # the letters that stand for bytes, as the library's own byte-level step gives them
