@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import Scratch, lean, small_batches
+from .shared import Scratch, checked_broadcast, lean, small_batches
 from .tokens import PieceEncoder
 
 #: Bytes of text whose words share a dictionary.
@@ -32,6 +32,7 @@ KEPT = 50_000
 #: Texts with this character are not what a sentencepiece model gives back: it stands for the space.
 MARK = "▁"
 _CUT = re.compile(r"(?<=[^ ]) (?=\S)")
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _CHUNKS = "chunk long, ids array<bigint>, sizes array<int>, codes binary, words array<string>, counts array<bigint>"
 
 
@@ -115,7 +116,8 @@ def chunked(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
 
 
 def encoded(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """words (key, word, ...) with a and b: arrays of (id, bytes) of a space and the word by both tokenizers.
+    """words (key, word, ...) with the tokens of a space and the word: ids (those of A, then those of B), sizes (their bytes)
+    and n_a, how many are of A.
 
     a: a byte-level BPE of the tokenizers library; b: a sentencepiece model that leaves texts as they are, adds the space and
     falls back to bytes. A word whose tokens don't make up its bytes ends the job: such a model needs whole texts."""
@@ -134,56 +136,64 @@ def encoded(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
             size_b[i] = 1 if b.is_byte(i) else len(b.id_to_piece(i).replace(MARK, " ").encode())
         assert len(step.pre_tokenize_str("é")[0][0]) == 2
 
-        def tokens(flat: np.ndarray, each: np.ndarray, sizes: np.ndarray, want: np.ndarray) -> pa.Array:
-            ends = np.concatenate([[0], np.cumsum(each)])
-            length = sizes[flat]
-            if not np.array_equal(np.diff(np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[ends]), want):
+        def checked(flat: np.ndarray, each: np.ndarray, sizes: np.ndarray, want: np.ndarray) -> np.ndarray:
+            size = sizes[flat]
+            upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            if not np.array_equal(np.diff(upto[np.concatenate([[0], np.cumsum(each)])]), want):
                 raise ValueError("tokens do not make up the text; the tokenizers must leave texts as they are")
-            items = pa.StructArray.from_arrays([pa.array(flat.astype(np.int32)), pa.array(length)], ["id", "size"])
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+            return size
 
         for batch in batches:
             words = batch.column(batch.schema.get_field_index("word"))
             want = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
             texts = words.to_pylist()
             parts = [a.piece(w) if w and not w[0].isspace() else a._whole(" " + w) for w in texts]
-            side_a = tokens(np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4, size_a, want)
+            flat_a, n_a = np.frombuffer(b"".join(parts), "<u4").astype(np.int64), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
             ids = b.encode(texts, num_threads=1)
-            side_b = tokens(np.fromiter((i for x in ids for i in x), np.int64), np.fromiter(map(len, ids), np.int64, len(ids)), size_b, want)
-            yield pa.RecordBatch.from_arrays([*batch.columns, side_a, side_b], names=[*batch.schema.names, "a", "b"])
-
-    new = StructType.fromDDL("a array<struct<id:int,size:int>>, b array<struct<id:int,size:int>>")
+            flat_b, n_b = np.fromiter((i for x in ids for i in x), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+            # a word's tokens of A, then those of B
+            upto = np.cumsum(n_a + n_b)
+            at_a = np.arange(len(flat_a)) + np.repeat(upto - np.cumsum(n_a) - n_b, n_a)
+            at_b = np.arange(len(flat_b)) + np.repeat(upto - np.cumsum(n_b), n_b)
+            out_ids, out_sizes = np.empty(len(flat_a) + len(flat_b), np.int32), np.empty(len(flat_a) + len(flat_b), np.int16)
+            out_ids[at_a], out_ids[at_b] = flat_a, flat_b
+            out_sizes[at_a], out_sizes[at_b] = checked(flat_a, n_a, size_a, want), checked(flat_b, n_b, size_b, want)
+            ends = pa.array(np.concatenate([[0], upto]), pa.int32())
+            new = [pa.array(n_a.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(out_ids)), pa.ListArray.from_arrays(ends, pa.array(out_sizes))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "n_a", "ids", "sizes"])
+
+    new = StructType.fromDDL("n_a int, ids array<int>, sizes array<smallint>")
     return words.mapInArrow(lean(run), StructType([*words.schema, *new]))
 
 
 def cells(pairs: DataFrame) -> DataFrame:
-    """The stretches between neighbouring token ends of rows (key, a, b), each a link: key, end, the ids of the tokens of
+    """The stretches between neighbouring token ends of rows (key, n_a, ids, sizes), each a link: key, end, the ids of the tokens of
     both sides that it lies in (a, b), those that end with it (a_ends, b_ends, else null), and group, which counts the
     cuts from here to the text's end.
 
     Two tokens overlap in one such stretch at most, so the links are all overlapping pairs, each once, however long a
     group is. What ends at one place is brought together by grouping by key and end (an equi-join of the two sides);
     all steps use one deal by key."""
-    side = lambda s, n: F.transform(s, lambda t, i: F.struct(F.lit(n).alias("side"), i.alias("pos"), t["id"].alias("id"), t["size"].alias("size")))
-    tokens = pairs.repartition("key").select("key", F.explode(F.concat(side("a", 0), side("b", 1))).alias("t")).select("key", "t.*")
+    tokens = pairs.repartition("key").select("key", "n_a", F.posexplode(F.arrays_zip("ids", "sizes")).alias("pos", "t"))
+    tokens = tokens.select("key", (F.col("pos") >= F.col("n_a")).alias("side"), "pos", F.col("t.ids").alias("id"), F.col("t.sizes").alias("size"))
     upto = Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = tokens.withColumn("end", F.sum("size").over(upto))
-    own = lambda n: F.max(F.when(F.col("side") == n, F.col("id")))
-    met = ends.groupBy("key", "end").agg(own(0).alias("a_ends"), own(1).alias("b_ends"))
+    own = lambda n: F.max(F.when(F.col("side") == F.lit(n), F.col("id")))
+    met = ends.groupBy("key", "end").agg(own(False).alias("a_ends"), own(True).alias("b_ends"))
     back = Window.partitionBy("key").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.when(F.col("a_ends").isNotNull() & F.col("b_ends").isNotNull(), 1).otherwise(0)
     return met.select("key", "end", "a_ends", "b_ends", *[F.last(f"{s}_ends", ignorenulls=True).over(back).alias(s) for s in "ab"], F.sum(cut).over(back).alias("group"))
 
 
 def aligned(pairs: DataFrame) -> DataFrame:
-    """Per key: n_a, n_b, n_groups, groups (text: ids of A, `|`, ids of B, groups joined by `;`) and links (array of a, b)."""
+    """Per key: n_a, n_b, n_groups, said (text: ids of A, `|`, ids of B, groups joined by `;`) and links (array of a, b)."""
     ordered = lambda s: F.array_join(F.transform(F.filter("rows", lambda r: r[f"{s}_ends"].isNotNull()), lambda r: r[f"{s}_ends"].cast("string")), ",")
     rows = F.sort_array(F.collect_list(F.struct("end", "a_ends", "b_ends", "a", "b"))).alias("rows")
     groups = cells(pairs).groupBy("key", "group").agg(rows)
     groups = groups.select("key", "group", F.concat(ordered("a"), F.lit("|"), ordered("b")).alias("said"), "rows")
     out = groups.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("group")).alias("at"), "said"))).alias("said"), F.flatten(F.collect_list("rows")).alias("rows"))
     n = lambda s: F.size(F.filter("rows", lambda r: r[f"{s}_ends"].isNotNull()))
-    return out.select("key", n("a").alias("n_a"), n("b").alias("n_b"), F.size("said").alias("n_groups"), F.array_join(F.col("said.said"), ";").alias("groups"), F.transform("rows", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"))).alias("links"))
+    return out.select("key", n("a").alias("n_a"), n("b").alias("n_b"), F.size("said").alias("n_groups"), F.array_join(F.col("said.said"), ";").alias("said"), F.transform("rows", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"))).alias("links"))
 
 
 def pair_counts(words: DataFrame, scratch: Scratch) -> DataFrame:
@@ -194,33 +204,68 @@ def pair_counts(words: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(pairs.join(top, "b").select("a", "b", "count", F.col("count") == F.col("top")), "pairs").toDF("a", "b", "count", "best")
 
 
+def _packed(values: DataFrame) -> DataFrame:
+    """A few rows per chunk and task of values (chunk, code, said, and NUMBERS): compressed columns of the words."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def rows():
+            table = pa.Table.from_batches(held).sort_by([("chunk", "ascending"), ("code", "ascending")]).combine_chunks()
+            chunk = table["chunk"].to_numpy()
+            cuts = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1))
+            z, out = zstandard.ZstdCompressor(level=3), []
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(chunk)], strict=True):
+                part = table.slice(i, j - i)
+                said = z.compress("\n".join(part["said"].to_pylist()).encode())
+                numbers = b"".join(part[c].to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in NUMBERS)
+                out.append((int(chunk[i]), pack(np.diff(part["code"].to_numpy(), prepend=0)), said, z.compress(numbers)))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["chunk", "codes", "said", "numbers"])
+
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= GATHER:
+                yield rows()
+                held, n = [], 0
+        if n:
+            yield rows()
+
+    return values.select("chunk", "code", "said", *NUMBERS).mapInArrow(lean(run), "chunk long, codes binary, said binary, numbers binary")
+
+
 def _summed(parts: DataFrame, values: DataFrame) -> DataFrame:
-    """Per document, from its chunk's codes and the values of the chunk's words."""
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    """Per document, from its chunk's codes and the packed values of the chunk's words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("code")
-        said = right["groups"].combine_chunks() if right.num_rows else pa.array([], pa.string())
-        numbers = [right[c].to_numpy() for c in names]
-        out = {"doc_id": [], **{c: [] for c in names}, "groups_sha256": []}
-        for row in left.to_batches():
-            for k in range(row.num_rows):
-                ids, sizes, codes = row.column("ids")[k].values, row.column("sizes")[k].values.to_numpy(), unpack(row.column("codes")[k].as_py())
-                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-                out["doc_id"].append(ids)
-                for c, v in zip(names, numbers, strict=True):
-                    sums = np.concatenate([[0], np.cumsum(v[codes], dtype=np.int64)])
-                    out[c].append(pa.array(np.diff(sums[ends])))
-                digests, i = [], 0
-                while i < len(sizes):  # some documents at a time: the strings take much more room than the codes
-                    j = max(i + 1, int(np.searchsorted(ends, ends[i] + GATHER, side="right")) - 1)
-                    lists = pa.ListArray.from_arrays(pa.array(ends[i : j + 1] - ends[i], pa.int32()), said.take(pa.array(codes[ends[i] : ends[j]])))
-                    digests += [hashlib.sha256(s).hexdigest() if s else "" for s in pc.binary_join(lists, ";").cast(pa.binary()).to_pylist()]
-                    i = j
-                out["groups_sha256"].append(pa.array(digests, pa.string()))
+        codes, said, numbers = [], [], []
+        for row in right.to_pylist():
+            codes.append(np.cumsum(unpack(row["codes"])))
+            said.append(pa.array(zstandard.decompress(row["said"]).decode().split("\n"), pa.string()))
+            numbers.append(np.frombuffer(zstandard.decompress(row["numbers"]), np.uint8).reshape(len(NUMBERS), 8, -1).transpose(0, 2, 1).copy().view("<i8")[:, :, 0])
+        if codes:
+            order = np.argsort(np.concatenate(codes), kind="stable")
+            said, numbers = pa.concat_arrays(said).take(pa.array(order)), np.concatenate(numbers, axis=1)[:, order]
+        else:  # no document has words
+            said, numbers = pa.array([], pa.string()), np.empty((len(NUMBERS), 0), np.int64)
+        out = {"doc_id": [], **{c: [] for c in NUMBERS}, "groups_sha256": []}
+        for row in range(left.num_rows):
+            ids, sizes, codes = left["ids"][row].values, left["sizes"][row].values.to_numpy(), unpack(left["codes"][row].as_py())
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            out["doc_id"].append(ids)
+            for c, v in zip(NUMBERS, numbers, strict=True):
+                upto = np.concatenate([[0], np.cumsum(v[codes])])
+                out[c].append(pa.array(np.diff(upto[ends])))
+            digests, i = [], 0
+            while i < len(sizes):  # some documents at a time: the strings take much more room than the codes
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + GATHER, side="right")) - 1)
+                lists = pa.ListArray.from_arrays(pa.array(ends[i : j + 1] - ends[i], pa.int32()), said.take(pa.array(codes[ends[i] : ends[j]])))
+                digests += [hashlib.sha256(s).hexdigest() if s else "" for s in pc.binary_join(lists, ";").cast(pa.binary()).to_pylist()]
+                i = j
+            out["groups_sha256"].append(pa.array(digests, pa.string()))
         return pa.table({c: pa.chunked_array(v) for c, v in out.items()})
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", groups_sha256 string"
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in NUMBERS) + ", groups_sha256 string"
     return parts.select("chunk", "ids", "sizes", "codes").groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(run, schema)
 
 
@@ -234,13 +279,21 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, limit: int = CHUN
     scratch = Scratch(spark, "alignment")
     with small_batches(spark, 2000):
         parts = scratch.save(chunked(docs, limit), "chunks")
-    places = scratch.load("chunks", parts.schema).select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select("chunk", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    words = places.groupBy("word").agg(F.sum("n").alias("n")).withColumn("key", F.monotonically_increasing_id())
-    words = scratch.save(encoded(words, path_a, path_b), "words")
-    found = scratch.save(aligned(words.select("key", "a", "b")).join(words.select("key", "word", "n"), "key"), "aligned")
+
+    def places() -> DataFrame:
+        each = scratch.load("chunks", parts.schema).select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w"))
+        return each.select("chunk", "code", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+
+    words = encoded(places().groupBy("word").agg(F.sum("n").alias("n")).withColumn("key", F.monotonically_increasing_id()), path_a, path_b)
+    words = scratch.save(words, "words")
+    found = scratch.save(aligned(words.select("key", "n_a", "ids", "sizes")).join(words.select("key", "word", "n"), "key"), "aligned")
+    scratch.settle("words")
     pairs = pair_counts(found, scratch)
     links = found.select("key", F.explode("links").alias("l")).select("key", "l.a", "l.b")
-    sums = links.join(pairs, ["a", "b"]).groupBy("key").agg(F.sum(F.col("best").cast("int")).alias("n_best"), F.sum("count").alias("count_sum"))
-    values = scratch.save(found.select("key", "word", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups").join(sums, "key").drop("key"), "values")
-    back = places.select("chunk", "code", "word").join(values, "word").drop("word")
+    sums = links.join(checked_broadcast(pairs), ["a", "b"]).groupBy("key").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    whole = found.select("key", "word", *[F.col(c).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups")], F.size("links").cast("long").alias("n_links"), "said")
+    values = scratch.save(whole.join(sums, "key").drop("key"), "values")
+    scratch.settle("aligned")
+    back = scratch.save(_packed(places().select("chunk", "code", "word").join(values, "word")), "back")
+    scratch.settle("values")
     return _summed(parts, back)

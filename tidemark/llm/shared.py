@@ -58,6 +58,12 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(conf).delete(p, True)
 
+    def settle(self, *names: str) -> None:
+        """Drops tables, and lets Spark remove the shuffle files of finished steps, which else wait for the driver's garbage."""
+        self.drop(*names)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
