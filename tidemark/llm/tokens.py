@@ -205,7 +205,8 @@ class PieceEncoder:
     A byte-level BPE of this kind never joins across a space that a non-space follows, so a text's ids are those of
     its pieces cut before such spaces, one after another. A piece of Latin letters, ASCII digits and marks and single
     line ends falls into runs of one kind, which the library's model encodes; any other piece goes through the whole
-    tokenizer (tests compare with whole texts). Runs of up to LONGEST characters are remembered from chunk to chunk, at
+    tokenizer (tests compare with whole texts). Strings of special tokens become those tokens, as the library does by
+    default (special=False: they are plain text); texts that hold one are encoded whole. Runs of up to LONGEST characters are remembered from chunk to chunk, at
     most KEEP in each of two generations, some 120 MB a worker (250 MB if all are of that length)."""
 
     KEEP, LONGEST = 400_000, 32
@@ -225,6 +226,8 @@ class PieceEncoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = not special
         self.tokenizer, self.tokenize, self.now, self.older, self.inner = tokenizer, tokenizer.model.tokenize, {}, {}, {}
+        # texts that hold one of these go through the library whole: white space before them is cut otherwise
+        self.whole = [t.content for t in tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         self.largest = max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         # the letters that stand for bytes, as the library's own byte-level step gives them
         step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -304,9 +307,15 @@ class PieceEncoder:
         wrong = odd[codes]  # white space before a word that is no single space: cut the text anew
         wrong[first] = False
         nothing = len(unique) + len(heads) + 1
-        for i in np.unique(np.searchsorted(at, np.flatnonzero(wrong), side="right") - 1).tolist():
-            parts = re.split(r" (?=\S)", texts[i].as_py())
-            heads[i] = b"".join([self._head(parts[0]), *map(self.piece, parts[1:])])
+        whole = np.zeros(len(texts), bool)
+        for content in self.whole:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        for i in np.union1d(np.searchsorted(at, np.flatnonzero(wrong), side="right") - 1, np.flatnonzero(whole)).tolist():
+            if whole[i]:
+                heads[i] = self._whole(texts[i].as_py())
+            else:
+                parts = re.split(r" (?=\S)", texts[i].as_py())
+                heads[i] = b"".join([self._head(parts[0]), *map(self.piece, parts[1:])])
             codes[at[i] : at[i + 1]] = nothing
         codes[first] = len(unique) + np.arange(len(heads))
         codes = np.insert(codes, at[1:], nothing - 1)
@@ -414,7 +423,8 @@ def read_shards(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, keep: int | None = None) -> DataFrame:
-    """Writes the shards and reads them back: doc_id, start, n_tokens, ids_crc32. Null text is empty (one id, the end);
+    """Writes the shards and reads them back: doc_id, start, n_tokens, ids_crc32. Ids are the library's with
+    add_special_tokens=False, so a special token's string inside a text is that token. Null text is empty (one id, the end);
     null ids come first; rows with one id follow each other by a hash of the text. Extra columns are ignored; an empty
     table gives no shard and an empty result."""
     scratch = Scratch(docs.sparkSession, "tokens")
