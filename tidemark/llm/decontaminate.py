@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .shared import SPACE, Scratch, checked_broadcast
 
@@ -106,8 +107,14 @@ def _forms(items: DataFrame) -> DataFrame:
     return items.where("n > 0").select("id", "n", F.explode(forms).alias("x")).select("id", "n", "x.*")
 
 
+def row_key(id_col: str) -> Column:
+    """What tells rows apart: id and text, nulls included (fields of a struct that are null compare as equal)."""
+    return F.struct(F.col(id_col).alias(id_col), F.xxhash64("text").alias("h"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int = STRIDE) -> DataFrame:
-    """(doc_id, item_id, hits, consistent): documents and benchmark items with aligned template windows.
+    """(doc_id, item_id, hits, consistent, doc, item): documents and benchmark items with aligned template windows; doc and
+    item are their row_key.
 
     All windows of the items meet all windows of the documents, and each alignment found is then compared over its
     whole length. Windows of it count (hits) if their templates are equal and hold enough literal words, or if they are
@@ -117,26 +124,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int
     the item's values map one to one to the document's along the covered words, or if windows equal with their values
     cover as many words alone.
 
-    Null or empty texts share nothing; repeated rows and items count once a pair; extra columns are ignored."""
+    Null or empty texts share nothing; repeated rows and items count once a pair. Rows and items are told apart by id and
+    text: several texts under one id, or null ids, are rows each. Extra columns are ignored."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
-    items = scratch.save(_forms(templates(benchmark, "item_id")), "items")
+    items = scratch.save(_forms(templates(benchmark.select(row_key("item_id").alias("item_id"), "text"), "item_id")), "items")
     spans = [r["span"] for r in items.select(F.least("n", F.lit(width)).alias("span")).distinct().collect()]  # at most width values
     if not spans:
-        return scratch.save(spark.createDataFrame([], "doc_id long, item_id long, hits long, consistent boolean"), "pairs")
+        of = {f.name: f for f in (*docs.select("doc_id", row_key("doc_id").alias("doc")).schema, *benchmark.select("item_id", row_key("item_id").alias("item")).schema)}
+        schema = StructType([of["doc_id"], of["item_id"], StructField("hits", LongType()), StructField("consistent", BooleanType()), of["doc"], of["item"]])
+        return spark.createDataFrame([], schema)
     theirs = scratch.save(_item_windows(items, width, [(w, e) for w in sorted(spans) for e in (False, True)]), "windows")
     kinds = sorted((r["span"], r["exact"]) for r in theirs.select("span", "exact").distinct().collect())
-    ours = windows(templates(docs, "doc_id"), kinds).select(F.col("id").alias("doc_id"), "pos", "h", F.col("span").alias("w"), F.col("exact").alias("e"))
+    hashed = docs.select(row_key("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("doc_id"), "text")  # one number while windows are looked up
+    ours = windows(templates(hashed, "doc_id"), kinds).select(F.col("id").alias("doc_id"), "pos", "h", F.col("span").alias("w"), F.col("exact").alias("e"))
     met = ours.join(checked_broadcast(theirs), "h").where("w = span and e = exact")
     found = scratch.save(met.select("doc_id", "item_id", "first", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "found")
 
-    again = docs.select("doc_id", "text").join(checked_broadcast(scratch.save(found.select("doc_id").distinct(), "ids")), "doc_id", "left_semi")
-    own = templates(again, "doc_id").select(F.col("id").alias("doc_id"), "t", "s", "n")
+    again = hashed.join(checked_broadcast(scratch.save(found.select("doc_id").distinct(), "ids")), "doc_id", "left_semi")
+    own = templates(again.select(F.struct("doc", "doc_id").alias("row"), "text"), "row").select("id.doc", "id.doc_id", "t", "s", "n")
     other = items.select(F.col("id").alias("item_id"), "first", F.col("t").alias("bt"), F.col("s").alias("bs"), F.col("n").alias("item_n"))
     pairs = own.join(checked_broadcast(found), "doc_id").join(checked_broadcast(other), ["item_id", "first"])
     lo = F.greatest(F.lit(1), 1 - F.col("shift"))
     size = F.greatest(F.least("item_n", F.col("n") - F.col("shift")) - lo + 1, F.lit(0))
-    kept = ["doc_id", "item_id", "item_n"]
+    kept = ["doc", "item_id", "item_n"]
     pairs = _apart(pairs, kept, dt=F.slice("t", lo + F.col("shift"), size), ds=F.slice("s", lo + F.col("shift"), size), bt=F.slice("bt", lo, size), bs=F.slice("bs", lo, size))
     span = F.least("item_n", F.lit(width))
     starts = F.when(F.size("dt") >= span, F.sequence(F.lit(1), F.size("dt") - span + 1)).otherwise(F.array().cast("array<int>"))
@@ -155,21 +166,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int
     pairs = _apart(pairs, [*kept, "hits", "sure"], size=F.size("cover"), slots=slots)
     need = F.when(F.col("item_n") < width + 2 * stride, span).otherwise(F.lit(width + stride - 1))
     mapped = (F.size(F.array_distinct("slots.d")) == F.size("slots")) & (F.size(F.array_distinct("slots.b")) == F.size("slots"))
-    out = pairs.where(F.col("size") >= need).groupBy("doc_id", "item_id").agg(F.max("hits").alias("hits"), F.max(mapped | (F.col("sure") >= need)).alias("consistent"))
-    return scratch.save(out, "pairs")
+    out = pairs.where(F.col("size") >= need).groupBy("doc", F.col("item_id").alias("item")).agg(F.max("hits").alias("hits"), F.max(mapped | (F.col("sure") >= need)).alias("consistent"))
+    return scratch.save(out.select("doc.doc_id", "item.item_id", "hits", "consistent", "doc", "item"), "pairs")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, stride: int = STRIDE) -> DataFrame:
-    """One row per input row: doc_id, contaminated, n_items, item_id (the least of its items), hits (of its best)."""
+    """One row per input row: doc_id, contaminated, n_items, item_id (the least of its items), hits (of its best).
+    Rows are judged by their own text, whatever their id; item_id is null where only items without an id are held."""
     found = leaks(docs, benchmark, width, stride).where("consistent")
-    by_doc = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.min("item_id").alias("item_id"), F.max("hits").alias("hits"))
-    out = docs.select("doc_id").join(by_doc, "doc_id", "left")
+    by_doc = found.groupBy("doc").agg(F.count(F.lit(1)).alias("n_items"), F.min("item_id").alias("item_id"), F.max("hits").alias("hits"))
+    out = docs.select("doc_id", row_key("doc_id").alias("doc")).join(by_doc, "doc", "left")
     return out.select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "item_id", F.coalesce("hits", F.lit(0)).alias("hits")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark passage."""
-    gone = leaks(docs, benchmark).where("consistent").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that hold a benchmark passage; rows that share an id, or have none, are judged one by one."""
+    gone = leaks(docs, benchmark).where("consistent").select(F.col("doc").alias("__doc")).distinct()
+    rows = docs.withColumn("__doc", row_key("doc_id"))
+    return rows.join(gone, "__doc", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
