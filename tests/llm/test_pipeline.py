@@ -68,7 +68,6 @@ def test_stages(spark, sf):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     e = stages[4](spark, d, sf).orderBy("start").collect()
     at = 0
     for r in e:
