@@ -111,7 +111,8 @@ def test_towers_learn_and_encode(spark, tmp_path):
     assert e[1] == [(1, 1, 1), (0, 0, 0), (1, 2, 1)] and e[2] == [] and len(e[3]) == 20
     log = spark.createDataFrame([(i, j, int(j % 3 == 0)) for i in (1,) for j in range(12)], "impression_id long, item_id long, clicked int")
     encoded = towers.encode_histories(h, codes).cache()
-    data = towers.examples(log, encoded, codes).cache()
+    extra = spark.createDataFrame([(3, 5), (2, 7)], "impression_id long, negative_id long")
+    data = towers.training_sets(towers.examples(log, extra), encoded, codes).cache()
     model = towers.TwoTowers(3, 2, dim=4)
     # the gradient against differences of the loss
     got, eps = model.gradient(data), 1e-5
@@ -122,8 +123,12 @@ def test_towers_learn_and_encode(spark, tmp_path):
         low = model.gradient(data)["loss"]
         model.p[name][at] += eps
         assert np.isclose((up - low) / (2 * eps), got["grad"][name][at], atol=1e-6), name
-    losses = model.train(data, 25, batches=1, rate=0.05)
-    assert losses[-1] < 0.5 * losses[0]
+    parts = towers.in_parts(data, 3)
+    assert parts.count() == 3 and parts.select(*data.columns).exceptAll(data).count() == 0
+    losses = model.train(parts, 20, rate=0.05)
+    by_epoch = [sum(x["n"] for x in losses if x["epoch"] == e) for e in range(1, 21)]
+    assert by_epoch == [14] * 20 and [x["step"] for x in losses] == list(range(1, len(losses) + 1))
+    assert model.gradient(data)["loss"] < 0.5 * got["loss"]
     model.save(spark, str(tmp_path / "towers"))
     again = towers.TwoTowers.load(spark, str(tmp_path / "towers"))
     assert np.allclose(again.parts()[0], model.parts()[0])

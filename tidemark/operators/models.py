@@ -122,8 +122,8 @@ def collaborative_scores(log: DataFrame, u: DataFrame, v: DataFrame, popularity:
     return out.select(*log.columns, score.alias("score"), F.col("u").isNull().alias("fallback"))
 
 
-def sample_negatives(positives: DataFrame, catalog: DataFrame, clicked: DataFrame, n: int = 4, seed: int = 7) -> DataFrame:
-    """positives (user_id, item_id) with n negatives each, uniform over the catalog with replacement, never the positive
+def sample_negatives(positives: DataFrame, catalog: DataFrame, clicked: DataFrame, n: int = 4, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """positives (user_id, item_id, and what keep names) with n negatives each, uniform over the catalog with replacement, never the positive
     nor one that the user clicked; a user who clicked all of the catalog gets none.
 
     The k-th free item of a user is found without listing the free ones: the user's clicked places, sorted, are shifted
@@ -136,12 +136,7 @@ def sample_negatives(positives: DataFrame, catalog: DataFrame, clicked: DataFram
     own = own.select("user_id", F.transform("own", lambda x, i: x - i).alias("shifted"))
     draws = positives.join(own, "user_id", "left").crossJoin(F.broadcast(size)).withColumn("shifted", F.coalesce("shifted", F.array().cast("array<bigint>")))
     draws = draws.withColumn("free", F.col("size") - F.size("shifted")).where("free > 0").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    draw = F.pmod(F.xxhash64("user_id", "item_id", "t", F.lit(seed)), F.col("free"))
+    draw = F.pmod(F.xxhash64(*keep, "user_id", "item_id", "t", F.lit(seed)), F.col("free"))
     draws = draws.withColumn("draw", draw).withColumn("place", F.col("draw") + F.size(F.filter("shifted", lambda x: x <= F.col("draw"))))
-    return draws.select("user_id", "item_id", "place").join(numbers.withColumnRenamed("item_id", "negative_id"), "place").select("user_id", "item_id", "negative_id")
+    return draws.select(*keep, "user_id", "item_id", "place").join(numbers.withColumnRenamed("item_id", "negative_id"), "place").select(*keep, "user_id", "item_id", "negative_id")
 
-
-def training_examples(log: DataFrame, negatives: DataFrame) -> DataFrame:
-    """Shown candidates with their labels, and sampled negatives with label 0."""
-    shown = log.select("user_id", "item_id", F.col("clicked").cast("int").alias("label"))
-    return shown.unionAll(negatives.select("user_id", F.col("negative_id").alias("item_id"), F.lit(0).alias("label")))

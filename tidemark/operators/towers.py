@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .ranking import metrics
 from .vectors import exact_top_n, vocabulary
 
@@ -64,33 +65,37 @@ class TwoTowers:
         means = long.select(key, F.posexplode("v").alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("m")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("q"))
         return encoded.select(key).join(means.select(key, F.transform("q", lambda e: e["m"]).alias("q")), key, "left").select(key, F.coalesce("q", zero).alias("q"))
 
-    def gradient(self, examples: DataFrame) -> dict | None:
-        """Mean loss and gradient over examples (codes, cat, subcat, label), each task giving sums per vocabulary value:
-        what reaches the driver is as large as the parameters, not the data."""
+    def gradient(self, sets: DataFrame) -> dict | None:
+        """Mean loss and gradient over training_sets, each task giving sums per vocabulary value: what reaches the driver is
+        as large as the parameters, not the data. A batch is worked through by whole arrays; an impression's history
+        is summed up once for all its candidates."""
         a, s = self.parts()
         bias, dim = float(self.p["bias"][0]), self.dim
 
-        def run(frames):
-            ga, gs, total = np.zeros_like(a), np.zeros_like(s), np.zeros(3)  # bias, loss, rows
-            for f in frames:
-                for codes, cat, sub, y in zip(f["codes"], f["cat"], f["subcat"], f["label"], strict=True):
-                    seen = [(x["cat"], x["subcat"]) for x in codes if x["mask"]]
-                    hc, hs = [x for x, _ in seen], [x for _, x in seen]
-                    v = a[cat] + s[sub]
-                    u = (a[hc] + s[hs]).mean(0) if seen else np.zeros(dim)
-                    z = float(u @ v) + bias
-                    g = 1 / (1 + np.exp(-z)) - y
-                    ga[cat] += g * u
-                    gs[sub] += g * u
-                    if seen:
-                        np.add.at(ga, hc, g * v / len(seen))
-                        np.add.at(gs, hs, g * v / len(seen))
-                    total += (g, np.logaddexp(0, z) - y * z, 1)
+        def run(batches):
+            ga, gs, total = np.zeros_like(a), np.zeros_like(s), np.zeros(3)  # bias, loss, examples
+            for batch in batches:
+                (of_h, h), (of_c, c) = (_flat(batch.column(i)) for i in range(2))
+                known = h["mask"] > 0
+                of_h, hc, hs = of_h[known], h["cat"][known], h["subcat"][known]
+                size = np.maximum(np.bincount(of_h, minlength=batch.num_rows), 1)[:, None]
+                u, du = np.zeros((batch.num_rows, dim)), np.zeros((batch.num_rows, dim))
+                np.add.at(u, of_h, a[hc] + s[hs])
+                u /= size
+                v, y = a[c["cat"]] + s[c["subcat"]], c["label"].astype(float)
+                z = np.einsum("ij,ij->i", u[of_c], v) + bias
+                g = 1 / (1 + np.exp(-z)) - y
+                np.add.at(du, of_c, g[:, None] * v)
+                own, past = g[:, None] * u[of_c], (du / size)[of_h]
+                for grad, cand, seen in ((ga, c["cat"], hc), (gs, c["subcat"], hs)):
+                    np.add.at(grad, cand, own)
+                    np.add.at(grad, seen, past)
+                total += (g.sum(), (np.logaddexp(0, z) - y * z).sum(), len(y))
             flat = np.concatenate([ga.ravel(), gs.ravel(), total])
             at = np.flatnonzero(flat)
-            yield pd.DataFrame({"i": at, "x": flat[at]})
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["i", "x"])
 
-        sums = examples.select("codes", "cat", "subcat", F.col("label").cast("double").alias("label")).mapInPandas(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
+        sums = sets.select("codes", "shown").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
         flat = np.zeros(a.size + s.size + 3)
         for r in sums.collect():
             flat[r["i"]] = r["x"]
@@ -100,23 +105,25 @@ class TwoTowers:
         ga, gs = flat[: a.size].reshape(a.shape) / n, flat[a.size : a.size + s.size].reshape(s.shape) / n
         w = self.p["w"]
         grad = {"c": ga @ w[:dim].T, "s": gs @ w[dim:].T, "w": np.concatenate([self.p["c"].T @ ga, self.p["s"].T @ gs]), "b": gs.sum(0), "bias": flat[-3:-2] / n}
-        return {"loss": flat[-2] / n, "grad": grad}
-
-    def train(self, examples: DataFrame, steps: int, batches: int = 8, rate: float = 1e-3) -> list[float]:
-        """Adam on the mean log loss, a distributed gradient a step, each over one of `batches` parts of the examples
-        (by a hash of the row); gives the losses. examples should be a written or cached table."""
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v2, losses = {k: np.zeros_like(v) for k, v in self.p.items()}, []
-        part = F.pmod(F.xxhash64(*examples.columns), F.lit(batches))
-        for t in range(1, steps + 1):
-            got = self.gradient(examples.where(part == (t - 1) % batches))
-            if got is None:
-                continue
-            losses.append(got["loss"])
-            for k, g in got["grad"].items():
-                m[k], v2[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v2[k] + 0.001 * g * g
-                self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.999**t)) + 1e-8)
-        return losses
+        return {"loss": flat[-2] / n, "n": int(n), "grad": grad}
+
+    def train(self, sets: DataFrame, epochs: int = 1, rate: float = 1e-3) -> list[dict]:
+        """Adam on the mean log loss: an epoch takes every part of sets once, a distributed gradient each, so it reads every
+        example. sets: training_sets with a part (in_parts), partitioned by it. Gives step, epoch, loss, n (examples)."""
+        m, v2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        parts, log = [r["part"] for r in sets.select("part").distinct().orderBy("part").collect()], []  # as many as in_parts was told
+        turn = np.random.default_rng(11)
+        for epoch in range(1, epochs + 1):
+            for part in turn.permutation(parts).tolist():
+                got = self.gradient(sets.where(F.col("part") == part))
+                if got is None:
+                    continue
+                t = len(log) + 1
+                log.append({"step": t, "epoch": epoch, "loss": float(got["loss"]), "n": got["n"]})
+                for k, g in got["grad"].items():
+                    m[k], v2[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v2[k] + 0.001 * g * g
+                    self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.999**t)) + 1e-8)
+        return log
 
     def save(self, spark, path: str) -> None:
         """The parameters as a table: name, row, values."""
@@ -134,13 +141,32 @@ class TwoTowers:
         return out
 
 
-def examples(log: DataFrame, encoded: DataFrame, codes: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
-    """codes (of the impression's history), cat, subcat, label: shown candidates, and negatives (impression_id,
-    negative_id) with label 0."""
-    rows = log.select("impression_id", "item_id", F.col("clicked").cast("int").alias("label"))
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """A column of arrays of structs: the row of each element, and the fields of all elements."""
+    rows = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    items = column.flatten()
+    return rows, {f.name: items.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(items.type)}
+
+
+def examples(log: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
+    """impression_id, item_id, label, sampled: shown candidates with their clicks, and negatives (impression_id, negative_id)
+    with label 0."""
+    rows = log.select("impression_id", "item_id", F.col("clicked").cast("int").alias("label"), F.lit(False).alias("sampled"))
     if negatives is not None:
-        rows = rows.unionByName(negatives.select("impression_id", F.col("negative_id").alias("item_id"), F.lit(0).alias("label")))
-    return rows.join(codes, "item_id").join(encoded, "impression_id").select("codes", "cat", "subcat", "label")
+        rows = rows.unionByName(negatives.select("impression_id", F.col("negative_id").alias("item_id"), F.lit(0).alias("label"), F.lit(True).alias("sampled")))
+    return rows
+
+
+def training_sets(rows: DataFrame, encoded: DataFrame, codes: DataFrame) -> DataFrame:
+    """A row per impression: codes (of its history) and shown (array of cat, subcat, label of its examples). The history is
+    joined once an impression, not once an example; an impression's examples are few."""
+    met = rows.join(codes, "item_id").groupBy("impression_id").agg(F.collect_list(F.struct("cat", "subcat", "label")).alias("shown"))
+    return met.join(encoded, "impression_id").select("impression_id", "codes", "shown")
+
+
+def in_parts(sets: DataFrame, parts: int = 8, seed: int = 7) -> DataFrame:
+    """sets with part, by a hash of the impression, written in a folder per part: a step of training reads its own only."""
+    return written(sets.withColumn("part", F.pmod(F.xxhash64("impression_id", F.lit(seed)), F.lit(parts)).cast("int")), "training", ["part"])
 
 
 def clicked_sets(log: DataFrame) -> DataFrame:

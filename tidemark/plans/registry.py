@@ -19,6 +19,7 @@ from ..operators import slates as SL
 from ..operators import validation as V
 from ..operators import vectors as X
 from ..sources import adapters as A
+from ..sources.scratch import written
 from ..streaming import consumer as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -637,18 +638,34 @@ def arr3_encoded_history(s, d):
     return e.select("impression_id", F.array_join(F.transform("codes", lambda x: F.concat_ws(":", x["cat"].cast("string"), x["subcat"].cast("string"), x["mask"].cast("string"))), " ").alias("codes"))
 
 
-def _trained(s, d, steps=6):
-    log, codes = _cand(s, d), TW.item_codes(_news(s, d)).cache()
-    encoded = TW.encode_histories(_beh(s, d).select("impression_id", L.history_ids().cast("array<bigint>").alias("ids")), codes).cache()
+def _negatives(s, d):
+    """Four for every click of an impression, none of which the user clicked anywhere."""
+    clicks = _cand(s, d).where("clicked = 1").select("impression_id", "user_id", "item_id")
+    return M.sample_negatives(clicks, _news(s, d), clicks, keep=("impression_id",))
+
+
+def _trained(s, d, epochs=2):
+    log, codes = _cand(s, d), written(TW.item_codes(_news(s, d)), "codes")
+    encoded = written(TW.encode_histories(_beh(s, d).select("impression_id", L.history_ids().cast("array<bigint>").alias("ids")), codes), "histories")
     size = codes.agg(F.max("cat").alias("c"), F.max("subcat").alias("s")).first()
     model = TW.TwoTowers(size["c"], size["s"], dim=16)
-    return model, model.train(TW.examples(log, encoded, codes).cache(), steps), codes, encoded
+    sets = TW.in_parts(TW.training_sets(TW.examples(log, _negatives(s, d)), encoded, codes))
+    return model, model.train(sets, epochs, rate=0.02), codes, encoded
+
+
+@query(""", k AS (SELECT user_id, count(DISTINCT item_id) AS own FROM cand WHERE clicked = 1 GROUP BY 1)
+  SELECT FALSE AS sampled, clicked::INT AS label, count(*) AS n, count(DISTINCT impression_id) AS impressions FROM cand GROUP BY ALL
+  UNION ALL SELECT TRUE, 0, 4 * count(*), count(DISTINCT impression_id) FROM cand JOIN k USING (user_id) WHERE clicked = 1 AND own < (SELECT count(DISTINCT item_id) FROM news)""")
+def set1_training_examples(s, d):
+    """All examples that training reads, by where they come from."""
+    rows = TW.examples(_cand(s, d), _negatives(s, d))
+    return rows.groupBy("sampled", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("impression_id").alias("impressions"))
 
 
 @query()
 def ml6_training_losses(s, d):
-    losses = _trained(s, d)[1]
-    return s.createDataFrame([(i + 1, float(x)) for i, x in enumerate(losses)], "step int, loss double")
+    """Two epochs over all shown candidates and sampled negatives: n of an epoch's steps add up to all examples."""
+    return s.createDataFrame([tuple(x.values()) for x in _trained(s, d)[1]], "step int, epoch int, loss double, n_examples long")
 
 
 @query()
