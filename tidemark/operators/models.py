@@ -9,7 +9,7 @@ from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import numbered, running_total
+from ..functions.ordering import exact_quantiles, numbered, running_total
 
 
 def dominant_category(histories: DataFrame, catalog: DataFrame, key: str = "user_id") -> DataFrame:
@@ -86,11 +86,29 @@ def log_loss_auc(scored: DataFrame, label: str = "clicked", p: str = "p") -> Dat
 
 def calibration_bins(scored: DataFrame, n: int = 10, label: str = "clicked", p: str = "p") -> DataFrame:
     """bin, mean_predicted, observed, n of equal-frequency bins, right-closed; equal edges are one, empty bins vanish."""
-    edges = scored.agg(F.array_distinct(F.percentile(p, F.array(*[F.lit(i / n) for i in range(n + 1)]))).alias("edges"))
+    edges = exact_quantiles(scored, p, [i / n for i in range(n + 1)]).select(F.array_distinct("quantiles").alias("edges"))
     b = F.greatest(F.size(F.filter("edges", lambda e: e < F.col(p))) - 1, F.lit(0))
     return scored.crossJoin(F.broadcast(edges)).groupBy(b.alias("bin")).agg(F.avg(p).alias("mean_predicted"), F.avg(label).alias("observed"), F.count(F.lit(1)).alias("n"))
 
 
+def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """x, y, r: Pearson's correlation of every two columns, x <= y in their order, rounded to 4 places; null where one
+    doesn't vary. One pass with a sum per pair."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    typed = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    one = typed.agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in columns], *[F.covar_pop(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    r = lambda i, a, b: F.round(F.col(f"c{i}") / F.nullif(F.col(f"s_{a}") * F.col(f"s_{b}"), F.lit(0.0)), 4)
+    each = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r(i, a, b).alias("r")) for i, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(each).alias("c")).select("c.*")
+
+
+def column_statistics(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """column, mean, std (population), low, high."""
+    one = rows.agg(*[f(c).cast("double").alias(f"{f.__name__}_{c}") for c in columns for f in (F.avg, F.stddev_pop, F.min, F.max)])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{f}_{c}").alias(k) for f, k in (("avg", "mean"), ("stddev_pop", "std"), ("min", "low"), ("max", "high"))]) for c in columns])
+    return one.select(F.explode(each).alias("c")).select("c.*")
+
+
 def calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.abs(F.col("mean_predicted") - F.col("observed"))) / F.sum("n")).alias("ece"))
 

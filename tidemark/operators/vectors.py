@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,21 +18,22 @@ def norm(a) -> F.Column:
     return F.sqrt(dot(a, a))
 
 
-def _blocks(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """Blocks of about `size` rows by a hash of the key: keys, flat (the vectors one after another)."""
-    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k is not null and v is not null")
-    parts = -(-rows.count() // size) or 1
-    lists = rows.groupBy(F.pmod(F.xxhash64("k"), F.lit(parts)).alias("block")).agg(F.collect_list(F.struct("k", "v")).alias("x"))
-    return lists.select(F.transform("x", lambda e: e["k"]).alias(f"{key}_keys"), F.flatten(F.transform("x", lambda e: e["v"])).alias(f"{key}_flat"))
+def _blocks(df: DataFrame, key: str, vector: str, size: int, by: str | None = None) -> DataFrame:
+    """Blocks of about `size` rows by a hash of the key: keys, flat (the vectors one after another). With by, each of its
+    values has blocks of its own, as many as its rows need."""
+    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), *([by] if by else [])).where("k is not null and v is not null")
+    if by:
+        counts = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
+        rows = rows.join(F.broadcast(counts), by)  # a row per cell
+        block = [by, F.pmod(F.xxhash64("k"), F.col("parts")).alias("block")]
+    else:
+        block = [F.pmod(F.xxhash64("k"), F.lit(-(-rows.count() // size) or 1)).alias("block")]
+    lists = rows.groupBy(*block).agg(F.collect_list(F.struct("k", "v")).alias("x"))
+    return lists.select(*([by] if by else []), F.transform("x", lambda e: e["k"]).alias(f"{key}_keys"), F.flatten(F.transform("x", lambda e: e["v"])).alias(f"{key}_flat"))
 
 
-def exact_top_n(queries: DataFrame, items: DataFrame, n: int, size: int = 2048) -> DataFrame:
-    """query_id, item_id, score, rn: the n greatest inner products of each query (query_id, q) among items (item_id, v).
-
-    The stated query set meets all items block by block: a task multiplies two bounded blocks and keeps n per query of
-    it, and those meet by query. Neither side is broadcast or gathered. Ties go to the smaller id, null vectors are left out."""
-    kinds = queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    both = _blocks(items, "item_id", "v", size).crossJoin(_blocks(queries, "query_id", "q", size).hint("shuffle_replicate_nl"))
+def _best(both: DataFrame, n: int, kinds: tuple[str, str]) -> DataFrame:
+    """query_id, item_id, score, rn of pairs of blocks: a task multiplies two blocks and keeps n per query of the product."""
 
     def run(batches):
         for batch in batches:
@@ -54,6 +55,19 @@ def exact_top_n(queries: DataFrame, items: DataFrame, n: int, size: int = 2048)
     return pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n)
 
 
+def _kinds(queries: DataFrame, items: DataFrame) -> tuple[str, str]:
+    return queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+
+
+def exact_top_n(queries: DataFrame, items: DataFrame, n: int, size: int = 2048) -> DataFrame:
+    """query_id, item_id, score, rn: the n greatest inner products of each query (query_id, q) among items (item_id, v).
+
+    The stated query set meets all items block by block. Neither side is broadcast or gathered. Ties go to the smaller
+    id, null vectors are left out."""
+    both = _blocks(items, "item_id", "v", size).crossJoin(_blocks(queries, "query_id", "q", size).hint("shuffle_replicate_nl"))
+    return _best(both, n, _kinds(queries, items))
+
+
 def build_cells(items: DataFrame, cells: int, seed: int = 7, sample: int = 50_000):
     """k-means over at most `sample` items (those with the least hash of their id); all items get a cell."""
     some = items.orderBy(F.xxhash64("item_id")).limit(sample).select(array_to_vector("v").alias("features"))
@@ -63,20 +77,56 @@ def build_cells(items: DataFrame, cells: int, seed: int = 7, sample: int = 50_00
     return indexed, centres
 
 
-def cell_top_n(queries: DataFrame, indexed: DataFrame, centres: DataFrame, n: int, probes: int) -> DataFrame:
-    """As exact_top_n, but a query meets only the items of the `probes` cells whose centres it scores best."""
+def save_index(indexed: DataFrame, centres: DataFrame, path: str) -> None:
+    """The index as an artefact: items in a folder per cell, and the centres."""
+    indexed.repartition("cell", F.pmod(F.xxhash64("item_id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/items")
+    centres.write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/items"), spark.read.parquet(f"{path}/centres")
+
+
+def _probed(queries: DataFrame, centres: DataFrame, probes: int) -> DataFrame:
     near = exact_top_n(queries, centres.select(F.col("cell").alias("item_id"), F.col("centre").alias("v")), probes)
-    to = queries.join(near.select("query_id", F.col("item_id").alias("cell")), "query_id")
-    pairs = indexed.join(to, "cell").select("query_id", "item_id", dot("q", "v").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n)
+    return near.select("query_id", F.col("item_id").alias("cell"))
+
+
+def cell_top_n(queries: DataFrame, indexed: DataFrame, centres: DataFrame, n: int, probes: int, size: int = 2048) -> DataFrame:
+    """As exact_top_n, but a query meets only the items of the `probes` cells whose centres it scores best. Blocks of a
+    cell's items meet blocks of the queries that probe it, so neither a large cell nor a popular one lies in one task."""
+    to = queries.join(_probed(queries, centres, probes), "query_id")
+    both = _blocks(indexed, "item_id", "v", size, "cell").join(_blocks(to, "query_id", "q", size, "cell"), "cell").drop("cell")
+    return _best(both, n, _kinds(queries, indexed))
+
+
+def probe_sweep(queries: DataFrame, indexed: DataFrame, centres: DataFrame, n: int, probes: list[int]) -> DataFrame:
+    """A row per number of probes: recall (mean share of a query's exact n best that is found) and scanned (share of all
+    items that a query's probed cells hold, the cost of a search)."""
+    items = indexed.select("item_id", "v")
+    exact = exact_top_n(queries, items, n).select("query_id", "item_id")
+    near = exact_top_n(queries, centres.select(F.col("cell").alias("item_id"), F.col("centre").alias("v")), max(probes))
+    near = near.select("query_id", F.col("item_id").alias("cell"), F.col("rn").alias("at"))
+    # an exact neighbour is found as soon as its cell is probed
+    met = exact.join(indexed.select("item_id", "cell"), "item_id").join(near, ["query_id", "cell"], "left")
+    sizes = indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("held"))
+    cost = near.join(F.broadcast(sizes), "cell").crossJoin(F.broadcast(sizes.agg(F.sum("held").alias("all"))))
+    found = met.groupBy("query_id").agg(*[F.avg((F.coalesce("at", F.lit(1 << 30)) <= p).cast("int")).alias(f"r{p}") for p in probes]).agg(*[F.avg(f"r{p}").alias(f"r{p}") for p in probes])
+    read = cost.groupBy("query_id").agg(*[F.sum(F.when(F.col("at") <= p, F.col("held") / F.col("all"))).alias(f"s{p}") for p in probes]).agg(*[F.avg(f"s{p}").alias(f"s{p}") for p in probes])
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("probes"), F.col(f"r{p}").alias("recall"), F.col(f"s{p}").alias("scanned")) for p in probes]))
+    return found.crossJoin(F.broadcast(read)).select(rows.alias("x")).select("x.*")
+
+
+def probes_for(sweep: DataFrame, recall: float = 0.9) -> int:
+    """The fewest probes of a sweep that reach the recall."""
+    return sweep.where(F.col("recall") >= recall).agg(F.min("probes").alias("p")).first()["p"]
 
 
 def mean_vectors(members: DataFrame, items: DataFrame, key: str = "user_id") -> DataFrame:
-    """key, v: mean vector of each key's items (members: key, item_id), repeats counted; without any known item absent."""
-    long = members.join(items, "item_id").select(key, F.posexplode("v").alias("i", "x"))
-    means = long.groupBy(key, "i").agg(F.avg("x").alias("m"))
-    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("v"))
+    """key, v: mean vector of each key's items (members: key, item_id), repeats counted; without any known item absent.
+    A sum per place of the vector, so that a task sends a row per key, however many items it has."""
+    width = (items.agg(F.max(F.size("v")).alias("n")).first()["n"]) or 0
+    return members.join(items, "item_id").groupBy(key).agg(F.array(*[F.avg(F.col("v")[i]) for i in range(width)]).alias("v"))
 
 
 def vocabulary(items: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.ordering import rolling
 from ..operators import log as L
 from ..operators import models as M
 from ..operators import monitoring as MO
@@ -19,7 +20,7 @@ from ..operators import slates as SL
 from ..operators import validation as V
 from ..operators import vectors as X
 from ..sources import adapters as A
-from ..sources.scratch import written
+from ..sources.scratch import scratch_path, written
 from ..streaming import consumer as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,18 +256,35 @@ def top3_exact_neighbours(s, d):
     return X.exact_top_n(q, e, 10).select("query_id", "item_id", "rn")
 
 
+SWEEP = (1, 2, 4, 8, 16, 32, 64)
+
+
+def _index(s, d):
+    """An index of 64 cells over all vectors, stored and read again."""
+    path = scratch_path(s, "index")
+    X.save_index(*X.build_cells(_embeddings(s, d)[0], 64), path)
+    return X.load_index(s, path)
+
+
+@query()
+def ml8_index_sweep(s, d):
+    return X.probe_sweep(_embeddings(s, d)[1], *_index(s, d), 10, list(SWEEP))
+
+
 @query()
 def jn11_cell_neighbours(s, d):
-    e, q = _embeddings(s, d)
-    indexed, centres = X.build_cells(e, 16)
-    return X.cell_top_n(q, indexed, centres, 10, 12).select("query_id", "item_id", "rn")
+    """As many probes as the sweep needs for a recall of 0.9."""
+    q, (indexed, centres) = _embeddings(s, d)[1], _index(s, d)
+    probes = X.probes_for(X.probe_sweep(q, indexed, centres, 10, list(SWEEP)))
+    return X.cell_top_n(q, indexed, centres, 10, probes).select("query_id", "item_id", "rn")
 
 
 @query()
 def set3_cell_recall(s, d):
     e, q = _embeddings(s, d)
-    indexed, centres = X.build_cells(e, 16)
-    return R.overlap_share(X.exact_top_n(q, e, 10), X.cell_top_n(q, indexed, centres, 10, 12), "query_id", "item_id", 10)
+    indexed, centres = _index(s, d)
+    probes = X.probes_for(X.probe_sweep(q, indexed, centres, 10, list(SWEEP)))
+    return R.overlap_share(X.exact_top_n(q, e, 10), X.cell_top_n(q, indexed, centres, 10, probes), "query_id", "item_id", 10)
 
 
 @query("""SELECT label AS user_id, i::INT AS i, round(avg(x), 5) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY ALL""")
@@ -350,6 +368,26 @@ def agg22_score_statistics(s, d):
     )
 
 
+FEATS = ITEMS + """, ft AS (SELECT impression_id, item_id, clicked, coalesce(retrieval, 0)::DOUBLE AS retrieval_score, ln(1 + popularity)::DOUBLE AS popularity, CASE WHEN category = dc THEN 1.0 ELSE 0.0 END::DOUBLE AS category_match,
+    coalesce(similarity, 0)::DOUBLE AS content_similarity, coalesce(n, 0)::DOUBLE AS user_history_length, hour(time)::DOUBLE AS hour_of_day
+  FROM cand JOIN news USING (item_id) LEFT JOIN pop USING (item_id) LEFT JOIN l USING (impression_id) LEFT JOIN dc USING (impression_id) LEFT JOIN rs USING (impression_id, item_id) LEFT JOIN cs USING (impression_id, item_id))"""
+NAMES = [*RC.FEATURES, "clicked"]
+
+
+@query(FEATS + " UNION ALL ".join(
+    f" SELECT '{a}' AS x, '{b}' AS y, CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN round(corr({a}, {b}), 4) END AS r FROM ft" for i, a in enumerate(NAMES) for b in NAMES[i:]
+))
+def agg22_feature_correlations(s, d):
+    """All features and the click, against each other."""
+    return M.correlations(_feature_rows(s, d), NAMES)
+
+
+@query(FEATS + " UNION ALL ".join(f" SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS std, round(min({c}), 4)::DOUBLE AS low, round(max({c}), 4)::DOUBLE AS high FROM ft" for c in RC.FEATURES))
+def agg22_feature_statistics(s, d):
+    out = M.column_statistics(_feature_rows(s, d), list(RC.FEATURES))
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "low", "high")})
+
+
 @query()
 def ml4_collaborative_scores(s, d):
     log = _cand(s, d)
@@ -486,6 +524,20 @@ def win8_last_fifty(s, d):
     return last.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT event_id, round(avg(value) OVER w, 6) AS mean_score, max(value) OVER w AS high, count(*) OVER w AS n FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)""")
+def win8_rolling_responses(s, d):
+    """After each event the mean of the last 500 values, over the whole log."""
+    e = A.table(s, d, "events").select("event_id", "value")
+    out = rolling(e, "event_id", 500, mean_score=F.avg("value"), high=F.max("value"), n=F.count(F.lit(1)))
+    return out.select("event_id", F.round("mean_score", 6).alias("mean_score"), "high", "n")
+
+
+@query("""SELECT impression_id, item_id::VARCHAR AS item_id, 0 AS step, coalesce(greatest((epoch(time) - epoch(lag(time) OVER (ORDER BY time, impression_id, item_id))) / 60.0, 0), 0)::DOUBLE AS pause FROM cand""")
+def win7_replay_pauses(s, d):
+    """The pause before each candidate of the whole log, replayed 60 times as fast."""
+    return C.replay_events(_cand(s, d), speed=60.0).where("step = 0").select("impression_id", "item_id", "step", "pause")
+
+
 ONLINE = """, cl AS (SELECT user_id, event_id, item_id, ts FROM ev WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20),
   rl AS (SELECT user_id, string_agg(item_id, ' ' ORDER BY ts, event_id) AS recent FROM cl GROUP BY 1),
   ct AS (SELECT user_id, count(*) FILTER (event_type = 'impression') AS impressions, count(*) FILTER (event_type = 'click') AS clicks, max(ts) AS last_event_time FROM ev GROUP BY 1)"""

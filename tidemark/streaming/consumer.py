@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.ordering import with_previous
+
 FIELDS = {"event_id": "string", "event_type": "string", "schema_version": "int", "user_id": "string", "item_id": "string", "impression_id": "bigint", "timestamp": "string", "source": "string"}
 TYPES, VERSION, RECENT = ("impression", "view", "click", "skip"), 1, 20
 STATE = "recent array<string>, impressions bigint, clicks bigint, last_event_time string"
@@ -84,9 +86,9 @@ def recomputed(events: DataFrame, cutoff=None) -> DataFrame:
 
 def replay_events(log: DataFrame, limit: int | None = None, speed: float = 1.0) -> DataFrame:
     """Two events per candidate in log order (time, impression, place), with the pause that a replay at `speed` makes."""
-    ordered = log.orderBy("time", "impression_id", "item_id")
-    ordered = ordered.limit(limit) if limit is not None else ordered
-    gap = F.unix_timestamp("time") - F.unix_timestamp(F.lag("time").over(Window.orderBy("time", "impression_id", "item_id")))
+    rows = log.orderBy("time", "impression_id", "item_id").limit(limit) if limit is not None else log
+    rows = with_previous(rows.withColumn("at", F.unix_timestamp("time")), "at", "at", "before", ("impression_id", "item_id"))
+    gap, ordered = F.col("at") - F.col("before"), rows.orderBy("time", "impression_id", "item_id")
     both = F.array(F.lit("impression"), F.when(F.col("clicked") == 1, "click").otherwise("skip"))
     out = ordered.withColumn("pause", F.greatest(F.coalesce(gap / speed, F.lit(0.0)), F.lit(0.0)))
     return out.select("impression_id", "user_id", "item_id", "time", "pause", F.posexplode(both).alias("step", "event_type")).select(
