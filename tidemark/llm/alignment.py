@@ -27,6 +27,8 @@ from .tokens import PieceEncoder
 CHUNK_BYTES = 32 << 20
 #: Words of a chunk whose groups are put together at once.
 GATHER = 400_000
+#: A token as one number is its id plus WIDE times its bytes.
+WIDE = 1 << 20
 #: Runs that a worker's encoder remembers; words are distinct, so few come again.
 KEPT = 50_000
 #: Texts with this character are not what a sentencepiece model gives back: it stands for the space.
@@ -56,11 +58,14 @@ def cut_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes of all words of the texts (not empty), the words by frequency, and how many each text has. Words lack the
     space before them; one holds white space where that is more than a space between two other characters."""
     cut = pc.split_pattern(texts, " ")
-    sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = cut.flatten().dictionary_encode()
+    sizes, cut = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64), cut.flatten()
+    coded = cut.dictionary_encode()
     del cut
     codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-    odd = np.fromiter((not w or w.isspace() for w in pc.utf8_slice_codeunits(words, 0, 1).to_pylist()), bool, len(words))
+    del coded
+    heads = pc.utf8_slice_codeunits(words, 0, 1).dictionary_encode()
+    odd = np.array([not c or c.isspace() for c in heads.dictionary.to_pylist()], bool)[heads.indices.to_numpy(zero_copy_only=False)]
+    del heads
     wrong = odd[codes]
     if wrong.any():  # texts with other white space are cut anew
         upto, new, parts, done = np.cumsum(sizes), {}, [], 0
@@ -87,11 +92,14 @@ def chunked(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
 
         def row():
             all_texts, all_ids = pa.concat_arrays(texts), pa.concat_arrays(ids)
+            texts.clear()
+            ids.clear()
             valid = pc.and_(pc.greater(pc.binary_length(all_texts), 0), pc.invert(pc.match_substring(all_texts, MARK)))
-            at = np.flatnonzero(valid.to_numpy(zero_copy_only=False))
-            codes, words, n = cut_words(all_texts.filter(valid))
-            sizes = np.zeros(len(all_texts), np.int32)
-            sizes[at] = n
+            at, sizes = np.flatnonzero(valid.to_numpy(zero_copy_only=False)), np.zeros(len(all_texts), np.int32)
+            if len(at) < len(sizes):
+                all_texts = all_texts.filter(valid)
+            codes, words, sizes[at] = cut_words(all_texts)
+            del all_texts
             counts = np.bincount(codes, minlength=len(words))
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             out = [pa.array([task << 32 | seq], pa.int64()), one(all_ids), one(pa.array(sizes)), pa.array([pack(codes)], pa.binary()), one(words.cast(pa.string())), one(pa.array(counts, pa.int64()))]
@@ -108,7 +116,7 @@ def chunked(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
                 size, a = size + int(upto[b - 1]) - took, b
                 if size >= limit:
                     yield row()
-                    seq, texts, ids, size = seq + 1, [], [], 0
+                    seq, size = seq + 1, 0
         if texts:
             yield row()
 
@@ -116,25 +124,24 @@ def chunked(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
 
 
 def encoded(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """words (key, word, ...) with the tokens of a space and the word: ids (those of A, then those of B), sizes (their bytes)
-    and n_a, how many are of A.
+    """words (key, word, ...) with the tokens of a space and the word: tokens (those of A, then those of B; each its id plus
+    WIDE times its bytes) and n_a, how many are of A.
 
     a: a byte-level BPE of the tokenizers library; b: a sentencepiece model that leaves texts as they are, adds the space and
     falls back to bytes. A word whose tokens don't make up its bytes ends the job: such a model needs whole texts."""
 
     def run(batches):
         import sentencepiece
-        from tokenizers import pre_tokenizers
 
         a, b = PieceEncoder(path_a, KEPT, special=False), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        step = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         vocab = a.tokenizer.get_vocab(with_added_tokens=False)
         size_a, size_b = np.zeros(a.largest + 1, np.int32), np.zeros(b.vocab_size(), np.int32)
         for piece, i in vocab.items():
             size_a[i] = len(piece)  # a letter of a byte-level piece is a byte
         for i in range(b.vocab_size()):
             size_b[i] = 1 if b.is_byte(i) else len(b.id_to_piece(i).replace(MARK, " ").encode())
-        assert len(step.pre_tokenize_str("é")[0][0]) == 2
+        if max(len(size_a), len(size_b)) > WIDE or max(size_a.max(), size_b.max()) >= (1 << 31) // WIDE:
+            raise ValueError("a vocabulary of more ids, or with longer tokens, than a packed token holds")
 
         def checked(flat: np.ndarray, each: np.ndarray, sizes: np.ndarray, want: np.ndarray) -> np.ndarray:
             size = sizes[flat]
@@ -155,27 +162,26 @@ def encoded(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
             upto = np.cumsum(n_a + n_b)
             at_a = np.arange(len(flat_a)) + np.repeat(upto - np.cumsum(n_a) - n_b, n_a)
             at_b = np.arange(len(flat_b)) + np.repeat(upto - np.cumsum(n_b), n_b)
-            out_ids, out_sizes = np.empty(len(flat_a) + len(flat_b), np.int32), np.empty(len(flat_a) + len(flat_b), np.int16)
-            out_ids[at_a], out_ids[at_b] = flat_a, flat_b
-            out_sizes[at_a], out_sizes[at_b] = checked(flat_a, n_a, size_a, want), checked(flat_b, n_b, size_b, want)
-            ends = pa.array(np.concatenate([[0], upto]), pa.int32())
-            new = [pa.array(n_a.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(out_ids)), pa.ListArray.from_arrays(ends, pa.array(out_sizes))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "n_a", "ids", "sizes"])
-
-    new = StructType.fromDDL("n_a int, ids array<int>, sizes array<smallint>")
+            out = np.empty(len(flat_a) + len(flat_b), np.int32)
+            out[at_a] = flat_a + WIDE * checked(flat_a, n_a, size_a, want)
+            out[at_b] = flat_b + WIDE * checked(flat_b, n_b, size_b, want)
+            new = [pa.array(n_a.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]), pa.int32()), pa.array(out))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "n_a", "tokens"])
+
+    new = StructType.fromDDL("n_a int, tokens array<int>")
     return words.mapInArrow(lean(run), StructType([*words.schema, *new]))
 
 
 def cells(pairs: DataFrame) -> DataFrame:
-    """The stretches between neighbouring token ends of rows (key, n_a, ids, sizes), each a link: key, end, the ids of the tokens of
+    """The stretches between neighbouring token ends of rows (key, n_a, tokens), each a link: key, end, the ids of the tokens of
     both sides that it lies in (a, b), those that end with it (a_ends, b_ends, else null), and group, which counts the
     cuts from here to the text's end.
 
     Two tokens overlap in one such stretch at most, so the links are all overlapping pairs, each once, however long a
     group is. What ends at one place is brought together by grouping by key and end (an equi-join of the two sides);
     all steps use one deal by key."""
-    tokens = pairs.repartition("key").select("key", "n_a", F.posexplode(F.arrays_zip("ids", "sizes")).alias("pos", "t"))
-    tokens = tokens.select("key", (F.col("pos") >= F.col("n_a")).alias("side"), "pos", F.col("t.ids").alias("id"), F.col("t.sizes").alias("size"))
+    tokens = pairs.repartition("key").select("key", "n_a", F.posexplode("tokens").alias("pos", "t"))
+    tokens = tokens.select("key", (F.col("pos") >= F.col("n_a")).alias("side"), "pos", (F.col("t") % WIDE).alias("id"), F.expr(f"t div {WIDE}").alias("size"))
     upto = Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = tokens.withColumn("end", F.sum("size").over(upto))
     own = lambda n: F.max(F.when(F.col("side") == F.lit(n), F.col("id")))
@@ -286,7 +292,8 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, limit: int = CHUN
 
     words = encoded(places().groupBy("word").agg(F.sum("n").alias("n")).withColumn("key", F.monotonically_increasing_id()), path_a, path_b)
     words = scratch.save(words, "words")
-    found = scratch.save(aligned(words.select("key", "n_a", "ids", "sizes")).join(words.select("key", "word", "n"), "key"), "aligned")
+    scratch.settle()
+    found = scratch.save(aligned(words.select("key", "n_a", "tokens")).join(words.select("key", "word", "n"), "key"), "aligned")
     scratch.settle("words")
     pairs = pair_counts(found, scratch)
     links = found.select("key", F.explode("links").alias("l")).select("key", "l.a", "l.b")
