@@ -1,5 +1,8 @@
 import json
 
+import pytest
+
+from tidemark.sources import files, kafka
 from tidemark.sources.files import save_latest
 from tidemark.streaming import consumer
 
@@ -25,7 +28,7 @@ def test_stream_equals_recomputation_across_a_restart(spark, tmp_path):
     def run():
         raw = spark.readStream.text(str(tmp_path / "in"))
         q = consumer.user_states(consumer.parse(raw)).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(
-            lambda b, _: save_latest(b, str(tmp_path / "store"))
+            lambda b, i: save_latest(b, str(tmp_path / "store"), i)
         ).trigger(availableNow=True).start()
         q.awaitTermination()
 
@@ -34,7 +37,65 @@ def test_stream_equals_recomputation_across_a_restart(spark, tmp_path):
     run()
     (tmp_path / "in/b.txt").write_text("\n".join(lines[30:]))
     run()
-    got = {r["user_id"]: (list(r["recent"]), r["impressions"], r["clicks"]) for r in spark.read.parquet(str(tmp_path / "store")).collect()}
+    got = {r["user_id"]: (list(r["recent"]), r["impressions"], r["clicks"]) for r in files.latest(spark, str(tmp_path / "store")).collect()}
     once = consumer.parse(spark.createDataFrame([(x,) for x in lines], "value string")).where("ok").dropDuplicates(["event_id"])
     want = {r["user_id"]: (list(r["recent"]), r["impressions"], r["clicks"]) for r in consumer.recomputed(once).collect()}
     assert got == want
+
+
+def test_store_of_versions(spark, tmp_path):
+    path = str(tmp_path / "store")
+    row = lambda *r: spark.createDataFrame(list(r), "user_id string, n int, word string")
+    save_latest(row(("a", 1, "x"), ("b", 1, None)), path, 0, now="2024-01-01 00:00:00")
+    save_latest(row(("a", 2, None)), path, 1, now="2024-01-01 01:00:00")
+    save_latest(row(("a", 2, None)), path, 1, now="2024-01-01 01:00:00")  # the batch again
+    got = {r["user_id"]: (r["n"], r["word"], r["version"]) for r in files.latest(spark, path).collect()}
+    assert got == {"a": (2, None, 1), "b": (1, None, 0)}  # the whole record is replaced
+    assert {r["user_id"]: r["n"] for r in files.latest(spark, path, upto=0).collect()} == {"a": 1, "b": 1}
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "user_id string")
+    found = files.lookup(files.latest(spark, path), keys, ttl_seconds=3600, now="2024-01-01 01:00:01").collect()
+    assert {r["user_id"]: r["n"] for r in found} == {"a": 2, "b": None, "c": None}
+    files.compact(spark, path, str(tmp_path / "next"), ttl_seconds=3600, now="2024-01-01 01:00:01")
+    assert [(r["user_id"], r["n"]) for r in files.latest(spark, str(tmp_path / "next")).collect()] == [("a", 2)]
+
+
+def test_poll_stops_at_the_bound_or_when_idle(spark, tmp_path):
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+    for i in range(4):
+        (folder / f"{i}.txt").write_text("\n".join(event(f"{i}{j}", "click", "u", "a", "2020") for j in range(3)) + "\n{broken")
+    take = lambda b, i: seen.append((consumer.parse(b).where("ok").count(), b.count()))
+    got = kafka.poll(kafka.read_files(spark, str(folder), 1), take, str(tmp_path / "ck"), most=8, idle_seconds=20, every=0.1)
+    assert 8 <= got["messages"] <= 16 and set(seen) == {(3, 4)}
+    got = kafka.poll(kafka.read_files(spark, str(folder), 1), take, str(tmp_path / "ck"), idle_seconds=2, every=0.1)
+    assert len(seen) >= 4 and sum(n for _, n in seen) >= 16
+    assert kafka.poll(kafka.read_files(spark, str(folder), 1), take, str(tmp_path / "ck"), idle_seconds=0.5, warm_up=3, every=0.1) == {"messages": 0, "batches": 0}
+
+    def broken(b, i):
+        raise ValueError("no batch")
+
+    with pytest.raises(Exception, match="no batch"):
+        kafka.poll(kafka.read_files(spark, str(folder), 1), broken, str(tmp_path / "other"), idle_seconds=20)
+
+
+def test_bounded_deduplication_forgets_behind_the_watermark(spark, tmp_path):
+    lines = [event("1", "click", "u", "a", "2020-01-01T00:00:00"), event("1", "click", "u", "a", "2020-01-01T00:00:00"), event("2", "click", "u", "b", "2020-01-01T05:00:00")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("\n".join(lines))
+    stream = consumer.deduplicated(consumer.parse(kafka.read_files(spark, str(tmp_path / "in"))), "1 hour")
+    kept = []
+    kafka.drain(stream, lambda b, i: kept.extend(r["event_id"] for r in b.collect()), str(tmp_path / "ck"))
+    assert sorted(kept) == ["1", "2"]
+    states = consumer.user_states(consumer.parse(kafka.read_files(spark, str(tmp_path / "in"))), "1 hour")
+    out = []
+    states.writeStream.outputMode("update").foreachBatch(lambda b, i: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r["clicks"], list(r["recent"])) for r in out] == [(2, ["a", "b"])]
+
+
+def test_state_parity_sees_a_difference(spark):
+    e = spark.createDataFrame([(f"e{i}", ("click", "impression")[i % 2], f"u{i % 3}", f"n{i}", f"2020-01-01T00:0{i}") for i in range(8)], "event_id string, event_type string, user_id string, item_id string, timestamp string")
+    right = consumer.recomputed(e)
+    assert tuple(consumer.state_parity(right, e).first()) == (3, 3)
+    wrong = right.withColumn("clicks", right["clicks"] + (right["user_id"] == "u1").cast("int"))
+    assert tuple(consumer.state_parity(wrong, e).first()) == (3, 2)
+    assert tuple(consumer.state_parity(right.where("user_id <> 'u2'"), e).first()) == (3, 2)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.ordering import rolling
+from ..functions.ordering import in_parts, rolling
 from ..operators import log as L
 from ..operators import models as M
 from ..operators import monitoring as MO
@@ -20,6 +20,8 @@ from ..operators import slates as SL
 from ..operators import validation as V
 from ..operators import vectors as X
 from ..sources import adapters as A
+from ..sources import files as FI
+from ..sources import kafka as K
 from ..sources.scratch import scratch_path, written
 from ..streaming import consumer as C
 
@@ -808,3 +810,56 @@ def agg30_replay_recommended(s, d):
   FROM tm t JOIN ev e ON e.user_id = t.user_id AND e.ts <= t.ts WHERE n >= 5 AND (i = 1 OR i = n // 2 + 1 OR i = n) GROUP BY ALL""")
 def stm10_parity(s, d):
     return C.parity(A.events(s, d).withColumnRenamed("ts", "timestamp"))
+
+
+def _messages(s, d):
+    """The events as messages in log order, cut into three slices by their time."""
+    e = A.events(s, d).select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"), "event_type", F.lit(C.VERSION).alias("schema_version"), F.col("user_id").cast("string").alias("user_id"), "item_id",
+        F.col("event_id").cast("long").alias("impression_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.lit("log").alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+    )
+    return in_parts(e, "at", 3).withColumnRenamed("__part", "slice")
+
+
+def _streamed(s, d):
+    """The store of user states after a stream has read the slices, a batch each; and the events."""
+    events, base = written(_messages(s, d), "messages"), scratch_path(s, "stream")
+    K.write_slices(events, f"{base}/in", "slice", 3)
+    states = C.user_states(C.parse(K.read_files(s, f"{base}/in", 1)))
+    query = states.writeStream.outputMode("update").foreachBatch(C.upsert_into(f"{base}/store")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return f"{base}/store", events, max(int(p["batchId"]) for p in query.recentProgress if p["numInputRows"])
+
+
+@query(ONLINE + " SELECT user_id, coalesce(recent, '') AS recent, impressions, clicks FROM ct LEFT JOIN rl USING (user_id)")
+def stm3_streamed_features(s, d):
+    """The features that the stream leaves in the store, where it has read the log in batches."""
+    rows = FI.latest(s, _streamed(s, d)[0])
+    return rows.select(F.col("user_id").cast("long").alias("user_id"), F.array_join("recent", " ").alias("recent"), "impressions", "clicks")
+
+
+@query()
+def stm10_stream_parity(s, d):
+    """After each batch, how many of the streamed user states equal what is recomputed from the log read so far."""
+    store, events, last = _streamed(s, d)
+    out = None
+    for i in range(3):
+        one = C.state_parity(FI.latest(s, store, upto=last - 2 + i), events.where(F.col("slice") <= i)).withColumn("batch", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out.select("batch", "users", "matching")
+
+
+@query("""SELECT count(*) + count(*) FILTER (event_id % 10 = 0) + count(*) FILTER (event_id % 17 = 0) AS total, count(*) FILTER (event_id % 17 = 0) AS malformed, count(*) FILTER (event_id % 10 = 0) AS duplicates,
+    count(*) FILTER (event_type = 'impression') AS impression, count(*) FILTER (event_type = 'view') AS "view", count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'skip') AS skip FROM ev""")
+def stm4_stream_counters(s, d):
+    """Counters of a stream in which every tenth event comes twice, and a cut-off copy of every seventeenth comes too."""
+    base, e = scratch_path(s, "counters"), _messages(s, d)
+    sent = e.select(F.to_json(F.struct(*[F.col(c) for c in C.FIELDS])).alias("value"), F.col("impression_id").alias("n"))
+    cut = sent.where("n % 17 = 0").select(F.substring("value", 1, 40).alias("value"))
+    sent.select("value").unionByName(sent.where("n % 10 = 0").select("value")).unionByName(cut).write.text(f"{base}/in")
+    tables = []
+    for name, counts in zip(("messages", "distinct"), C.running_counts(C.parse(K.read_files(s, f"{base}/in"))), strict=True):
+        to = f"{base}/{name}"
+        counts.writeStream.outputMode("complete").foreachBatch(lambda b, i, to=to: b.write.mode("overwrite").parquet(to)).option("checkpointLocation", f"{base}/checkpoint-{name}").trigger(availableNow=True).start().awaitTermination()
+        tables.append(s.read.parquet(to))
+    return C.stream_counters(*tables)

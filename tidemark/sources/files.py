@@ -79,23 +79,37 @@ def numeric_leaves(report: dict) -> dict:
     return {k: v for k, v in report.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
 
 
-def save_latest(features: DataFrame, path: str, key: str = "user_id") -> None:
-    """Key-value sink: the whole record of a key is overwritten; keys that are absent now keep theirs."""
-    spark = features.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        features.write.parquet(path)
-        return
-    merged = old.join(features.select(key), key, "left_anti").unionByName(features, allowMissingColumns=True)
-    merged.write.mode("overwrite").parquet(f"{path}.next")
-    spark.read.parquet(f"{path}.next").write.mode("overwrite").parquet(path)
+def save_latest(features: DataFrame, path: str, version: int, now=None) -> None:
+    """Key-value sink: a batch's records become one version of the store, with saved_at. A record replaces the whole of its
+    key's earlier one; keys that are absent keep theirs. Nothing that is there is read or rewritten, the version appears
+    when Spark commits it, and a batch that is run again puts the same version in the place of its first try."""
+    saved = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    features.withColumn("saved_at", saved).write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={int(version)}")
+
+
+def latest(spark: SparkSession, path: str, key: str = "user_id", upto: int | None = None) -> DataFrame:
+    """The newest record of each key (of the versions up to `upto`), with version and saved_at. Records are reduced to one
+    a key before they are shuffled, so a key that was written often costs no more than another."""
+    store = spark.read.option("mergeSchema", "true").option("basePath", path).parquet(path)
+    store = store if upto is None else store.where(F.col("version") <= upto)
+    others = [F.col(f"`{c}`") for c in store.columns if c != key]
+    return store.groupBy(key).agg(F.max_by(F.struct(*others), "version").alias("__r")).select(key, "__r.*")
+
+
+def compact(spark: SparkSession, path: str, to: str, key: str = "user_id", ttl_seconds: int | None = None, now=None) -> None:
+    """The newest records of a store as the first version of another, without those whose time to live is over."""
+    rows = alive(latest(spark, path, key), ttl_seconds, now).drop("version")
+    rows.write.mode("overwrite").parquet(f"{to.rstrip('/')}/version=0")
+
+
+def alive(store: DataFrame, ttl_seconds: int | None, now=None) -> DataFrame:
+    """The records that were saved at most ttl_seconds before now; all without a time to live."""
+    if ttl_seconds is None:
+        return store
+    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    return store.where(F.unix_micros(at) - F.unix_micros("saved_at") <= ttl_seconds * 1_000_000)
 
 
 def lookup(store: DataFrame, keys: DataFrame, key: str = "user_id", ttl_seconds: int | None = None, now=None) -> DataFrame:
-    """Left join of keys to the latest records; with a time to live, records whose saved_at is older are absent."""
-    if ttl_seconds is not None:
-        store = store.where(F.unix_timestamp(F.lit(now)) - F.unix_timestamp("saved_at") <= ttl_seconds)
-    return keys.join(store, key, "left")
+    """Left join of keys to the newest records (latest); those whose time to live is over are absent like unknown ones."""
+    return keys.join(alive(store, ttl_seconds, now), key, "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,31 @@ def drain(stream: DataFrame, write_batch, checkpoint: str, name: str | None = No
     (query.queryName(name) if name else query).start().awaitTermination()
 
 
+def poll(stream: DataFrame, write_batch, checkpoint: str, most: int | None = None, idle_seconds: float = 5.0, warm_up: int = 5, every: float = 0.5) -> dict:
+    """Consumes as messages come and returns {messages, batches}: stops once `most` messages are processed, or none has come
+    for idle_seconds after the first, or (warm_up looks, idle_seconds apart) none has come at all.
+
+    A batch's offsets are committed after write_batch is done with it; a batch that the stop interrupts is processed again
+    by the next run. `most` is met to a batch, which the source's own bound (read_topic, read_files) keeps small."""
+    query = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).start()
+    rows: dict[int, int] = {}
+    last = began = time.monotonic()
+    try:
+        while query.isActive:
+            before = sum(rows.values())
+            rows |= {p["batchId"]: p["numInputRows"] for p in query.recentProgress if p["numInputRows"]}
+            n, now = sum(rows.values()), time.monotonic()
+            last = now if n > before else last
+            if most is not None and n >= most or n and now - last >= idle_seconds or not n and now - began >= warm_up * idle_seconds:
+                break
+            time.sleep(every)
+        if query.exception():
+            raise query.exception()
+    finally:
+        query.stop()
+    return {"messages": sum(rows.values()), "batches": len(rows)}
+
+
 def messages(events: DataFrame) -> DataFrame:
     """key (the item, not the user, so that an item's events stay in order) and value (JSON) of each event."""
     return events.select(F.col("item_id").cast("string").alias("key"), F.to_json(F.struct(*[F.col(c) for c in FIELDS])).alias("value"))
@@ -56,6 +83,15 @@ def write_files(events: DataFrame, path: str, order: list[str], files: int = 1)
     messages(ordered).select("value").write.mode("append").text(path)
 
 
+def write_slices(events: DataFrame, path: str, by: str, slices: int, pause: float = 0.0) -> None:
+    """Messages of slice 0, 1, ... (a column) one after another, `pause` seconds apart: a stream that reads the folder meets
+    them in this order. The broker's sink does the same with write_topic."""
+    for i in range(slices):
+        if i and pause:
+            time.sleep(pause)
+        messages(events.where(F.col(by) == i)).select("value").write.mode("append").text(path)
+
+
 def topic_command(topic: str, partitions: int = 1, replication: int = 1) -> list[str]:
     """Arguments of the broker's own tool that creates a topic unless it exists."""
     return ["--create", "--if-not-exists", "--topic", topic, "--partitions", str(partitions), "--replication-factor", str(replication)]

@@ -44,22 +44,45 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     yield pd.DataFrame({"user_id": [key[0]], "recent": [recent], "impressions": [shown], "clicks": [clicks], "last_event_time": [last]})
 
 
-def user_states(events: DataFrame) -> DataFrame:
+def deduplicated(events: DataFrame, horizon: str | None = None) -> DataFrame:
+    """The good events, repeats of an event_id once. Without a horizon every id is kept for good; with one (a duration) an
+    id is forgotten once the watermark of the events' time is past it, so the state is bounded by what comes meanwhile."""
+    good = events.where("ok")
+    if horizon is None:
+        return good.dropDuplicates(["event_id"])
+    timed = good.withColumn("event_time", F.to_timestamp("timestamp")).withWatermark("event_time", horizon)
+    return timed.dropDuplicatesWithinWatermark(["event_id"])
+
+
+def user_states(events: DataFrame, horizon: str | None = None) -> DataFrame:
     """A stream of parsed events -> the changed user states of each batch; repeats of an event_id count once."""
-    good = events.where("ok").dropDuplicates(["event_id"])
-    return good.groupBy("user_id").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return deduplicated(events, horizon).groupBy("user_id").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def upsert_into(path: str):
-    """A foreachBatch function that overwrites the records of the users in each batch."""
+    """A foreachBatch function that saves the states that a batch changed as the store's version of its number."""
     from ..sources.files import save_latest
 
-    def write(batch: DataFrame, _: int) -> None:
-        save_latest(batch, path)
+    def write(batch: DataFrame, number: int) -> None:
+        save_latest(batch, path, number)
 
     return write
 
 
+def running_counts(parsed: DataFrame, horizon: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two streams of counts: messages by ok and event_type, and distinct good events by event_type."""
+    by = parsed.groupBy("ok", F.when(F.col("ok"), F.col("event_type")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
+    return by, deduplicated(parsed, horizon).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_counters(messages: DataFrame, distinct: DataFrame) -> DataFrame:
+    """One row of the newest running_counts: total, malformed, duplicates, distinct events by type."""
+    all_ = messages.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(~F.col("ok"), F.col("n"))), F.lit(0)).alias("malformed"))
+    kinds = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("good"), *[F.coalesce(F.sum(F.when(F.col("event_type") == t, F.col("n"))), F.lit(0)).alias(t) for t in TYPES])
+    out = all_.crossJoin(F.broadcast(kinds))  # a row each
+    return out.select("total", "malformed", (F.col("total") - F.col("malformed") - F.col("good")).alias("duplicates"), *TYPES)
+
+
 def counters(parsed: DataFrame) -> DataFrame:
     """One row: totals, malformed, duplicates, events by type, distinct users and items."""
     good = F.col("ok")
@@ -113,6 +136,15 @@ def recent_features(states: DataFrame) -> DataFrame:
     return states.select("user_id", F.coalesce("recent", F.array().cast("array<string>")).alias("recent"), "impressions", "clicks", "last_event_time")
 
 
+def state_parity(states: DataFrame, events: DataFrame) -> DataFrame:
+    """users, matching: how many users the streamed states and the recomputation from the same events have, and of how many
+    all features agree."""
+    again = recomputed(events).select(F.col("user_id").cast("string").alias("user_id"), F.col("recent").alias("r2"), F.col("impressions").alias("i2"), F.col("clicks").alias("c2"))
+    both = recent_features(states).join(again, "user_id", "full")
+    same = F.col("recent").eqNullSafe(F.col("r2")) & F.col("impressions").eqNullSafe(F.col("i2")) & F.col("clicks").eqNullSafe(F.col("c2"))
+    return both.agg(F.count(F.lit(1)).alias("users"), F.count_if(same).alias("matching"))
+
+
 def parity(events: DataFrame, least_times: int = 5) -> DataFrame:
     """user_id, cutoff, impressions, clicks, matches: for every user with at least `least_times` distinct times, at the
     first, the middle and the last of these, whether the running state equals what is recomputed from the log up to the
