@@ -80,6 +80,25 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op11_merkle": r"""
+        WITH RECURSIVE crc(doc_id, s, c) AS (
+          SELECT doc_id, doc_id::VARCHAR, 4294967295 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+          UNION ALL SELECT doc_id, substr(s, 2), list_reduce([xor(c, ascii(s)), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) FROM crc WHERE s <> ''),
+        l AS (SELECT d.doc_id, coalesce('=' || lang, '') AS g, (xor(c, 4294967295)) % 7 = 0 AS t, list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text], lambda x: coalesce(strlen(x) || ':' || x, '-')) AS v, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS n1
+              FROM documents d LEFT JOIN (SELECT * FROM crc WHERE s = '') USING (doc_id)),
+        h AS (SELECT doc_id, g, sha256(array_to_string(v, '')) AS leaf, CASE WHEN t THEN sha256(v[1] || v[2] || v[3] || n1 || v[5]) ELSE sha256(array_to_string(v, '')) END AS again FROM l),
+        p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM h),
+        tree(g, k, i, n, x) AS (SELECT g, 0, i, n, leaf FROM p UNION ALL SELECT g, k + 1, i // 2, (n + 1) // 2, sha256(string_agg(x, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY g, k, i // 2, n),
+        sub AS (SELECT g, x AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+        top(k, i, n, x) AS (SELECT 0, i, n, subroot FROM sub UNION ALL SELECT k + 1, i // 2, (n + 1) // 2, sha256(string_agg(x, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY k, i // 2, n),
+        steps AS (
+          SELECT p.g, p.i AS leaf_i, t.k, s.x, (p.i >> t.k) & 1 = 1 AS on_left FROM p JOIN (SELECT DISTINCT g, k, n FROM tree WHERE n > 1) t ON p.g = t.g LEFT JOIN tree s ON s.g = p.g AND s.k = t.k AND s.i = xor(p.i >> t.k, 1)
+          UNION ALL SELECT p.g, p.i, 1000 + t.k, s.x, (b.i >> t.k) & 1 = 1 FROM p JOIN sub b ON p.g = b.g CROSS JOIN (SELECT DISTINCT k, n FROM top WHERE n > 1) t LEFT JOIN top s ON s.k = t.k AND s.i = xor(b.i >> t.k, 1)),
+        path AS (SELECT *, row_number() OVER (PARTITION BY g, leaf_i ORDER BY k) AS o FROM steps),
+        fold(g, i, o, x) AS (SELECT g, i, 0, again FROM p UNION ALL SELECT f.g, f.i, f.o + 1, sha256(CASE WHEN s.x IS NULL THEN f.x WHEN s.on_left THEN s.x || f.x ELSE f.x || s.x END) FROM fold f JOIN path s ON s.g = f.g AND s.leaf_i = f.i AND s.o = f.o + 1),
+        proof AS (SELECT g, leaf_i AS i, sha256(coalesce(string_agg(x, '' ORDER BY o), '')) AS proof_sha256, max(o) AS o FROM path GROUP BY ALL)
+        SELECT p.doc_id, p.leaf, b.subroot, (SELECT x FROM top WHERE n = 1) AS root, coalesce(r.proof_sha256, sha256('')) AS proof_sha256, f.x AS folded_root, f.x = (SELECT x FROM top WHERE n = 1) AS verified
+        FROM p JOIN sub b USING (g) LEFT JOIN proof r ON r.g = p.g AND r.i = p.i JOIN fold f ON f.g = p.g AND f.i = p.i AND f.o = coalesce(r.o, 0)""",
     "op9_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
