@@ -404,3 +404,44 @@ def test_licence_bound_spares_only_the_unknown():
         words = [str(w) for w in r.choice([*known, *WORDS[:60]], r.integers(0, 25))]
         if m.hopeless(words):
             assert m.predict(" ".join(words))[0] == "unknown"
+
+
+def test_decontamination_tells_rows_apart(spark):
+    """Null ids, several texts under one id, repeated rows, and items without or with shared ids."""
+    item, other = text(300, 30), text(301, 30)
+    bench = spark.createDataFrame([(None, item), (7, other), (7, text(302, 30))], "item_id long, text string")
+    held, clean = f"{text(310, 9)} {item} {text(311, 4)}", text(312, 60)
+    rows = [(None, held), (None, clean), (1, held), (1, clean), (1, None), (2, f"x {other}"), (2, f"x {other}"), (3, "")]
+    df = spark.createDataFrame([(i, t, "d", "i") for i, t in rows], "doc_id long, text string, doc string, item string")
+    got = sorted(((r["doc_id"], r["contaminated"], r["n_items"], r["item_id"]) for r in decontaminate.contamination(df, bench).collect()), key=str)
+    want = [(None, True, 1, None), (None, False, 0, None), (1, True, 1, None), (1, False, 0, None), (1, False, 0, None), (2, True, 1, 7), (2, True, 1, 7), (3, False, 0, None)]
+    assert got == sorted(want, key=str)
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame([(None, clean), (1, clean), (1, None), (3, "")], "doc_id long, text string").collect()))
+    assert decontaminate.contamination(df, bench.where("false")).where("contaminated").count() == 0
+    assert decontaminate.contamination(df.where("false"), bench).count() == 0
+
+
+def test_licenses_confirm_the_right_family():
+    m = licenses.LicenseModel()
+    for family, notices in licenses.NOTICES.items():
+        for n in notices:
+            assert (m.predict(n)[0], m.predict(n)[3]) == (family, True), n
+    # held-out forms: what they are, or at least nothing else
+    forms = {
+        "Licensed under the Eclipse Public License 2.0": "epl", "CC BY-ND 4.0": "cc-by-nd", "This work is licensed under the GNU Affero General Public License, version 3.": "agpl",
+        "Distributed under the Apache 2.0 terms.": "apache", "Licensed under CC BY-NC-ND 3.0.": "cc-by-nc-nd", "This file is licensed under the MIT License.": "mit",
+    }
+    assert {x: m.predict(x)[0] for x in forms if m.predict(x)[3]} == forms
+    for plain in (*licenses.OTHERS, *licenses.PLAIN, "GNU Affero", "Licensed under the Boost Software License 1.0", "Licensed under the Artistic License 2.0", "Released under the zlib license",
+                  "Sie kam mit ihm und mit dem Hund.", "Er wohnt mit seiner Frau in Köln.", "He reserved all rights of the first chapter.", "The public license office was closed."):
+        assert not m.predict(plain)[3], plain
+    assert all(m.predict(x)[0] == "unknown" for x in (*licenses.PLAIN, "mit", "Wir sind mit dem Rad und mit dem Zug gefahren."))
+
+
+def test_licenses_tell_rows_apart(spark):
+    notice = f"Released under the MIT License.\n{text(320, 30)}"
+    rows = [(None, notice), (None, text(321, 30)), (1, notice), (1, text(322, 30)), (1, None), (2, notice), (2, notice)]
+    df = spark.createDataFrame([(i, t, "d") for i, t in rows], "doc_id long, text string, doc string")
+    got = sorted(((r["doc_id"], r["families"], r["n_notices"]) for r in licenses.document_licenses(df).collect()), key=str)
+    assert got == sorted([(None, "mit", 1), (None, "", 0), (1, "mit", 1), (1, "", 0), (1, "", 0), (2, "mit", 1), (2, "mit", 1)], key=str)
