@@ -1,6 +1,6 @@
 import numpy as np
 
-from tidemark.operators import models, ranking, vectors
+from tidemark.operators import factors, models, ranking, vectors
 
 
 def test_click_model_finds_the_signal(spark):
@@ -44,3 +44,24 @@ def test_cells_find_most_neighbours(spark):
     exact = vectors.exact_top_n(q, e, 5)
     indexed, centres = vectors.build_cells(e, 8)
     assert ranking.overlap_share(exact, vectors.cell_top_n(q, indexed, centres, 5, 8), "query_id", "item_id", 5).first()["recall"] == 1.0
+
+
+def test_truncated_svd_equals_numpy(spark):
+    r = np.random.default_rng(8)
+    low = r.normal(size=(70, 4)) @ np.diag([9, 7, 4, 2]) @ r.normal(size=(4, 45))
+    a = np.where(r.random((70, 45)) < 0.9, low + 0.01 * r.normal(size=(70, 45)), 0)
+    cells = spark.createDataFrame([(f"u{i}", j, float(a[i, j])) for i in range(70) for j in range(45)], "user_id string, item_id int, n double")
+    u, v, s = factors.truncated_svd(cells, "user_id", "item_id", "n", 4)
+    _, want, _ = np.linalg.svd(a)
+    assert np.allclose(s, want[:4], rtol=1e-4)
+    left, right = ({x[0]: np.array(x[1]) for x in t.collect()} for t in (u, v))
+    full = np.linalg.svd(a, full_matrices=False)
+    best = full[0][:, :4] * full[1][:4] @ full[2][:4]
+    got = np.array([[left[f"u{i}"] @ right[j] for j in range(45)] for i in range(70)])
+    assert np.abs(got - best).max() < 0.02 * np.abs(best).max()
+    # fewer directions than asked for, and none
+    one = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 2.0)], "user_id string, item_id int, n double")
+    u, v, s = factors.truncated_svd(one, "user_id", "item_id", "n", 3)
+    assert np.allclose(s, [8**0.5]) and {abs(round(x["u"][0], 6)) for x in u.collect()} == {2.0}
+    u, v, s = factors.truncated_svd(one.where("false"), "user_id", "item_id", "n", 3)
+    assert len(s) == 0 and u.count() == v.count() == 0

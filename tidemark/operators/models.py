@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import exact_quantiles, numbered, running_total
+from ..sources.scratch import written
+from .factors import truncated_svd
 
 
 def dominant_category(histories: DataFrame, catalog: DataFrame, key: str = "user_id") -> DataFrame:
@@ -115,20 +115,9 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 
 def collaborative_factors(clicks: DataFrame, k: int = 20):
     """Truncated SVD of the user x item click counts (duplicates add up): (user_id, u = U S), (item_id, v)."""
-    spark = clicks.sparkSession
-    users = numbered(clicks.select("user_id").distinct(), "user_id", "r")
-    items = numbered(clicks.select("item_id").distinct(), "item_id", "c").withColumn("c", F.col("c").cast("int"))
-    cells = clicks.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")).join(users, "user_id").join(items, "item_id")
-    width = items.count()
-    rows = cells.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("x")).rdd.map(
-        lambda row: IndexedRow(row["r"], Vectors.sparse(width, [(e["c"], float(e["n"])) for e in row["x"]]))
-    )
-    rows = rows.cache()  # the solver passes over them once an iteration
-    svd = IndexedRowMatrix(rows, 0, width).computeSVD(min(k, width - 1) if width > 1 else 1, computeU=True)
-    s = svd.s.toArray()
-    u = spark.createDataFrame(svd.U.rows.map(lambda r: (int(r.index), [float(a) for a in r.vector.toArray() * s])), "r long, u array<double>")
-    v = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(svd.V.toArray())], "c int, v array<double>")
-    return u.join(users, "r").select("user_id", "u"), v.join(items, "c").select("item_id", "v")
+    counts = clicks.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    u, v, _ = truncated_svd(counts, "user_id", "item_id", "n", k)
+    return written(u, "u"), written(v, "v")
 
 
 def collaborative_scores(log: DataFrame, u: DataFrame, v: DataFrame, popularity: DataFrame) -> DataFrame:
