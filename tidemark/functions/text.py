@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,13 @@ def short_hash(column, n: int = 16) -> F.Column:
     return F.substring(F.sha2(F.col(column).cast("string") if isinstance(column, str) else column, 256), 1, n)
 
 
+def english_stop_words(spark: SparkSession) -> list[str]:
+    """Spark's own list, lower-case words; a list of one's own may stand in its place."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return [w for w in StopWordsRemover.loadDefaultStopWords("english") if w.isalpha()]
+
+
 def tfidf(texts: DataFrame, terms: int = 5000, stop_words: list[str] | None = None) -> DataFrame:
     """(item_id, text) -> (item_id, term, w): the `terms` most frequent terms, smooth idf ln((1+n)/(1+df)) + 1, unit rows.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -101,3 +101,23 @@ def scale_factors(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
         one = both.select(F.lit(name).alias("name"), F.round(F.try_divide("a", "b"), 2).alias("ratio"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def ctr_over_files(spark: SparkSession, behaviors: str, news: str) -> DataFrame:
+    """category, impressions, clicks, ctr, ctr_rank by one SQL statement over the Parquet files; only the columns that it
+    names are read."""
+    return spark.sql(
+        """WITH shown AS (SELECT explode(split(impressions, ' ')) AS word FROM parquet.`{behaviors}`),
+             parts AS (SELECT regexp_extract(word, '^(.*)-[01]$', 1) AS item_id, cast(right(word, 1) AS int) AS clicked FROM shown),
+             counts AS (SELECT item_id, count(*) AS impressions, sum(clicked) AS clicks FROM parts GROUP BY item_id),
+             rates AS (SELECT category, sum(impressions) AS impressions, sum(clicks) AS clicks FROM counts JOIN parquet.`{news}` AS n ON counts.item_id = cast(n.item_id AS string) GROUP BY category)
+           SELECT category, impressions, clicks, round(clicks / impressions, 4) AS ctr, rank() OVER (ORDER BY clicks / impressions DESC) AS ctr_rank FROM rates""".format(behaviors=behaviors, news=news)
+    )
+
+
+def in_list_order(lists: DataFrame, table: DataFrame, key: str, ids: str = "ids", item: str = "item_id") -> DataFrame:
+    """lists (key, ids: array) -> key, pos, item, and the columns of table in the order of the list, repeats included. An id
+    that the table lacks raises."""
+    rows = lists.select(key, F.posexplode(ids).alias("pos", item)).join(table.withColumn("__known", F.lit(True)), item, "left")
+    missing = F.raise_error(F.concat(F.lit("not in the table: "), F.col(item).cast("string"))).cast("boolean")
+    return rows.where(F.coalesce("__known", missing)).select(key, "pos", item, *[c for c in table.columns if c != item])

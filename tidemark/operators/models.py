@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import exact_quantiles, numbered, running_total
@@ -133,17 +133,21 @@ def sample_negatives(positives: DataFrame, catalog: DataFrame, clicked: DataFram
     """positives (user_id, item_id, and what keep names) with n negatives each, uniform over the catalog with replacement, never the positive
     nor one that the user clicked; a user who clicked all of the catalog gets none.
 
-    The k-th free item of a user is found without listing the free ones: the user's clicked places, sorted, are shifted
-    by their own rank, and a draw among the free places moves past as many of them as it reaches. So every draw counts,
-    however much of the catalog the user clicked. Draws are hashes of (user, item, number, seed), so reruns agree."""
+    The k-th free item of a user is found without listing the free ones: the user's taken places, sorted, are shifted by
+    their own rank, and a draw among the free places moves past as many of them as it reaches. So every draw counts,
+    however much of the catalog the user clicked; taken places and draws are put in order together, once a user. Draws are
+    hashes of (user, item, number, seed), so reruns agree."""
     numbers = numbered(catalog.select("item_id").distinct(), "item_id")
     size = catalog.agg(F.countDistinct("item_id").alias("size"))
     taken = clicked.select("user_id", "item_id").unionByName(positives.select("user_id", "item_id")).distinct()
-    own = taken.join(numbers, "item_id").groupBy("user_id").agg(F.array_sort(F.collect_list("place")).alias("own"))  # one user's clicks
-    own = own.select("user_id", F.transform("own", lambda x, i: x - i).alias("shifted"))
-    draws = positives.join(own, "user_id", "left").crossJoin(F.broadcast(size)).withColumn("shifted", F.coalesce("shifted", F.array().cast("array<bigint>")))
-    draws = draws.withColumn("free", F.col("size") - F.size("shifted")).where("free > 0").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    own = Window.partitionBy("user_id").orderBy("place")
+    taken = taken.join(numbers, "item_id").select("user_id", (F.col("place") - F.row_number().over(own) + 1).alias("at"))
+    held = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("own"))
+    draws = positives.join(held, "user_id", "left").crossJoin(F.broadcast(size)).withColumn("free", F.col("size") - F.coalesce("own", F.lit(0))).where("free > 0")
+    draws = draws.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(n))))
     draw = F.pmod(F.xxhash64(*keep, "user_id", "item_id", "t", F.lit(seed)), F.col("free"))
-    draws = draws.withColumn("draw", draw).withColumn("place", F.col("draw") + F.size(F.filter("shifted", lambda x: x <= F.col("draw"))))
-    return draws.select(*keep, "user_id", "item_id", "place").join(numbers.withColumnRenamed("item_id", "negative_id"), "place").select(*keep, "user_id", "item_id", "negative_id")
-
+    both = draws.select("user_id", draw.alias("at"), F.struct(*keep, "item_id").alias("of")).unionByName(taken.select("user_id", "at"), allowMissingColumns=True)
+    order = Window.partitionBy("user_id").orderBy("at", F.col("of").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("place", F.col("at") + F.count_if(F.col("of").isNull()).over(order)).where("of is not null")
+    out = placed.join(numbers.withColumnRenamed("item_id", "negative_id"), "place")
+    return out.select(*[F.col(f"of.{c}").alias(c) for c in keep], "user_id", F.col("of.item_id").alias("item_id"), "negative_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import running_total
+from ..functions.ordering import rolling, running_total
 
 #: Least content similarity that counts as evidence.
 GROUNDED = 0.05
@@ -46,6 +46,25 @@ def keep_faithful(explained: DataFrame, rewritten: str) -> DataFrame:
     return explained.withColumn("explanation", F.when(F.col("refused"), "").when(lost, F.col("explanation")).otherwise(F.col(rewritten)))
 
 
+def explanation_report(explained: DataFrame) -> DataFrame:
+    """One row over explained rows (refused, evidence, category, explanation, and template: what the explanation is without
+    a rewriting): total, refused, refusal_rate, attempted, faithful, faithfulness_rate, model_used, template_used,
+    model_contribution_rate, mean_length, distinct_texts. Rates of what was attempted are null if nothing was."""
+    given = ~F.col("refused")
+    faithful = ~F.array_contains("evidence", "category_match") | F.contains(F.lower("explanation"), F.lower("category"))
+    model = F.col("explanation") != F.col("template")
+    out = explained.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("refused").alias("refused"), F.count_if(given & faithful).alias("faithful"), F.count_if(given & model).alias("model_used"),
+        F.avg(F.when(given, F.length("explanation"))).alias("mean_length"), F.countDistinct(F.when(given, F.col("explanation"))).alias("distinct_texts"),
+    )
+    attempted = F.col("total") - F.col("refused")
+    share = lambda c: F.when(attempted > 0, F.col(c) / attempted)
+    return out.select(
+        "total", "refused", F.when(F.col("total") > 0, F.col("refused") / F.col("total")).otherwise(0.0).alias("refusal_rate"), attempted.alias("attempted"), "faithful",
+        share("faithful").alias("faithfulness_rate"), "model_used", (attempted - F.col("model_used")).alias("template_used"), share("model_used").alias("model_contribution_rate"), "mean_length", "distinct_texts",
+    )
+
+
 def explanation_statistics(explained: DataFrame) -> DataFrame:
     given = ~F.col("refused")
     faithful = ~F.array_contains("evidence", "category_match") | F.contains(F.lower("explanation"), F.lower("category"))
@@ -78,9 +97,8 @@ def latency_percentiles(samples: DataFrame, value: str) -> DataFrame:
 
 
 def rolling_quality(responses: DataFrame, last: int = 500) -> DataFrame:
-    """Mean of score over each response and the last-1 before it; responses: seq, score. One stream: one window."""
-    frame = Window.orderBy("seq").rowsBetween(-(last - 1), 0)
-    return responses.withColumn("mean_score", F.avg("score").over(frame))
+    """Mean of score over each response and the last-1 before it; responses: seq (numeric, distinct), score. Runs in blocks."""
+    return rolling(responses, "seq", last, mean_score=F.avg("score"))
 
 
 def histogram(samples: DataFrame, value: str, bounds: list[float]) -> DataFrame:

@@ -56,6 +56,20 @@ def valid_requests(df: DataFrame) -> DataFrame:
     return df.withColumn("num_candidates", n).withColumn("valid", (F.length("user_id") >= 1) & (n > 0) & (n <= 50))
 
 
+def valid_responses(df: DataFrame) -> DataFrame:
+    """Flags responses: a score from 0 to 1 and a rank above 0; null or not-a-number is neither."""
+    score = F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double")) & (F.col("score") >= 0) & (F.col("score") <= 1)
+    return df.withColumn("valid", score & F.coalesce(F.col("rank") > 0, F.lit(False)))
+
+
+def assert_valid(flagged: DataFrame) -> DataFrame:
+    """flagged, as it is; raises with the number of rows that are not valid."""
+    bad = flagged.where(~F.coalesce("valid", F.lit(False))).count()
+    if bad:
+        raise ValueError(f"{bad} rows break the contract")
+    return flagged
+
+
 def require_runs(runs: DataFrame, names: list[str]) -> DataFrame:
     spark = runs.sparkSession
     wanted = spark.createDataFrame([(n,) for n in names], "run_name string")

@@ -863,3 +863,88 @@ def stm4_stream_counters(s, d):
         counts.writeStream.outputMode("complete").foreachBatch(lambda b, i, to=to: b.write.mode("overwrite").parquet(to)).option("checkpointLocation", f"{base}/checkpoint-{name}").trigger(availableNow=True).start().awaitTermination()
         tables.append(s.read.parquet(to))
     return C.stream_counters(*tables)
+
+
+STOP = ("the", "and", "of", "to", "in", "die", "der", "und", "le", "la", "les", "de", "et", "el", "los", "que", "en")
+
+
+@query(TFIDF.replace("FROM w GROUP BY ALL", f"FROM w WHERE term NOT IN {STOP} GROUP BY ALL") + " SELECT item_id, term, round(w, 6) AS w FROM v")
+def ml1_tfidf_stop_words(s, d):
+    """With a list of stop words, which take no place among the most frequent terms."""
+    docs = A.table(s, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return T.tfidf(docs, 2000, list(STOP)).select("item_id", "term", F.round("w", 6).alias("w"))
+
+
+@query("""SELECT 'requests' AS kind, count(*) AS rows, count(*) FILTER (NOT (n > 0 AND n <= 50 AND length(u) >= 1)) AS violations
+    FROM (SELECT CASE WHEN c_custkey % 11 = 0 THEN '' ELSE c_custkey::VARCHAR END AS u, coalesce(CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 60 - 3 END, 10) AS n FROM customer)
+  UNION ALL SELECT 'responses', count(*), count(*) FILTER (NOT (value / 20 BETWEEN 0 AND 1 AND event_id % 9 > 0)) FROM events""")
+def val4_contract_violations(s, d):
+    key = F.col("c_custkey")
+    requests = A.table(s, d, "customer").select(F.when(key % 11 == 0, "").otherwise(key.cast("string")).alias("user_id"), F.when(key % 7 > 0, key % 60 - 3).alias("num_candidates"))
+    responses = A.table(s, d, "events").select((F.col("value") / 20).alias("score"), (F.col("event_id") % 9).alias("rank"))
+    out = None
+    for kind, rows in (("requests", V.valid_requests(requests)), ("responses", V.valid_responses(responses))):
+        one = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("valid")).alias("violations")).select(F.lit(kind).alias("kind"), "rows", "violations")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT split, count(*) AS candidates, count(n.item_id) AS known FROM (SELECT *, CASE user_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'replay' END AS split FROM cand) c
+    LEFT JOIN (SELECT item_id FROM news WHERE item_id % 3 = 0) n USING (item_id) GROUP BY 1""")
+def src4_catalog_of_splits(s, d):
+    """Candidates of each stored split, and how many the catalog knows that all splits are evaluated with."""
+    name = lambda c: F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("replay")), (F.col(c) % 3 + 1).cast("int"))
+    root = scratch_path(s, "splits")
+    FI.write_split(_beh(s, d).withColumn("split", name("user_id")), f"{root}/behaviors")
+    FI.write_split(_news(s, d).withColumn("split", name("item_id")), f"{root}/news")
+    out = None
+    for split in ("train", "validation", "replay"):
+        behaviors, catalog = FI.load_split(s, root, split)
+        shown = L.explode_impressions(behaviors).join(catalog.select(F.col("item_id").cast("string").alias("item_id"), F.lit(1).alias("known")), "item_id", "left")
+        one = shown.agg(F.count(F.lit(1)).alias("candidates"), F.count("known").alias("known")).select(F.lit(split).alias("split"), "candidates", "known")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT category, count(*) AS impressions, sum(clicked)::BIGINT AS clicks, round(sum(clicked) / count(*), 4) AS ctr, rank() OVER (ORDER BY sum(clicked) / count(*) DESC) AS ctr_rank FROM cand JOIN news USING (item_id) GROUP BY category""")
+def src5_ctr_over_files(s, d):
+    """The click-through rates by a statement over stored files of encoded impressions and of the catalog."""
+    root = scratch_path(s, "files")
+    _beh(s, d).write.parquet(f"{root}/behaviors")
+    _news(s, d).write.parquet(f"{root}/news")
+    return L.ctr_over_files(s, f"{root}/behaviors", f"{root}/news")
+
+
+@query(""", x AS (SELECT impression_id, string_split(history, ' ') AS h FROM beh WHERE history IS NOT NULL), y AS (SELECT impression_id, h, unnest(range(1, len(h) + 1)) AS i FROM x)
+  SELECT impression_id, (i - 1)::INT AS pos, h[i]::BIGINT AS item_id, category, title FROM y JOIN news ON news.item_id = h[i]::BIGINT""")
+def jn17_histories_in_order(s, d):
+    """Catalog rows in the order of each history, repeats included."""
+    lists = _beh(s, d).where("history is not null").select("impression_id", L.history_ids().cast("array<bigint>").alias("ids"))
+    return L.in_list_order(lists, _news(s, d).select("item_id", "category", "title"), "impression_id")
+
+
+@query(FEATS + """, x AS (SELECT impression_id, item_id, category, category_match = 1 AS m, content_similarity >= 0.05 AS c FROM ft JOIN news USING (item_id) WHERE abs(content_similarity - 0.05) > 1e-9),
+  t AS (SELECT *, NOT (m OR c) AS refused, CASE WHEN NOT (m OR c) THEN '' ELSE 'Recommended because ' || array_to_string(list_filter([CASE WHEN m THEN 'it matches your interest in ' || category END, CASE WHEN c THEN 'its content closely resembles articles you''ve read before' END], lambda v: v IS NOT NULL), ' and ') || '.' END AS template FROM x),
+  r AS (SELECT *, CASE item_id % 3 WHEN 0 THEN replace(template, 'Recommended because', 'You may like this:') WHEN 1 THEN 'You may like this.' ELSE template END AS rewritten FROM t),
+  e AS (SELECT *, CASE WHEN refused THEN '' WHEN m AND NOT contains(lower(rewritten), lower(category)) THEN template ELSE rewritten END AS explanation FROM r)
+  SELECT count(*) AS total, count(*) FILTER (refused) AS refused, round(avg(refused::INT), 6) AS refusal_rate, count(*) FILTER (NOT refused) AS attempted, count(*) FILTER (NOT refused AND (NOT m OR contains(lower(explanation), lower(category)))) AS faithful,
+    round(avg(CASE WHEN NOT refused THEN (NOT m OR contains(lower(explanation), lower(category)))::INT END), 6) AS faithfulness_rate, count(*) FILTER (NOT refused AND explanation <> template) AS model_used, count(*) FILTER (NOT refused AND explanation = template) AS template_used,
+    round(avg(CASE WHEN NOT refused THEN (explanation <> template)::INT END), 6) AS model_contribution_rate, round(avg(CASE WHEN NOT refused THEN length(explanation) END), 6) AS mean_length, count(DISTINCT CASE WHEN NOT refused THEN explanation END) AS distinct_texts FROM e""")
+def agg25_explanation_report(s, d):
+    """Explanations of every candidate from its own features; a rewriting that keeps the category, loses it or changes nothing
+    stands for the model's."""
+    rows = _feature_rows(s, d).where("abs(content_similarity - 0.05) > 1e-9").select(F.col("impression_id").alias("user_id"), "item_id", (F.col("category_match") == 1).alias("category_match"), "content_similarity")
+    e = S.explain(rows, _news(s, d)).withColumn("template", F.col("explanation"))
+    kind = F.col("item_id") % 3
+    rewritten = F.when(kind == 0, F.replace("template", F.lit("Recommended because"), F.lit("You may like this:"))).when(kind == 1, "You may like this.").otherwise(F.col("template"))
+    out = S.explanation_report(S.keep_faithful(e.withColumn("rewritten", rewritten), "rewritten"))
+    return out.withColumns({c: F.round(c, 6) for c in ("refusal_rate", "faithfulness_rate", "model_contribution_rate", "mean_length")})
+
+
+@query(""", t AS (SELECT item_id, popularity, row_number() OVER (ORDER BY popularity DESC, item_id) AS rank FROM pop ORDER BY rank LIMIT 50)
+  SELECT c_custkey AS user_id, rank::INT AS rank, t.item_id, category, round(popularity / max(popularity) OVER (PARTITION BY c_custkey), 6) AS score, TRUE AS is_fallback, FALSE AS recent_used FROM customer, t JOIN news USING (item_id) WHERE rank <= 1 + c_custkey % 10""")
+def rr5_fallback(s, d):
+    """What users get while a dependency is down."""
+    requests = A.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), (1 + F.col("c_custkey") % 10).cast("int").alias("num_candidates"), F.lit("2024-06-01 12:00:00").cast("timestamp_ntz").alias("request_time"))
+    out = RC.safe_recommend(requests, None, None, _context(s, d), None, available=False)
+    return out.select("user_id", "rank", "item_id", "category", F.round("score", 6).alias("score"), "is_fallback", "recent_used")

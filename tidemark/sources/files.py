@@ -46,6 +46,16 @@ def read_split(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == name).drop("split")
 
 
+def load_catalog(spark: SparkSession, root: str) -> DataFrame:
+    """The catalog of every split is that of the training split: what is new later is unknown to all evaluations."""
+    return read_split(spark, f"{root.rstrip('/')}/news", "train")
+
+
+def load_split(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """A split's behaviors, and the catalog they are evaluated with."""
+    return read_split(spark, f"{root.rstrip('/')}/behaviors", name), load_catalog(spark, root)
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run log, a JSON object a line: run_name, logged_at, git_commit, params, metrics, notes; blank lines are skipped.
 
