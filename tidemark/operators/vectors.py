@@ -100,6 +100,22 @@ def cell_top_n(queries: DataFrame, indexed: DataFrame, centres: DataFrame, n: in
     return _best(both, n, _kinds(queries, indexed))
 
 
+def pruned_top_n(queries: DataFrame, indexed: DataFrame, centres: DataFrame, n: int, probes: int = 2, size: int = 2048) -> DataFrame:
+    """As exact_top_n, and as exact, but without the pairs that cannot matter: a first search of `probes` cells gives each
+    query a score that its n-th best must reach; a cell whose bound (the product with its centre, plus the query's length
+    times the cell's radius) stays below it is left out. A query that found fewer than n meets every cell."""
+    floor = cell_top_n(queries, indexed, centres, n, probes, size).where(F.col("rn") == n).select("query_id", F.col("score").alias("floor"))
+    gap = F.zip_with("v", "centre", lambda x, y: x.cast("double") - y)
+    reach = indexed.join(F.broadcast(centres), "cell").groupBy("cell").agg(F.max(norm(gap)).alias("radius"))  # a row per cell
+    near = exact_top_n(queries, centres.select(F.col("cell").alias("item_id"), F.col("centre").alias("v")), 1 << 30)
+    near = near.select("query_id", F.col("item_id").alias("cell"), F.col("score").alias("middle"))
+    asked = near.join(F.broadcast(reach), "cell").join(floor, "query_id", "left").join(queries, "query_id")
+    bound = F.col("middle") + norm("q") * F.col("radius")
+    asked = asked.where(F.col("floor").isNull() | (bound * (1 + F.signum(bound) * 1e-9) + 1e-9 >= F.col("floor"))).select("query_id", "q", "cell")
+    both = _blocks(indexed, "item_id", "v", size, "cell").join(_blocks(asked, "query_id", "q", size, "cell"), "cell").drop("cell")
+    return _best(both, n, _kinds(queries, indexed))
+
+
 def probe_sweep(queries: DataFrame, indexed: DataFrame, centres: DataFrame, n: int, probes: list[int]) -> DataFrame:
     """A row per number of probes: recall (mean share of a query's exact n best that is found) and scanned (share of all
     items that a query's probed cells hold, the cost of a search)."""

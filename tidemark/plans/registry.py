@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from ..operators import slates as SL
 from ..operators import validation as V
 from ..operators import vectors as X
 from ..sources import adapters as A
+from ..sources import artefacts as AF
 from ..sources import files as FI
 from ..sources import kafka as K
 from ..sources.scratch import scratch_path, written
@@ -268,6 +270,14 @@ def _index(s, d):
     return X.load_index(s, path)
 
 
+@query("""SELECT query_id, item_id, rn FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id)::INT AS rn
+    FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rn <= 10""")
+def jn10_pruned_neighbours(s, d):
+    """The exact neighbours through the stored index, leaving out the cells that a bound excludes."""
+    return X.pruned_top_n(_embeddings(s, d)[1], *_index(s, d), 10).select("query_id", "item_id", "rn")
+
+
 @query()
 def ml8_index_sweep(s, d):
     return X.probe_sweep(_embeddings(s, d)[1], *_index(s, d), 10, list(SWEEP))
@@ -948,3 +958,90 @@ def rr5_fallback(s, d):
     requests = A.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), (1 + F.col("c_custkey") % 10).cast("int").alias("num_candidates"), F.lit("2024-06-01 12:00:00").cast("timestamp_ntz").alias("request_time"))
     out = RC.safe_recommend(requests, None, None, _context(s, d), None, available=False)
     return out.select("user_id", "rank", "item_id", "category", F.round("score", 6).alias("score"), "is_fallback", "recent_used")
+
+
+def _tsv(df: DataFrame, path: str) -> None:
+    df.write.option("sep", "\t").option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+
+
+@query("""SELECT p_partkey::VARCHAR AS news_id, p_type AS category, p_brand AS subcategory, p_name || ' "quoted"' AS title, NULL::VARCHAR AS abstract, 'http://x/' || p_partkey AS url, '[]' AS title_entities, 'NA' AS abstract_entities FROM part""")
+def src1_news_from_tsv(s, d):
+    """The catalog through the tab-separated form, quotes and empty fields included, validated on the way."""
+    n, path = _news(s, d), scratch_path(s, "news-tsv")
+    _tsv(n.select(F.col("item_id").cast("string").alias("news_id"), "category", "subcategory", F.concat("title", F.lit(' "quoted"')), "abstract", F.concat(F.lit("http://x/"), "item_id"), F.lit("[]"), F.lit("NA")), path)
+    return FI.read_news(s, path)
+
+
+@query("SELECT impression_id, user_id::VARCHAR AS user_id, time::TIMESTAMP AS time, history, impressions FROM beh")
+def src2_behaviors_from_tsv(s, d):
+    """The impressions through the tab-separated form with twelve-hour times."""
+    path = scratch_path(s, "behaviors-tsv")
+    _tsv(_beh(s, d).select("impression_id", F.col("user_id").cast("string"), F.date_format("time", FI.TIME_FORMAT), "history", "impressions"), path)
+    return FI.read_behaviors(s, path)
+
+
+@query(FEATS + " SELECT impression_id, item_id, clicked, round(retrieval_score, 5) AS retrieval_score, hour_of_day::INT AS hour_of_day FROM ft WHERE impression_id % 3 = 0")
+def src6_ranking_frame(s, d):
+    """Feature rows stored by split; the one of the training impressions is read."""
+    rows, path = written(_feature_rows(s, d), "features"), scratch_path(s, "frames")
+    for split, part in (("train", rows.where("impression_id % 3 = 0")), ("validation", rows.where("impression_id % 3 > 0"))):
+        AF.write_ranking_frame(part, path, split)
+    return AF.read_ranking_frame(s, path, "train").select("impression_id", "item_id", "clicked", F.round("retrieval_score", 5).alias("retrieval_score"), "hour_of_day")
+
+
+@query(""", g AS (SELECT category AS run_name, round(sum(clicked) / count(*), 6) AS ctr, count(*)::DOUBLE AS shown FROM cand JOIN news USING (item_id) GROUP BY 1)
+  SELECT run_name, (row_number() OVER w - 1)::INT AS stage_no, ctr, shown, round(ctr - lag(ctr) OVER w, 6) AS ctr_delta, shown - lag(shown) OVER w AS shown_delta FROM g WINDOW w AS (ORDER BY run_name)""")
+def win2_stage_deltas(s, d):
+    """A run per category in a log of JSON lines (with blank ones), and what changes from one to the next."""
+    rates, path = _cand(s, d).join(_news(s, d).select("item_id", "category"), "item_id").groupBy("category").agg(F.round(F.avg("clicked"), 6).alias("ctr"), F.count(F.lit(1)).cast("double").alias("shown")), scratch_path(s, "runs")
+    line = F.to_json(F.struct(F.col("category").alias("run_name"), F.lit("2024-01-01").alias("logged_at"), F.lit(None).cast("string").alias("git_commit"), F.create_map(F.lit("k"), F.lit("10")).alias("params"), F.create_map(F.lit("ctr"), F.col("ctr"), F.lit("shown"), F.col("shown")).alias("metrics"), F.lit("").alias("notes")))
+    rates.select(F.explode(F.array(line, F.lit(" "))).alias("value")).write.text(path)
+    stages = [r["category"] for r in _news(s, d).select("category").distinct().orderBy("category").collect()]  # a row per category
+    runs = FI.runs_wide(V.require_runs(FI.read_runs(s, path), stages), ["ctr", "shown"])
+    return S.stage_deltas(runs, stages, ["ctr", "shown"]).withColumn("ctr_delta", F.round("ctr_delta", 6))
+
+
+@query(ONLINE + " SELECT user_id::VARCHAR AS user_id, coalesce(recent, '') AS recent, impressions, clicks, strftime(last_event_time, '%Y-%m-%dT%H:%M:%S') AS last_event_time FROM ct LEFT JOIN rl USING (user_id)")
+def jsn2_feature_records(s, d):
+    """Recent features as JSON records of a key-value store, and read from them."""
+    e = C.recomputed(A.events(s, d).withColumnRenamed("ts", "timestamp")).withColumn("last_event_time", F.date_format("last_event_time", "yyyy-MM-dd'T'HH:mm:ss"))
+    return AF.from_records(AF.to_records(C.recent_features(e))).withColumn("recent", F.array_join("recent", " "))
+
+
+@query(""", h AS (SELECT impression_id, item_id, sha256('""" + str(AF.NAMESPACE) + """|' || impression_id || '|' || item_id) AS h FROM cand)
+  SELECT impression_id, item_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS event_id FROM h""")
+def uid1_event_ids(s, d):
+    return _cand(s, d).select("impression_id", "item_id", AF.event_id("impression_id", "item_id").alias("event_id"))
+
+
+@query("""SELECT split, count(*) AS n, min(time) AS first, max(time) AS last FROM (SELECT *, CASE WHEN time < (SELECT date_trunc('day', max(time)) FROM beh) - INTERVAL 6 DAY THEN 'train' ELSE 'validation' END AS split FROM beh) GROUP BY 1""")
+def val3_ordered_splits(s, d):
+    """Spans of the splits, after the check that the first ends before the second begins."""
+    split = written(L.time_split(_beh(s, d), 7), "split", ["split"])
+    V.assert_ordered(split.where("split = 'train'"), split.where("split = 'validation'"))
+    return split.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
+
+
+@query("""SELECT doc_id AS item_id, source AS category, substr(coalesce(text, ''), 1, 300) AS abstract, doc_id % 2 = 1 AND doc_id % 10 < 3 AS refused FROM documents""")
+def str5_support_abstracts(s, d):
+    """What an explanation is given: documents as items, their texts cut to 300 characters."""
+    docs = A.table(s, d, "documents")
+    catalog = docs.select(F.col("doc_id").alias("item_id"), F.col("source").alias("category"), F.col("text").alias("abstract"))
+    items = docs.select(F.lit(1).alias("user_id"), F.col("doc_id").alias("item_id"), (F.col("doc_id") % 2 == 0).alias("category_match"), F.when(F.col("doc_id") % 10 < 3, 0.0).otherwise(0.5).alias("content_similarity"))
+    return S.explain(items, catalog).select("item_id", "category", "abstract", "refused")
+
+
+@query(""", h AS (SELECT unnest([0, 23, 24, 25, 48]) AS hours)
+  SELECT hours, hours > 24 AS stale, (SELECT count(*) FROM (SELECT DISTINCT user_id FROM beh)) AS users, CASE WHEN hours > 24 THEN hours ELSE 0 END AS built FROM h""")
+def stm12_refreshed_cache(s, d):
+    """The durable features some hours after their cache was built: which hour's build a reader gets."""
+    start = dt.datetime(2024, 1, 1)
+    features = M.durable_features(_beh(s, d), _news(s, d))
+    cache, out = written(AF.durable_cache(features, start), "cache"), None
+    for hours in (0, 23, 24, 25, 48):
+        now = start + dt.timedelta(hours=hours)
+        seen = AF.refreshed(cache, lambda: features, now)
+        built = F.timestamp_diff("HOUR", F.lit(start).cast("timestamp_ntz"), F.max("built_at")).cast("int")
+        one = seen.agg(F.count(F.lit(1)).alias("users"), built.alias("built")).select(F.lit(hours).alias("hours"), (F.col("built") > 0).alias("stale"), "users", "built")
+        out = one if out is None else out.unionByName(one)
+    return out
