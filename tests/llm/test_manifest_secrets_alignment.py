@@ -206,13 +206,13 @@ def brute_alignment(texts):
 ALPHABET = [*"abcXYZé ñß   \n\n\t\r .,;:!?$%&#@_`~|<>()[]0123456789'", "'s", " 'll", "<|endoftext|>", "<s>", "<0x41>", "\x1c", "\x85", "\xa0", "　", "日本", "🙂", "́", "the ", "\n ", "\x00", "᠎", "​", "ｗ", " die", "  "]
 
 
-@pytest.mark.parametrize("limit", [200, 1 << 25])
-def test_alignment_against_brute_force(spark, limit):
+@pytest.mark.parametrize(("limit", "pairs"), [(200, None), (1 << 25, 0)])
+def test_alignment_against_brute_force(spark, limit, pairs):
     r = np.random.default_rng(4)
     texts = [None, "", " ", "a", "▁", "a ▁ b", "one  two   three ", " lead", "tail ", "\n", "x" * 700, "日" * 90, *("".join(r.choice(ALPHABET, r.integers(1, 40))) for _ in range(250))]
     texts += [texts[-1], texts[-1], "the dog and the cat " * 400]
     rows = [(None if i == 7 else i // 2, t, "en", "s", 1) for i, t in enumerate(texts)]  # ids come twice
-    got = alignment.align_documents(frame(spark, rows), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"), limit).collect()
+    got = alignment.align_documents(frame(spark, rows), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"), limit, pairs).collect()
     want = [(rows[i][0], *x) for i, x in enumerate(brute_alignment(texts))]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 

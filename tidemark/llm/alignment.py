@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import Scratch, checked_broadcast, lean, small_batches
+from .shared import BROADCAST_BYTES, Scratch, lean, small_batches
 from .tokens import PieceEncoder
 
 #: Bytes of text whose words share a dictionary.
@@ -210,6 +210,33 @@ def pair_counts(words: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(pairs.join(top, "b").select("a", "b", "count", F.col("count") == F.col("top")), "pairs").toDF("a", "b", "count", "best")
 
 
+def _counted(found: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
+    """found (key, word, n_a, n_b, n_groups, said, links) with n_links, n_best and count_sum: each link's pair looked up.
+
+    Where the pairs, 20 bytes each, take at most `limit`, tasks hold them all and no row of found moves; else links and
+    pairs are joined."""
+    whole = found.withColumns({**{c: F.col(c).cast("long") for c in ("n_a", "n_b", "n_groups")}, "n_links": F.size("links").cast("long")})
+    if 20 * pairs.count() > limit:
+        links = found.select("key", F.explode("links").alias("l")).select("key", "l.a", "l.b")
+        sums = links.join(pairs, ["a", "b"]).groupBy("key").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+        return whole.select("key", "word", "said", *NUMBERS[:4]).join(sums, "key").drop("key")
+    rows = pairs.select((F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("pair"), "count", "best").toPandas().sort_values("pair")
+    held = found.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy() for c in ("pair", "count", "best")))
+
+    def run(batches):
+        pair, count, best = held.value
+        for batch in batches:
+            links = batch.column(batch.schema.get_field_index("links"))
+            a, b = (links.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            at = np.searchsorted(pair, (a << 32) + b)
+            ends = np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False))])
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)])[ends]) for x in (best, count)]
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("word", "said", *NUMBERS[:4])]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, sums)], names=["word", "said", *NUMBERS])
+
+    return whole.select("word", "said", *NUMBERS[:4], "links").mapInArrow(lean(run), "word string, said string, " + ", ".join(f"{c} long" for c in NUMBERS))
+
+
 def _packed(values: DataFrame) -> DataFrame:
     """A few rows per chunk and task of values (chunk, code, said, and NUMBERS): compressed columns of the words."""
 
@@ -275,12 +302,13 @@ def _summed(parts: DataFrame, values: DataFrame) -> DataFrame:
     return parts.select("chunk", "ids", "sizes", "codes").groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def align_documents(docs: DataFrame, path_a: str, path_b: str, limit: int = CHUNK_BYTES) -> DataFrame:
+def align_documents(docs: DataFrame, path_a: str, path_b: str, limit: int = CHUNK_BYTES, limit_pairs: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     Tokens are those of a space and the text, strings of special tokens being plain text. Texts that are null, empty or
     contain MARK have no tokens: zeros, and '' for the digest. Repeated rows and ids, or null ids, are rows each;
-    extra columns are ignored; an empty table gives an empty result."""
+    extra columns are ignored; an empty table gives an empty result. limit: bytes of text of a chunk; limit_pairs: bytes of
+    the pairs of ids that tasks may hold."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "alignment")
     with small_batches(spark, 2000):
@@ -296,10 +324,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, limit: int = CHUN
     found = scratch.save(aligned(words.select("key", "n_a", "tokens")).join(words.select("key", "word", "n"), "key"), "aligned")
     scratch.settle("words")
     pairs = pair_counts(found, scratch)
-    links = found.select("key", F.explode("links").alias("l")).select("key", "l.a", "l.b")
-    sums = links.join(checked_broadcast(pairs), ["a", "b"]).groupBy("key").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    whole = found.select("key", "word", *[F.col(c).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups")], F.size("links").cast("long").alias("n_links"), "said")
-    values = scratch.save(whole.join(sums, "key").drop("key"), "values")
+    values = scratch.save(_counted(found, pairs, BROADCAST_BYTES if limit_pairs is None else limit_pairs), "values")
     scratch.settle("aligned")
     back = scratch.save(_packed(places().select("chunk", "code", "word").join(values, "word")), "back")
     scratch.settle("values")

@@ -7,6 +7,7 @@ import ctypes
 import gc
 import sys
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -59,10 +60,13 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
     def settle(self, *names: str) -> None:
-        """Drops tables, and lets Spark remove the shuffle files of finished steps, which else wait for the driver's garbage."""
+        """Drops tables, and lets Spark remove the shuffle files of finished steps, which else wait for the driver's garbage:
+        a first collection finds the plans, a second the shuffles that they held."""
         self.drop(*names)
         gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            self.spark._jvm.System.gc()
+            time.sleep(1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
