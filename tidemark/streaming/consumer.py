@@ -154,14 +154,17 @@ def parity(events: DataFrame, least_times: int = 5) -> DataFrame:
     by = Window.partitionBy("user_id")
     times = times.withColumns({"i": F.row_number().over(by.orderBy("timestamp")), "n": F.count(F.lit(1)).over(by)})
     cuts = times.where((F.col("n") >= least_times) & F.expr("i = 1 or i = n div 2 + 1 or i = n")).select("user_id", F.col("timestamp").alias("cutoff"))
-    running = by.orderBy("timestamp").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    kind = F.col("event_type")
-    clicks = F.collect_list(F.when(kind == "click", F.struct("timestamp", "event_id", "item_id"))).over(running)
+    running, kind = by.orderBy("timestamp").rangeBetween(Window.unboundedPreceding, Window.currentRow), F.col("event_type")
     state = events.select(
-        "user_id", "timestamp", F.count_if(kind == "impression").over(running).alias("impressions"), F.count_if(kind == "click").over(running).alias("clicks"),
-        F.transform(F.slice(F.array_sort(clicks), F.greatest(F.size(clicks) - RECENT + 1, F.lit(1)), F.lit(RECENT)), lambda x: x["item_id"]).alias("recent"),
+        "user_id", "timestamp", F.count_if(kind == "impression").over(running).alias("impressions"), F.count_if(kind == "click").over(running).alias("clicks")
     ).dropDuplicates(["user_id", "timestamp"])
-    online = cuts.join(state, (state["user_id"] == cuts["user_id"]) & (state["timestamp"] == cuts["cutoff"])).select(cuts["user_id"], "cutoff", "impressions", "clicks", "recent")
+    online = cuts.join(state, (state["user_id"] == cuts["user_id"]) & (state["timestamp"] == cuts["cutoff"])).select(cuts["user_id"], "cutoff", "impressions", "clicks")
+    # the last clicks of a state are those whose numbers end at its count
+    numbers = events.where(kind == "click").select("user_id", "item_id", F.row_number().over(by.orderBy("timestamp", "event_id")).alias("k"))
+    last = online.select("user_id", "cutoff", "clicks").join(numbers, "user_id").where((F.col("k") <= F.col("clicks")) & (F.col("k") > F.col("clicks") - RECENT))
+    last = last.groupBy("user_id", "cutoff").agg(F.array_sort(F.collect_list(F.struct("k", "item_id"))).alias("c"))
+    last = last.select("user_id", "cutoff", F.transform("c", lambda x: x["item_id"]).alias("recent"))
+    online = online.join(last, ["user_id", "cutoff"], "left").withColumn("recent", F.coalesce("recent", F.array().cast("array<string>")))
     named = cuts.select(F.struct("user_id", "cutoff").alias("key"), F.col("user_id").alias("u"), "cutoff")
     upto = named.join(events, (F.col("u") == events["user_id"]) & (events["timestamp"] <= F.col("cutoff")))
     again = recomputed(upto.select(F.col("key").alias("user_id"), "event_id", "event_type", "item_id", "timestamp"))
