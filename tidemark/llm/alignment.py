@@ -274,7 +274,7 @@ def _summed(parts: DataFrame, values: DataFrame) -> DataFrame:
         codes, said, numbers = [], [], []
         for row in right.to_pylist():
             codes.append(np.cumsum(unpack(row["codes"])))
-            said.append(pa.array(zstandard.decompress(row["said"]).decode().split("\n"), pa.string()))
+            said.append(pc.split_pattern(pa.array([zstandard.decompress(row["said"])], pa.binary()).cast(pa.string()), "\n").flatten())
             numbers.append(np.frombuffer(zstandard.decompress(row["numbers"]), np.uint8).reshape(len(NUMBERS), 8, -1).transpose(0, 2, 1).copy().view("<i8")[:, :, 0])
         if codes:
             order = np.argsort(np.concatenate(codes), kind="stable")
@@ -286,13 +286,13 @@ def _summed(parts: DataFrame, values: DataFrame) -> DataFrame:
             ids, sizes, codes = left["ids"][row].values, left["sizes"][row].values.to_numpy(), unpack(left["codes"][row].as_py())
             ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             out["doc_id"].append(ids)
-            for c, v in zip(NUMBERS, numbers, strict=True):
-                upto = np.concatenate([[0], np.cumsum(v[codes])])
-                out[c].append(pa.array(np.diff(upto[ends])))
             digests, i = [], 0
-            while i < len(sizes):  # some documents at a time: the strings take much more room than the codes
+            while i < len(sizes):  # some documents at a time: what is looked up takes much more room than the codes
                 j = max(i + 1, int(np.searchsorted(ends, ends[i] + GATHER, side="right")) - 1)
-                lists = pa.ListArray.from_arrays(pa.array(ends[i : j + 1] - ends[i], pa.int32()), said.take(pa.array(codes[ends[i] : ends[j]])))
+                own, within = codes[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+                for c, v in zip(NUMBERS, numbers, strict=True):
+                    out[c].append(pa.array(np.diff(np.concatenate([[0], np.cumsum(v[own])])[within])))
+                lists = pa.ListArray.from_arrays(pa.array(within, pa.int32()), said.take(pa.array(own)))
                 digests += [hashlib.sha256(s).hexdigest() if s else "" for s in pc.binary_join(lists, ";").cast(pa.binary()).to_pylist()]
                 i = j
             out["groups_sha256"].append(pa.array(digests, pa.string()))
