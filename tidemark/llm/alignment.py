@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import BROADCAST_BYTES, Scratch, lean, small_batches
+from .shared import BROADCAST_BYTES, Scratch, lean, small_batches, trim
 from .tokens import PieceEncoder
 
 #: Bytes of text whose words share a dictionary.
 CHUNK_BYTES = 32 << 20
 #: Words of a chunk whose groups are put together at once.
-GATHER = 400_000
+GATHER = 200_000
 #: A token as one number is its id plus WIDE times its bytes.
 WIDE = 1 << 20
 #: Runs that a worker's encoder remembers; words are distinct, so few come again.
@@ -271,6 +271,7 @@ def _summed(parts: DataFrame, values: DataFrame) -> DataFrame:
     """Per document, from its chunk's codes and the packed values of the chunk's words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         codes, said, numbers = [], [], []
         for row in right.to_pylist():
             codes.append(np.cumsum(unpack(row["codes"])))
@@ -278,7 +279,10 @@ def _summed(parts: DataFrame, values: DataFrame) -> DataFrame:
             numbers.append(np.frombuffer(zstandard.decompress(row["numbers"]), np.uint8).reshape(len(NUMBERS), 8, -1).transpose(0, 2, 1).copy().view("<i8")[:, :, 0])
         if codes:
             order = np.argsort(np.concatenate(codes), kind="stable")
-            said, numbers = pa.concat_arrays(said).take(pa.array(order)), np.concatenate(numbers, axis=1)[:, order]
+            said = pa.concat_arrays(said).take(pa.array(order))
+            numbers = [np.concatenate([x[k] for x in numbers])[order] for k in range(len(NUMBERS))]
+            del codes, order
+            trim()
         else:  # no document has words
             said, numbers = pa.array([], pa.string()), np.empty((len(NUMBERS), 0), np.int64)
         out = {"doc_id": [], **{c: [] for c in NUMBERS}, "groups_sha256": []}

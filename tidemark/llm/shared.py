@@ -93,14 +93,19 @@ def lean(run, keep: bool = False):
         if held is not None and not keep:
             held.__dict__.pop("encoders", None)
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     return wrapped
 
 
+def trim() -> None:
+    """Gives freed buffers of a worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000):
     """Arrow batches of so many rows for what is executed inside: whole texts of the usual 10,000 take much memory."""
