@@ -19,8 +19,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (impression, item): impression_id, user_id, time, item_id, clicked."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("clicked"))
+    """One row per (impression, item): impression_id, user_id, time, item_id, clicked. Lines are shuffled once, by their order."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_returnflag") == "R").cast("int").alias("r")).repartition("l_orderkey")
+    lines = lines.groupBy("l_orderkey", "l_partkey").agg(F.max("r").alias("clicked"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("time"))
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_orderkey").alias("impression_id"), F.col("o_custkey").alias("user_id"), "time", F.col("l_partkey").alias("item_id"), "clicked"
