@@ -78,3 +78,22 @@ def test_an_unknown_candidate_raises(spark):
     x = recommend.Context(frame, news, spark.createDataFrame([(1, [1.0])], "item_id long, v array<double>"))
     with pytest.raises(Exception, match="candidate missing from the catalog: 5"):
         recommend.feature_rows(frame, x).collect()
+
+
+def test_evaluations_of_several_scores_shuffle_rows_once(spark):
+    from tidemark.operators import ranking
+
+    r = random.Random(2)
+    data = [(g, i, int(r.random() < 0.3), r.randrange(3) / 2, r.random()) for g in range(30) for i in r.sample(range(12), 5)]
+    rows, size = spark.createDataFrame(data, "impression_id int, item_id int, clicked int, a double, b double"), spark.range(1).selectExpr("20L as n")
+    got = {x["scored_by"]: x for x in ranking.evaluations(rows, ["a", "b"], size, 2).collect()}
+    for at, name in ((3, "a"), (4, "b")):
+        lists = collections.defaultdict(list)
+        for x in data:
+            lists[x[0]].append(x)
+        lists = [sorted(x, key=lambda x: (-x[at], x[1])) for x in lists.values()]
+        assert got[name]["impressions"] == 30 and got[name]["coverage"] == len({x[1] for v in lists for x in v[:2]}) / 20
+        assert got[name]["hit"] == pytest.approx(sum(any(x[2] for x in v[:2]) for v in lists) / 30)
+        assert got[name]["mrr"] == pytest.approx(sum(next((1 / (i + 1) for i, x in enumerate(v) if x[2]), 0) for v in lists) / 30)
+    none = ranking.evaluation(rows.where("false"), "a", size, 2).collect()
+    assert len(none) == 1 and none[0]["impressions"] == 0 and none[0]["coverage"] == 0
