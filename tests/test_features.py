@@ -97,3 +97,34 @@ def test_evaluations_of_several_scores_shuffle_rows_once(spark):
         assert got[name]["mrr"] == pytest.approx(sum(next((1 / (i + 1) for i, x in enumerate(v) if x[2]), 0) for v in lists) / 30)
     none = ranking.evaluation(rows.where("false"), "a", size, 2).collect()
     assert len(none) == 1 and none[0]["impressions"] == 0 and none[0]["coverage"] == 0
+
+
+def test_items_with_one_vector_are_searched_once(spark):
+    from tidemark.operators import vectors
+
+    r = np.random.default_rng(4)
+    kinds = r.integers(-2, 3, size=(6, 3)).astype(float)
+    items = [(i, kinds[i % 6].tolist()) for i in range(300)]
+    queries = [(i, r.integers(-2, 3, size=3).astype(float).tolist()) for i in range(20)] + [(99, [0.0, 0.0, 0.0])]
+    e, q = spark.createDataFrame(items, "item_id long, v array<double>"), spark.createDataFrame(queries, "query_id long, q array<double>")
+    assert vectors.shared(e, 7).selectExpr("count(*) as c", "max(size(k)) as m").first().asDict() == {"c": len({tuple(k) for k in kinds.tolist()}), "m": 7}
+    for size in (2, 2048):
+        got = {(x["query_id"], x["rn"]): x["item_id"] for x in vectors.exact_top_n(q, e, 7, size).collect()}
+        for i, x in queries:
+            want = sorted(items, key=lambda y: (-float(np.dot(x, y[1])), y[0]))[:7]
+            assert [got[i, k + 1] for k in range(7)] == [y[0] for y in want]
+
+
+def test_retrieval_is_evaluated_alike_in_place_and_by_lists(spark, monkeypatch):
+    from tidemark.operators import towers
+
+    r = np.random.default_rng(6)
+    items = spark.createDataFrame([(i, [float(x) for x in (i % 5 - 2, i % 3)]) for i in range(90)], "item_id long, v array<double>")
+    users = spark.createDataFrame([(i, r.normal(size=2).tolist() if i % 4 else [0.0, 0.0]) for i in range(40)], "query_id long, q array<double>")
+    log = spark.createDataFrame([(i, int(k), int(r.random() < 0.5)) for i in range(38) for k in r.choice(90, 12, replace=False)], "impression_id long, item_id long, clicked int")
+    size = spark.range(1).selectExpr("90L as n")
+    place = towers.evaluate_retrieval(users, items, log, size, 20).first()
+    monkeypatch.setattr(towers, "SHELF_BYTES", 0)
+    lists = towers.evaluate_retrieval(users, items, log, size, 20).first()
+    assert place["impressions"] == lists["impressions"] == 40 and place["distinct_items"] == lists["distinct_items"]
+    assert list(place) == pytest.approx(list(lists))

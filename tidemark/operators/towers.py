@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 from .ranking import metrics
-from .vectors import exact_top_n, vocabulary
+from .vectors import Shelf, exact_top_n, shared, vocabulary
 
 HISTORY, DIM = 20, 32
+#: Bytes of distinct item vectors and their ids up to which tasks search them in place.
+SHELF_BYTES = 64 << 20
 
 
 def item_codes(catalog: DataFrame) -> DataFrame:
@@ -58,12 +60,21 @@ class TwoTowers:
 
     def user_vectors(self, encoded: DataFrame, key: str = "impression_id") -> DataFrame:
         """key, q: the masked mean of the history; zeros without a known item."""
-        a, s = self.tables(encoded.sparkSession)
-        zero = F.array(*[F.lit(0.0)] * self.dim)
-        known = encoded.select(key, F.explode("codes").alias("x")).where("x.mask = 1").select(key, "x.cat", "x.subcat")
-        long = known.join(F.broadcast(a), "cat").join(F.broadcast(s), "subcat").select(key, F.zip_with("a", "s", lambda x, y: x + y).alias("v"))
-        means = long.select(key, F.posexplode("v").alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("m")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("q"))
-        return encoded.select(key).join(means.select(key, F.transform("q", lambda e: e["m"]).alias("q")), key, "left").select(key, F.coalesce("q", zero).alias("q"))
+        a, s = self.parts()
+
+        def run(batches):
+            for batch in batches:
+                of, h = _flat(batch.column(1))
+                known = h["mask"] > 0
+                of, v = of[known], (a[h["cat"]] + s[h["subcat"]])[known]
+                q = np.zeros((batch.num_rows, a.shape[1]))
+                if len(of):
+                    heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                    q[of[heads]] = np.add.reduceat(v, heads, axis=0) / np.diff(np.r_[heads, len(of)])[:, None]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * q.shape[1], pa.int32()), pa.array(q.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "q"])
+
+        return encoded.select(key, "codes").mapInArrow(run, f"{key} {encoded.schema[key].dataType.simpleString()}, q array<double>")
 
     def gradient(self, sets: DataFrame) -> dict | None:
         """Mean loss and gradient over training_sets, each task giving sums per vocabulary value: what reaches the driver is
@@ -176,13 +187,55 @@ def clicked_sets(log: DataFrame) -> DataFrame:
 
 def evaluate_retrieval(users: DataFrame, items: DataFrame, log: DataFrame, catalog_size: DataFrame, n: int = 100) -> DataFrame:
     """One row: macro means over all impressions (users: query_id = impression, q) of the metrics of their n best items
-    of the whole catalog (item_id, v) against the items clicked, known in number; and coverage."""
-    top = exact_top_n(users, items, n).withColumnRenamed("query_id", "impression_id")
+    of the whole catalog (item_id, v) against the items clicked, known in number; and coverage.
+
+    Distinct vectors are a row per pair of codes at most: where they fit in SHELF_BYTES, tasks search them in place and send
+    sums and the items shown instead of n rows an impression; beyond that the lists are joined to the clicks."""
+    vectors = shared(items, n)
+    weight = vectors.agg(F.sum(8 * (F.size("v") + F.size("k"))).alias("b")).first()["b"] or 0
+    if 0 < weight <= SHELF_BYTES:
+        return _evaluate_in_place(users, vectors, items.schema["item_id"].dataType.simpleString(), log, catalog_size, n)
+    top = written(exact_top_n(users, items, n), "top").withColumnRenamed("query_id", "impression_id")
     clicks = log.where("clicked = 1").select("impression_id", "item_id").distinct()
     true = clicks.groupBy("impression_id").agg(F.count(F.lit(1)).alias("true_total"))
     marked = top.join(clicks.withColumn("c", F.lit(1)), ["impression_id", "item_id"], "left").join(true, "impression_id", "left")
     marked = marked.select("impression_id", "item_id", "rn", F.coalesce("c", F.lit(0)).alias("clicked"), F.coalesce("true_total", F.lit(0)).alias("true_total"))
     means = metrics(marked, n, true_total="true_total").agg(*[F.avg(m).alias(m) for m in ("hit", "recall", "ndcg", "mrr")], F.count(F.lit(1)).alias("impressions"))
-    shown = marked.agg(F.countDistinct("item_id").alias("distinct_items"))
+    return _with_coverage(means, top.agg(F.countDistinct("item_id").alias("distinct_items")), catalog_size)
+
+
+def _with_coverage(means: DataFrame, shown: DataFrame, catalog_size: DataFrame) -> DataFrame:
     both = means.crossJoin(F.broadcast(shown)).crossJoin(F.broadcast(catalog_size))
     return both.select("hit", "recall", "ndcg", "mrr", F.when(F.col("n") > 0, F.col("distinct_items") / F.col("n")).otherwise(0.0).alias("coverage"), "distinct_items", "impressions")
+
+
+def _evaluate_in_place(users: DataFrame, vectors: DataFrame, kind: str, log: DataFrame, catalog_size: DataFrame, n: int) -> DataFrame:
+    got = vectors.select("k", F.col("v").cast("array<double>").alias("v")).toArrow().combine_chunks()
+    ids, flat = got["k"].combine_chunks(), got["v"].combine_chunks()
+    shelf = users.sparkSession.sparkContext.broadcast(Shelf(ids, flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)))
+    gains = 1 / np.log2(np.arange(n) + 2)
+    rows = users.where("q is not null").join(clicked_sets(log).withColumnRenamed("impression_id", "query_id"), "query_id", "left").select("q", "clicked_ids")
+
+    def run(batches):
+        s, sums, shown = shelf.value, np.zeros(5), set()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            clicked, before = batch.column(1).to_pylist(), None
+            for (best, _), mine in zip(s.search(q, n), clicked, strict=True):
+                if best is not before:
+                    shown.update(best.tolist())
+                before, total = best, len(mine or ())
+                at = np.flatnonzero(np.isin(s.named(best), mine)) if mine else ()
+                sums[4] += 1
+                if len(at):
+                    sums[:4] += 1.0, len(at) / total, gains[at].sum() / gains[: min(total, n)].sum(), 1 / (at[0] + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64())), pa.nulls(1, ids.type.value_type)], ["sums", "item_id"])
+        if shown:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(shown), pa.list_(pa.float64())), pa.array(s.named(np.array(sorted(shown))), ids.type.value_type)], ["sums", "item_id"])
+
+    out = written(rows.mapInArrow(run, f"sums array<double>, item_id {kind}"), "found")
+    count = F.sum(F.col("sums")[4])
+    means = out.agg(*[(F.sum(F.col("sums")[i]) / F.nullif(count, F.lit(0.0))).alias(m) for i, m in enumerate(("hit", "recall", "ndcg", "mrr"))], F.coalesce(count, F.lit(0.0)).cast("long").alias("impressions"))
+    return _with_coverage(means, out.agg(F.countDistinct("item_id").alias("distinct_items")), catalog_size)

@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def dot(a, b) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -21,34 +23,94 @@ def norm(a) -> F.Column:
 def _blocks(df: DataFrame, key: str, vector: str, size: int, by: str | None = None) -> DataFrame:
     """Blocks of about `size` rows by a hash of the key: keys, flat (the vectors one after another). With by, each of its
     values has blocks of its own, as many as its rows need."""
-    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), *([by] if by else [])).where("k is not null and v is not null")
+    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), *([by] if by else [])).where("k is not null and v is not null")
+    return _gathered(rows, "k", key, size, by)
+
+
+def _gathered(rows: DataFrame, hashed: str, key: str, size: int, by: str | None) -> DataFrame:
     if by:
         counts = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
         rows = rows.join(F.broadcast(counts), by)  # a row per cell
-        block = [by, F.pmod(F.xxhash64("k"), F.col("parts")).alias("block")]
+        block = [by, F.pmod(F.xxhash64(hashed), F.col("parts")).alias("block")]
     else:
-        block = [F.pmod(F.xxhash64("k"), F.lit(-(-rows.count() // size) or 1)).alias("block")]
-    lists = rows.groupBy(*block).agg(F.collect_list(F.struct("k", "v")).alias("x"))
+        block = [F.pmod(F.xxhash64(hashed), F.lit(-(-rows.count() // size) or 1)).alias("block")]
+    lists = rows.groupBy(*block).agg(F.collect_list(F.struct("k", F.col("v").cast("array<double>").alias("v"))).alias("x"))
     return lists.select(*([by] if by else []), F.transform("x", lambda e: e["k"]).alias(f"{key}_keys"), F.flatten(F.transform("x", lambda e: e["v"])).alias(f"{key}_flat"))
 
 
+def shared(items: DataFrame, n: int, by: str | None = None) -> DataFrame:
+    """k (the n smallest ids that share a vector, in order), v, and by: a row per distinct vector, written. Items with the same
+    vector score alike, so a search for n needs no more of them; tasks cut the ids to n before they meet."""
+    keys = [*([by] if by else []), "v"]
+    rows = items.select("item_id", *keys).where("item_id is not null and v is not null")
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("item_id"))).where(F.col("rn") <= n)
+    return written(first.groupBy(*keys).agg(F.array_sort(F.collect_list("item_id")).alias("k")).select("k", *keys), "shared")
+
+
+def _item_blocks(items: DataFrame, n: int, size: int, by: str | None = None) -> DataFrame:
+    return _gathered(shared(items, n, by), "k", "item_id", size, by)
+
+
+class Shelf:
+    """Vectors in an array, each with the ids that share it; best gives a query's n best ids."""
+
+    def __init__(self, ids: pa.ListArray, v: np.ndarray):
+        self.v, self.lengths = v, ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.starts, flat = np.cumsum(self.lengths) - self.lengths, ids.flatten()
+        self.ids = flat.to_numpy(zero_copy_only=False)
+        if not np.issubdtype(self.ids.dtype, np.integer):  # places in the order of the ids stand for them
+            self.names = np.array(sorted(self.ids.tolist()), dtype=object)
+            at = {x: i for i, x in enumerate(self.names)}
+            self.ids = np.array([at[x] for x in self.ids], np.int64)
+        else:
+            self.names = None
+
+    def best(self, score: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the n best, by score and then id, where score has one entry per vector."""
+        edge = np.partition(score, len(score) - n)[len(score) - n] if n < len(score) else -np.inf
+        at = np.flatnonzero(score >= edge)
+        at = at[np.argsort(-score[at], kind="stable")]
+        enough = int(np.searchsorted(np.cumsum(self.lengths[at]), n))
+        if enough < len(at):
+            at = at[score[at] >= score[at[enough]]]
+        n_of = self.lengths[at]
+        ends = np.cumsum(n_of)
+        ids = self.ids[np.repeat(self.starts[at] - (ends - n_of), n_of) + np.arange(ends[-1] if len(ends) else 0)]
+        scores = np.repeat(score[at], n_of)
+        order = np.lexsort((ids, -scores))[:n]
+        return ids[order], scores[order]
+
+    def named(self, ids: np.ndarray) -> np.ndarray:
+        return ids if self.names is None else self.names[ids]
+
+    def search(self, queries: np.ndarray, n: int):
+        """best of each query; what queries of zeros get is found once."""
+        none = None
+        for a in range(0, len(queries), 256):
+            part = queries[a : a + 256]
+            for score, any_ in zip(part @ self.v.T, part.any(axis=1), strict=True):
+                if any_:
+                    yield self.best(score, n)
+                else:
+                    none = none or self.best(np.zeros(len(self.v)), n)
+                    yield none
+
+
 def _best(both: DataFrame, n: int, kinds: tuple[str, str]) -> DataFrame:
     """query_id, item_id, score, rn of pairs of blocks: a task multiplies two blocks and keeps n per query of the product."""
 
     def run(batches):
         for batch in batches:
-            for ids, flat, names, q in zip(*(batch.column(i) for i in range(4)), strict=True):
-                ids, names = ids.as_py(), names.as_py()
-                v, q = (x.values.to_numpy().reshape(k, -1) for x, k in ((flat, len(ids)), (q, len(names))))
-                out = ([], [], [])
-                for name, score in zip(names, q @ v.T, strict=True):
-                    edge = np.partition(score, len(score) - n)[len(score) - n] if n < len(score) else -np.inf
-                    best = sorted((-score[i], ids[i]) for i in np.flatnonzero(score >= edge).tolist())[:n]
-                    out[0].extend([name] * len(best))
-                    out[1].extend(i for _, i in best)
-                    out[2].extend(-x for x, _ in best)
-                types = batch.column(2).type.value_type, batch.column(0).type.value_type, pa.float64()
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["query_id", "item_id", "score"])
+            types = batch.column(2).type.value_type, batch.column(0).type.value_type.value_type, pa.float64()
+            for i in range(batch.num_rows):
+                ids, flat, names, q = (batch.column(c)[i].values for c in range(4))
+                v, q = (x.to_numpy().reshape(k, -1) for x, k in ((flat, len(ids)), (q, len(names))))
+                shelf = Shelf(ids, v)
+                got = list(shelf.search(q, n))
+                if got:
+                    found = [np.concatenate(x) for x in zip(*got)]
+                    who = names.take(pa.array(np.repeat(np.arange(len(names)), [len(x) for x, _ in got])))
+                    yield pa.RecordBatch.from_arrays([who, pa.array(shelf.named(found[0]), types[1]), pa.array(found[1], types[2])], ["query_id", "item_id", "score"])
 
     pairs = both.mapInArrow(run, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
@@ -62,9 +124,9 @@ def _kinds(queries: DataFrame, items: DataFrame) -> tuple[str, str]:
 def exact_top_n(queries: DataFrame, items: DataFrame, n: int, size: int = 2048) -> DataFrame:
     """query_id, item_id, score, rn: the n greatest inner products of each query (query_id, q) among items (item_id, v).
 
-    The stated query set meets all items block by block. Neither side is broadcast or gathered. Ties go to the smaller
-    id, null vectors are left out."""
-    both = _blocks(items, "item_id", "v", size).crossJoin(_blocks(queries, "query_id", "q", size).hint("shuffle_replicate_nl"))
+    The stated query set meets all distinct vectors block by block. Neither side is broadcast or gathered. Ties go to the
+    smaller id, null vectors are left out."""
+    both = _item_blocks(items, n, size).crossJoin(_blocks(queries, "query_id", "q", size).hint("shuffle_replicate_nl"))
     return _best(both, n, _kinds(queries, items))
 
 
@@ -96,7 +158,7 @@ def cell_top_n(queries: DataFrame, indexed: DataFrame, centres: DataFrame, n: in
     """As exact_top_n, but a query meets only the items of the `probes` cells whose centres it scores best. Blocks of a
     cell's items meet blocks of the queries that probe it, so neither a large cell nor a popular one lies in one task."""
     to = queries.join(_probed(queries, centres, probes), "query_id")
-    both = _blocks(indexed, "item_id", "v", size, "cell").join(_blocks(to, "query_id", "q", size, "cell"), "cell").drop("cell")
+    both = _item_blocks(indexed, n, size, "cell").join(_blocks(to, "query_id", "q", size, "cell"), "cell").drop("cell")
     return _best(both, n, _kinds(queries, indexed))
 
 
@@ -112,7 +174,7 @@ def pruned_top_n(queries: DataFrame, indexed: DataFrame, centres: DataFrame, n:
     asked = near.join(F.broadcast(reach), "cell").join(floor, "query_id", "left").join(queries, "query_id")
     bound = F.col("middle") + norm("q") * F.col("radius")
     asked = asked.where(F.col("floor").isNull() | (bound * (1 + F.signum(bound) * 1e-9) + 1e-9 >= F.col("floor"))).select("query_id", "q", "cell")
-    both = _blocks(indexed, "item_id", "v", size, "cell").join(_blocks(asked, "query_id", "q", size, "cell"), "cell").drop("cell")
+    both = _item_blocks(indexed, n, size, "cell").join(_blocks(asked, "query_id", "q", size, "cell"), "cell").drop("cell")
     return _best(both, n, _kinds(queries, indexed))
 
 
