@@ -99,3 +99,16 @@ def test_state_parity_sees_a_difference(spark):
     wrong = right.withColumn("clicks", right["clicks"] + (right["user_id"] == "u1").cast("int"))
     assert tuple(consumer.state_parity(wrong, e).first()) == (3, 2)
     assert tuple(consumer.state_parity(right.where("user_id <> 'u2'"), e).first()) == (3, 2)
+
+
+def test_stream_state_does_not_depend_on_the_order_of_arrival(spark, tmp_path):
+    lines = [event(f"e{i:03d}", ("impression", "click", "skip")[i % 3], f"u{i % 2}", f"n{i}", f"2020-01-01T{i // 60:02d}:{i % 60:02d}:00") for i in range(180)]
+    (tmp_path / "in").mkdir()
+    for name, part in (("a", lines[90:]), ("b", lines[:90])):  # the later half comes first
+        (tmp_path / f"in/{name}.txt").write_text("\n".join(part))
+        states = consumer.user_states(consumer.parse(kafka.read_files(spark, str(tmp_path / "in"))))
+        q = states.writeStream.outputMode("update").foreachBatch(consumer.upsert_into(str(tmp_path / "store"))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {r["user_id"]: (list(r["recent"]), r["impressions"], r["clicks"], r["last_event_time"]) for r in files.latest(spark, str(tmp_path / "store")).collect()}
+    again = consumer.recomputed(consumer.parse(spark.createDataFrame([(x,) for x in lines], "value string")))
+    assert got == {r["user_id"]: (list(r["recent"]), r["impressions"], r["clicks"], r["last_event_time"]) for r in again.collect()}

@@ -15,6 +15,7 @@ FIELDS = {"event_id": "string", "event_type": "string", "schema_version": "int",
 TYPES, VERSION, RECENT = ("impression", "view", "click", "skip"), 1, 20
 STATE = "recent array<string>, impressions bigint, clicks bigint, last_event_time string"
 OUT = f"user_id string, {STATE}"
+KEPT = f"{STATE}, times array<string>, ids array<string>"
 
 
 def parse(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -30,17 +31,21 @@ def parse(raw: DataFrame, column: str = "value") -> DataFrame:
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    recent, shown, clicks, last = state.get if state.exists else ([], 0, 0, None)
-    recent = list(recent)
-    rows = pd.concat(list(frames)).sort_values(["timestamp", "event_id"], kind="stable")  # a user's events of one batch
-    for kind, item, at in zip(rows.event_type, rows.item_id, rows.timestamp, strict=True):
-        if kind == "impression":
-            shown += 1
-        elif kind == "click":
-            clicks += 1
-            recent = [*recent, item][-RECENT:]
-        last = at
-    state.update((recent, shown, clicks, last))
+    """The last clicks are those by (timestamp, event_id), whatever the order of arrival: files of a batch, and batches, may
+    bring a user's events out of order."""
+    recent, shown, clicks, last, times, ids = state.get if state.exists else ([], 0, 0, None, [], [])
+    held = list(zip(times, ids, recent, strict=True))
+    for f in frames:
+        for kind, item, at, number in zip(f.event_type.tolist(), f.item_id.tolist(), f.timestamp.tolist(), f.event_id.tolist(), strict=True):
+            if kind == "impression":
+                shown += 1
+            elif kind == "click":
+                clicks += 1
+                held.append((at, number, item))
+            last = at if last is None or at > last else last
+        held = sorted(held)[-RECENT:]
+    times, ids, recent = [x[0] for x in held], [x[1] for x in held], [x[2] for x in held]
+    state.update((recent, shown, clicks, last, times, ids))
     yield pd.DataFrame({"user_id": [key[0]], "recent": [recent], "impressions": [shown], "clicks": [clicks], "last_event_time": [last]})
 
 
@@ -56,7 +61,7 @@ def deduplicated(events: DataFrame, horizon: str | None = None) -> DataFrame:
 
 def user_states(events: DataFrame, horizon: str | None = None) -> DataFrame:
     """A stream of parsed events -> the changed user states of each batch; repeats of an event_id count once."""
-    return deduplicated(events, horizon).groupBy("user_id").applyInPandasWithState(_advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return deduplicated(events, horizon).groupBy("user_id").applyInPandasWithState(_advance, OUT, KEPT, "update", GroupStateTimeout.NoTimeout)
 
 
 def upsert_into(path: str):
