@@ -70,3 +70,16 @@ def test_index_is_stored_and_swept(spark, tmp_path):
         near = {(x["query_id"], x["item_id"]) for x in vectors.cell_top_n(q, indexed, found, 5, p, size=16).collect()}
         assert len(near & exact) / len(exact) == pytest.approx(sweep[p]["recall"])
     assert vectors.probes_for(vectors.probe_sweep(q, indexed, found, 5, [1, 3, 12]), 0.99) in (1, 3, 12)
+
+
+def test_bins_of_counts_equal_bins_of_rows(spark, monkeypatch):
+    from tidemark.operators import models
+
+    rows = [(0.1, 1), (0.1, 0), (0.2, None), (0.2, 1), (0.5, 0), (0.7, 1), (0.7, 1), (0.9, 0), (None, 1)]
+    df = spark.createDataFrame(rows, "p double, clicked int")
+    read, quantiles = [], models.exact_quantiles
+    monkeypatch.setattr(models, "exact_quantiles", lambda d, *a: read.append(sorted(d.columns)) or quantiles(d, *a))
+    got = {r["bin"]: (round(r["mean_predicted"], 9), round(r["observed"], 9), r["n"]) for r in models.calibration_bins(df, 2).collect()}
+    # edges 0.1, 0.35, 0.9; the row without a score falls into the first bin
+    assert got == {0: (round(0.6 / 4, 9), 0.75, 5), 1: (round(2.8 / 4, 9), 0.5, 4)}
+    assert read == [["labelled", "n", "p", "positive"]]  # edges are found in the counts, not in the rows again

@@ -70,12 +70,13 @@ def rolling(df: DataFrame, order: str, frame: int, block: int | None = None, **m
     return rows.withColumns({k: c.over(w) for k, c in made.items()}).where("__block = __own").drop("__own", "__block", "__place")
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """One row, quantiles (array): linearly interpolated, of the values that are not null; null without any.
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], amount: str | None = None) -> DataFrame:
+    """One row, quantiles (array): linearly interpolated, of the values that are not null; null without any. amount names a
+    column that says how many rows each row stands for.
 
     Values are counted, the counts run up in parts, and a last pass picks the values at the places asked for, so that
     no task sorts or holds all of them."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg((F.sum(amount) if amount else F.count(F.lit(1))).alias("n"))
     total = counts.agg(F.sum("n").alias("n")).first()["n"]
     if not total:
         return df.sparkSession.range(1).select(F.lit(None).cast("array<double>").alias("quantiles"))

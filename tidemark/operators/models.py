@@ -86,9 +86,17 @@ def log_loss_auc(scored: DataFrame, label: str = "clicked", p: str = "p") -> Dat
 
 def calibration_bins(scored: DataFrame, n: int = 10, label: str = "clicked", p: str = "p") -> DataFrame:
     """bin, mean_predicted, observed, n of equal-frequency bins, right-closed; equal edges are one, empty bins vanish."""
-    edges = exact_quantiles(scored, p, [i / n for i in range(n + 1)]).select(F.array_distinct("quantiles").alias("edges"))
+    counts = scored.groupBy(p).agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("labelled"), F.sum(label).alias("positive"))
+    return calibration_bins_of_counts(written(counts, "counts"), n, p)
+
+
+def calibration_bins_of_counts(counts: DataFrame, n: int = 10, p: str = "p") -> DataFrame:
+    """calibration_bins of rows counted by score: p, n, labelled (rows with a label), positive (their labels' sum); a score may
+    have several rows. Edges and means come from the counts, so what is scored is read once."""
+    edges = exact_quantiles(counts, p, [i / n for i in range(n + 1)], "n").select(F.array_distinct("quantiles").alias("edges"))
     b = F.greatest(F.size(F.filter("edges", lambda e: e < F.col(p))) - 1, F.lit(0))
-    return scored.crossJoin(F.broadcast(edges)).groupBy(b.alias("bin")).agg(F.avg(p).alias("mean_predicted"), F.avg(label).alias("observed"), F.count(F.lit(1)).alias("n"))
+    mean = F.sum(F.col(p) * F.col("n")) / F.nullif(F.sum(F.when(F.col(p).isNotNull(), F.col("n"))), F.lit(0))
+    return counts.crossJoin(F.broadcast(edges)).groupBy(b.alias("bin")).agg(mean.alias("mean_predicted"), (F.sum("positive") / F.nullif(F.sum("labelled"), F.lit(0))).alias("observed"), F.sum("n").alias("n"))
 
 
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
