@@ -65,3 +65,23 @@ def test_truncated_svd_equals_numpy(spark):
     assert np.allclose(s, [8**0.5]) and {abs(round(x["u"][0], 6)) for x in u.collect()} == {2.0}
     u, v, s = factors.truncated_svd(one.where("false"), "user_id", "item_id", "n", 3)
     assert len(s) == 0 and u.count() == v.count() == 0
+
+
+def test_products_shuffle_tiles_and_no_vectors(spark, monkeypatch):
+    plans, real = [], factors.written
+
+    def seen(df, name, *by):
+        if name == "product":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, *by)
+
+    monkeypatch.setattr(factors, "written", seen)
+    monkeypatch.setattr(factors, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(factors, "CELLS", 3, raising=False)
+    r = np.random.default_rng(5)
+    a = np.where(r.random((20, 12)) < 0.3, r.integers(1, 4, (20, 12)), 0)
+    cells = spark.createDataFrame([(i, f"c{j}", float(a[i, j])) for i in range(20) for j in range(12)], "row long, col string, n double")
+    u, v, s = factors.truncated_svd(cells, "row", "col", "n", 12, rounds=1, extra=0)
+    left, right = ({x[0]: np.array(x[1]) for x in t.collect()} for t in (u, v))
+    assert np.allclose([[left[i] @ right[f"c{j}"] for j in range(12)] for i in sorted(left)], a[sorted(left)])
+    assert len(plans) == 3 and all(p.count("Exchange") == 1 for p in plans)

@@ -7,45 +7,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered
 from ..sources.scratch import written
 
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+#: Rows of a block of vectors at most, and into how many blocks a short side is cut all the same.
+BLOCK, SPREAD = 1 << 17, 16
+#: Cells that a tile holds on average at most, and that a task multiplies at a time.
+CELLS = 100_000
 
 
 def _arrays(m: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
 
 
-def _gram(rows: DataFrame, width: int) -> np.ndarray:
-    """X'X of the rows' vectors v: a task sends width x width sums, whatever the number of its rows."""
+def _gram(blocks: DataFrame, width: int) -> np.ndarray:
+    """X'X of the vectors in blocks: a task sends width x width sums, whatever the number of its rows."""
 
     def run(batches):
         g = np.zeros((width, width))
         for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column(0))
+            for flat in batch.column(0):
+                x = np.frombuffer(flat.as_buffer()).reshape(-1, width)
                 g += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(g.size)), pa.array(g.ravel())], ["i", "x"])
 
-    sums, out = rows.select("v").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")), np.zeros(width * width)
+    sums, out = blocks.select("flat").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")), np.zeros(width * width)
     for r in sums.collect():
         out[r["i"]] = r["x"]
     return out.reshape(width, width)
 
 
-def _times(rows: DataFrame, key: str, m: np.ndarray) -> DataFrame:
-    """key, v: the rows' vectors times a small matrix."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), _arrays(_matrix(batch.column(1)) @ m)], [key, "v"])
-
-    return rows.select(key, "v").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, v array<double>")
-
-
 def _turned(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Square roots of the eigenvalues, falling, and the eigenvectors; directions without weight are left out."""
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -54,31 +45,126 @@ def _turned(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.sqrt(values[keep]), vectors[:, keep]
 
 
+class _Side:
+    """The distinct keys of one side of the table, numbered, and the blocks that their numbers make."""
+
+    def __init__(self, cells: DataFrame, key: str):
+        self.key, self.keys = key, written(numbered(cells.select(key).distinct(), key, f"{key}_at"), "numbers")
+        self.n = self.keys.count()
+        self.size = max(1, min(BLOCK, -(-self.n // SPREAD)))
+        self.blocks = max(1, -(-self.n // self.size))
+
+    def block(self):
+        return F.floor(F.col(f"{self.key}_at") / self.size).cast("int")
+
+    def inside(self):
+        return (F.col(f"{self.key}_at") % self.size).cast("int")
+
+    def start(self, width: int, seed: int) -> DataFrame:
+        """block, flat: hashes of the keys."""
+        size = self.size
+        start = F.array(*[(F.xxhash64(self.key, F.lit(seed), F.lit(i)) / F.lit(float(1 << 63))) for i in range(width)])
+
+        def run(batches):
+            out = {}
+            for batch in batches:
+                if batch.num_rows:
+                    block, at = (batch.column(i).to_numpy() for i in range(2))
+                    x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    for b in np.unique(block):
+                        out.setdefault(b, np.zeros((size, width)))[at[block == b]] = x[block == b]
+            yield from _packed(out)
+
+        rows = self.keys.select(self.block().alias("block"), self.inside().alias("at"), start.alias("v")).repartition(self.blocks, "block")
+        return written(rows.mapInArrow(run, "block int, flat binary"), "start")
+
+    def rows(self, blocks: DataFrame, width: int, m: np.ndarray, name: str) -> DataFrame:
+        """key, name: the vectors in blocks times a small matrix, a row per key."""
+        size, n = self.size, self.n
+
+        def run(batches):
+            for batch in batches:
+                for block, flat in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    x = np.frombuffer(flat.as_buffer()).reshape(-1, width)[: n - block * size] @ m
+                    for a in range(0, len(x), 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, min(a + 10_000, len(x))) + block * size), _arrays(x[a : a + 10_000])], ["at", "v"])
+
+        each = blocks.mapInArrow(run, "at long, v array<double>")
+        return self.keys.join(each, F.col(f"{self.key}_at") == F.col("at")).select(self.key, F.col("v").alias(name))
+
+
+def _packed(blocks: dict):
+    """A row per block: its number and its numbers' bytes."""
+    for b, x in blocks.items():
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "flat"])
+
+
+def _tiles(cells: DataFrame, row: _Side, column: _Side) -> DataFrame:
+    """r, c (numbers of a block of rows and of columns), and ri, ci, w: the places inside them and the weights of their cells,
+    as bytes. A crowded pair of blocks has several such rows."""
+    coded = cells.join(row.keys, row.key).join(column.keys, column.key)
+    pieces = 1 + cells.count() // (CELLS * row.blocks * column.blocks)
+    piece = F.pmod(F.xxhash64(row.key, column.key), F.lit(pieces))
+    coded = coded.select(row.block().alias("r"), column.block().alias("c"), piece.alias("piece"), F.struct(row.inside().alias("ri"), column.inside().alias("ci"), "w").alias("x"))
+    lists = coded.repartition("r", "c", "piece").groupBy("r", "c", "piece").agg(F.collect_list("x").alias("x"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = batch.column(2)[i].values
+                parts = [pa.array([x.field(f).to_numpy().tobytes()], pa.binary()) for f in range(3)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *parts], ["r", "c", "ri", "ci", "w"])
+
+    return written(lists.select("r", "c", "x").mapInArrow(run, "r int, c int, ri binary, ci binary, w binary"), "tiles")
+
+
+def _product(tiles: DataFrame, vectors: DataFrame, m: np.ndarray, to: _Side, names: tuple[str, str]) -> DataFrame:
+    """block, flat of the side `to`: the table (names: r, c) or its transpose (c, r) times the vectors times m.
+
+    The tiles of a block of results lie in one task, which keeps the block's sums while the vectors pass block by block,
+    read from where they were written. So only tiles are shuffled, and neither a vector nor a sum per cell."""
+    size, (out, by) = to.size, names
+
+    def run(batches):
+        sums, last, v = {}, None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                t, b = (batch.column(c)[i].as_py() for c in range(2))
+                if b != last:
+                    last, v = b, np.frombuffer(batch.column(2)[i].as_buffer()).reshape(-1, len(m)) @ m
+                at, of, w = (np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in ((3, np.int32), (4, np.int32), (5, float)))
+                y, order = sums.setdefault(t, np.zeros((size, m.shape[1]))), np.argsort(at, kind="stable")
+                for a in range(0, len(at), CELLS):
+                    o = order[a : a + CELLS]
+                    heads = np.flatnonzero(np.r_[True, at[o][1:] != at[o][:-1]])
+                    y[at[o][heads]] += np.add.reduceat(w[o, None] * v[of[o]], heads)
+        yield from _packed(sums)
+
+    near = tiles.select(F.col(out).alias("t"), F.col(by).alias("b"), F.col(f"{out}i").alias("at"), F.col(f"{by}i").alias("of"), "w").repartitionById(to.blocks, "t")
+    met = vectors.coalesce(1).join(near.hint("shuffle_replicate_nl"), F.col("block") == F.col("b"))
+    return written(met.select("t", "b", "flat", "at", "of", "w").mapInArrow(run, "block int, flat binary"), "product")
+
+
 def truncated_svd(cells: DataFrame, row: str, column: str, weight: str, k: int, rounds: int = 5, extra: int = 10, seed: int = 7) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(row, u = U S), (column, v = V) and the singular values of the table's k leading directions.
 
-    cells: row, column, weight, a row per pair. A random start of k + extra directions is multiplied by the table and its
-    transpose `rounds` times, each product a join and a sum per key, orthonormalised by what its Gram matrix says;
+    cells: row, column, weight, a row per pair of keys, neither null. A random start of k + extra directions is multiplied by the table and its
+    transpose `rounds` times, each product tile by tile, orthonormalised by what its Gram matrix says;
     only such matrices, (k + extra) squared numbers, reach the driver. Fewer directions come back where the table has no
     more. The start is a hash of the column's value, so reruns agree."""
-    cells = written(cells.select(row, column, F.col(weight).cast("double").alias("w")).where("w <> 0"), "cells")
-
-    def times(vectors: DataFrame, by: str, to: str, width: int) -> DataFrame:
-        met = cells.join(vectors, by)
-        return written(met.groupBy(to).agg(F.array(*[F.sum(F.col("w") * F.col("v")[i]) for i in range(width)]).alias("v")), "product")
-
-    width = k + extra
-    start = [(F.xxhash64(column, F.lit(seed), F.lit(i)) / F.lit(float(1 << 63))) for i in range(width)]
-    v = cells.select(column).distinct().select(column, F.array(*start).alias("v"))
+    cells = written(cells.select(row, column, F.col(weight).cast("double").alias("w")).where(F.col("w").isNotNull() & (F.col("w") != 0) & F.col(row).isNotNull() & F.col(column).isNotNull()), "cells")
+    r, c = _Side(cells, row), _Side(cells, column)
+    tiles = _tiles(cells, r, c)
+    v, m = c.start(k + extra, seed), np.eye(k + extra)  # the directions are v times m
     for _ in range(rounds):
-        y = times(v, column, row, width)
-        s, q = _turned(_gram(y, width))
+        y = _product(tiles, v, m, r, ("r", "c"))
+        s, q = _turned(_gram(y, m.shape[1]))
         if not len(s):
             break
-        z = times(_times(y, row, q / s), row, column, len(s))
-        s, q = _turned(_gram(z, len(s)))
-        v, width = _times(z, column, q / s), len(s)
-    y = times(v, column, row, width)
-    s, q = _turned(_gram(y, width))
+        z = _product(tiles, y, q / s, c, ("c", "r"))
+        s, q = _turned(_gram(z, q.shape[1]))
+        v, m = z, q / s
+    y = _product(tiles, v, m, r, ("r", "c"))
+    s, q = _turned(_gram(y, m.shape[1]))
     q, s = q[:, :k], s[:k]
-    return _times(y, row, q).withColumnRenamed("v", "u"), _times(v, column, q), s
+    return r.rows(y, m.shape[1], q, "u"), c.rows(v, len(m), m @ q, "v"), s

@@ -129,10 +129,11 @@ def collaborative_factors(clicks: DataFrame, k: int = 20):
 
 
 def collaborative_scores(log: DataFrame, u: DataFrame, v: DataFrame, popularity: DataFrame) -> DataFrame:
-    """log with score and fallback: unknown users are ranked by popularity, unknown items come last (-inf)."""
+    """log with score and fallback: unknown users are ranked by popularity, unknown items come last (-inf). A candidate
+    carries its user's vector to its item in single precision."""
     from .vectors import dot
 
-    out = log.join(u, "user_id", "left").join(v, "item_id", "left").join(popularity, "item_id", "left")
+    out = log.join(u.select("user_id", F.col("u").cast("array<float>").alias("u")), "user_id", "left").join(v, "item_id", "left").join(popularity, "item_id", "left")
     score = F.when(F.col("u").isNull(), F.coalesce("popularity", F.lit(0)).cast("double")).when(F.col("v").isNull(), F.lit(float("-inf"))).otherwise(dot("u", "v"))
     return out.select(*log.columns, score.alias("score"), F.col("u").isNull().alias("fallback"))
 
