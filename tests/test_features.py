@@ -141,3 +141,14 @@ def test_content_scores_fall_back_without_a_known_history(spark):
         past = [i[3] for i in log if i[1] == r["user_id"] and i[4] and (i[2], i[0]) < (r["time"], r["impression_id"])]
         assert r["fallback"] == (not any(i in known for i in past))
         assert r["score"] == pytest.approx(3.0 if r["fallback"] else want[r["impression_id"], r["item_id"]][3])
+
+
+def test_explained_candidates_meet_the_catalog_once(spark):
+    from tidemark.plans import registry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["agg25_explanation_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "MapInArrow" in plan and "hashpartitioning(item_id" not in plan[: plan.index("MapInArrow")]

@@ -25,7 +25,11 @@ def explain(items: DataFrame, catalog: DataFrame) -> DataFrame:
     evidence and explanation. Refused without evidence; an item missing from the catalog raises."""
     rows = items.join(catalog.select("item_id", "category", "abstract", F.lit(True).alias("known")), "item_id", "left")
     missing = F.raise_error(F.concat(F.lit("item missing from the catalog: "), F.col("item_id").cast("string")))
-    rows = rows.withColumn("category", F.when(F.coalesce("known", missing.cast("boolean")), F.col("category")))
+    return explain_known(rows.withColumn("category", F.when(F.coalesce("known", missing.cast("boolean")), F.col("category"))))
+
+
+def explain_known(rows: DataFrame) -> DataFrame:
+    """explain for rows that bring their item's category and abstract."""
     similar = F.col("content_similarity") >= GROUNDED
     match = F.col("category_match")
     clauses = F.array_compact(F.array(
