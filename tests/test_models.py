@@ -85,3 +85,12 @@ def test_products_shuffle_tiles_and_no_vectors(spark, monkeypatch):
     left, right = ({x[0]: np.array(x[1]) for x in t.collect()} for t in (u, v))
     assert np.allclose([[left[i] @ right[f"c{j}"] for j in range(12)] for i in sorted(left)], a[sorted(left)])
     assert len(plans) == 3 and all(p.count("Exchange") == 1 for p in plans)
+
+
+def test_sums_by_place(spark):
+    from tidemark.operators import towers
+
+    at, rows = np.array([2, 0, 2, 5]), np.arange(12.0).reshape(4, 3)
+    want = np.zeros((7, 3))
+    np.add.at(want, at, rows)
+    assert (towers._sums(at, rows, 7) == want).all() and (towers._sums(at[:0], rows[:0], 2) == 0).all()

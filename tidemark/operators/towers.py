@@ -90,17 +90,14 @@ class TwoTowers:
                 known = h["mask"] > 0
                 of_h, hc, hs = of_h[known], h["cat"][known], h["subcat"][known]
                 size = np.maximum(np.bincount(of_h, minlength=batch.num_rows), 1)[:, None]
-                u, du = np.zeros((batch.num_rows, dim)), np.zeros((batch.num_rows, dim))
-                np.add.at(u, of_h, a[hc] + s[hs])
-                u /= size
+                u = _sums(of_h, a[hc] + s[hs], batch.num_rows) / size
                 v, y = a[c["cat"]] + s[c["subcat"]], c["label"].astype(float)
                 z = np.einsum("ij,ij->i", u[of_c], v) + bias
                 g = 1 / (1 + np.exp(-z)) - y
-                np.add.at(du, of_c, g[:, None] * v)
+                du = _sums(of_c, g[:, None] * v, batch.num_rows)
                 own, past = g[:, None] * u[of_c], (du / size)[of_h]
                 for grad, cand, seen in ((ga, c["cat"], hc), (gs, c["subcat"], hs)):
-                    np.add.at(grad, cand, own)
-                    np.add.at(grad, seen, past)
+                    grad += _sums(cand, own, len(grad)) + _sums(seen, past, len(grad))
                 total += (g.sum(), (np.logaddexp(0, z) - y * z).sum(), len(y))
             flat = np.concatenate([ga.ravel(), gs.ravel(), total])
             at = np.flatnonzero(flat)
@@ -152,6 +149,11 @@ class TwoTowers:
         return out
 
 
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """n rows: the sums of the rows that go to each place; a column at a time, for np.add.at adds row by row."""
+    return np.stack([np.bincount(at, x, n) for x in np.ascontiguousarray(rows.T)], axis=1)
+
+
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """A column of arrays of structs: the row of each element, and the fields of all elements."""
     rows = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
