@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -11,6 +13,21 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
+#: Bytes of pairs of blocks that a Python worker is handed at once: two or three pairs of 2,048 vectors of 64 numbers.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int):
+    """While it lasts, an Arrow batch for Python workers ends once it has `size` bytes, not 64 MB: a worker holds two of them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
 
 def dot(a, b) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -97,7 +114,8 @@ class Shelf:
 
 
 def _best(both: DataFrame, n: int, kinds: tuple[str, str]) -> DataFrame:
-    """query_id, item_id, score, rn of pairs of blocks: a task multiplies two blocks and keeps n per query of the product."""
+    """query_id, item_id, score, rn of pairs of blocks: a task multiplies two blocks and keeps n per query of the product.
+    Written at once, for the size of the batches counts when they are made; what is written is n rows per query."""
 
     def run(batches):
         for batch in batches:
@@ -114,7 +132,8 @@ def _best(both: DataFrame, n: int, kinds: tuple[str, str]) -> DataFrame:
 
     pairs = both.mapInArrow(run, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n)
+    with arrow_batches(both.sparkSession, BATCH_BYTES):
+        return written(pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n), "best")
 
 
 def _kinds(queries: DataFrame, items: DataFrame) -> tuple[str, str]:
