@@ -153,7 +153,9 @@ def build_cells(items: DataFrame, cells: int, seed: int = 7, sample: int = 50_00
     """k-means over at most `sample` items (those with the least hash of their id); all items get a cell."""
     some = items.orderBy(F.xxhash64("item_id")).limit(sample).select(array_to_vector("v").alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(some)
-    centres = items.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
+    found = model.clusterCenters()
+    # a table of Arrow, for rows would start Python workers that then stay idle beside those of the search
+    centres = items.sparkSession.createDataFrame(pa.table({"cell": pa.array(range(len(found)), pa.int32()), "centre": pa.array([c.tolist() for c in found], pa.list_(pa.float64()))}))
     indexed = model.transform(items.withColumn("features", array_to_vector("v"))).select("item_id", "v", F.col("prediction").alias("cell"))
     return indexed, centres
 
