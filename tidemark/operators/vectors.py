@@ -15,6 +15,8 @@ from ..sources.scratch import written
 
 #: Bytes of pairs of blocks that a Python worker is handed at once: two or three pairs of 2,048 vectors of 64 numbers.
 BATCH_BYTES = 4 << 20
+#: Tasks that an exact search is dealt to at least, where its blocks allow; found pairs that a task keeps before it cuts them.
+TASKS, PAIRS = 64, 1 << 18
 
 
 @contextmanager
@@ -38,8 +40,8 @@ def norm(a) -> F.Column:
 
 
 def _blocks(df: DataFrame, key: str, vector: str, size: int, by: str | None = None) -> DataFrame:
-    """Blocks of about `size` rows by a hash of the key: keys, flat (the vectors one after another). With by, each of its
-    values has blocks of its own, as many as its rows need."""
+    """Blocks of about `size` rows by a hash of the key: keys, flat (the vectors one after another), block (its number). With
+    by, each of its values has blocks of its own, as many as its rows need, and no numbers."""
     rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), *([by] if by else [])).where("k is not null and v is not null")
     return _gathered(rows, "k", key, size, by)
 
@@ -52,7 +54,8 @@ def _gathered(rows: DataFrame, hashed: str, key: str, size: int, by: str | None)
     else:
         block = [F.pmod(F.xxhash64(hashed), F.lit(-(-rows.count() // size) or 1)).alias("block")]
     lists = rows.groupBy(*block).agg(F.collect_list(F.struct("k", F.col("v").cast("array<double>").alias("v"))).alias("x"))
-    return lists.select(*([by] if by else []), F.transform("x", lambda e: e["k"]).alias(f"{key}_keys"), F.flatten(F.transform("x", lambda e: e["v"])).alias(f"{key}_flat"))
+    keys, flat = F.transform("x", lambda e: e["k"]).alias(f"{key}_keys"), F.flatten(F.transform("x", lambda e: e["v"])).alias(f"{key}_flat")
+    return lists.select(by, keys, flat) if by else lists.select(keys, flat, F.col("block").cast("int").alias("block"))
 
 
 def shared(items: DataFrame, n: int, by: str | None = None) -> DataFrame:
@@ -113,9 +116,73 @@ class Shelf:
                     yield none
 
 
+class _Running:
+    """The n best of each query of a block over all the blocks of items that it meets, by score and then id."""
+
+    def __init__(self, names: pa.Array, q: np.ndarray, n: int):
+        some = q.any(axis=1)
+        self.n, self.q, self.names, self.zeros = n, q[some], names.filter(pa.array(some)), names.filter(pa.array(~some))
+        self.edge, self.first = np.full(len(self.q), -np.inf), np.zeros(0, np.int64)  # what a score must reach; the ids that zeros get
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def meet(self, shelf: Shelf) -> None:
+        if len(self.zeros):
+            self.first = np.sort(np.concatenate([self.first, shelf.ids]))[: self.n]
+        for a in range(0, len(self.q), 256):
+            score = self.q[a : a + 256] @ shelf.v.T
+            edge, open_ = self.edge[a : a + 256], np.isneginf(self.edge[a : a + 256])
+            if open_.any() and self.n < score.shape[1]:
+                edge[open_] = np.partition(score[open_], score.shape[1] - self.n, axis=1)[:, score.shape[1] - self.n]
+            row, at = np.nonzero(score >= edge[:, None])
+            k = shelf.lengths[at]
+            ends = np.cumsum(k)
+            ids = shelf.ids[np.repeat(shelf.starts[at] - (ends - k), k) + np.arange(ends[-1] if len(ends) else 0)]
+            self.held.append((np.repeat(row + a, k), ids, np.repeat(score[row, at], k)))
+            if sum(len(x[0]) for x in self.held[1:]) > PAIRS:
+                self.cut()
+
+    def cut(self) -> None:
+        who, ids, score = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((ids, -score, who))
+        n_of = np.bincount(who, minlength=len(self.q))
+        order = order[np.arange(len(who)) - np.repeat(np.cumsum(n_of) - n_of, n_of) < self.n]
+        self.held = [(who[order], ids[order], score[order])]
+        ends = np.cumsum(np.minimum(n_of, self.n))
+        full = n_of >= self.n
+        self.edge[full] = self.held[0][2][ends[full] - 1]
+
+    def rows(self, types):
+        self.cut()
+        who, ids, score = self.held[0]
+        for a in range(0, len(who), 100_000):
+            s = slice(a, a + 100_000)
+            yield pa.RecordBatch.from_arrays([self.names.take(pa.array(who[s])), pa.array(ids[s], types[1]), pa.array(score[s], types[2])], ["query_id", "item_id", "score"])
+        some = max(1, 100_000 // max(len(self.first), 1))
+        for a in range(0, len(self.zeros), some):
+            names = self.zeros.slice(a, some)
+            who = names.take(pa.array(np.repeat(np.arange(len(names)), len(self.first))))
+            yield pa.RecordBatch.from_arrays([who, pa.array(np.tile(self.first, len(names)), types[1]), pa.array(np.zeros(len(who)), types[2])], ["query_id", "item_id", "score"])
+
+
 def _best(both: DataFrame, n: int, kinds: tuple[str, str]) -> DataFrame:
-    """query_id, item_id, score, rn of pairs of blocks: a task multiplies two blocks and keeps n per query of the product.
+    """query_id, item_id, score, rn of pairs of blocks: a task multiplies two blocks and keeps n per query of the product;
+    where the blocks of queries are numbered, n per query of all the products that it makes.
     Written at once, for the size of the batches counts when they are made; what is written is n rows per query."""
+    numbers = "block" in both.columns and kinds[1] in ("tinyint", "smallint", "int", "bigint")
+
+    def running(batches):
+        found, types = {}, None
+        for batch in batches:
+            types = batch.column(2).type.value_type, batch.column(0).type.value_type.value_type, pa.float64()
+            for i in range(batch.num_rows):
+                ids, flat, names, q = (batch.column(c)[i].values for c in range(4))
+                v, q = (x.to_numpy().reshape(k, -1) for x, k in ((flat, len(ids)), (q, len(names))))
+                block = batch.column(4)[i].as_py()
+                if block not in found:
+                    found[block] = _Running(pa.concat_arrays([names]), q.copy(), n)
+                found[block].meet(Shelf(ids, v))
+        for x in found.values():
+            yield from x.rows(types)
 
     def run(batches):
         for batch in batches:
@@ -130,7 +197,7 @@ def _best(both: DataFrame, n: int, kinds: tuple[str, str]) -> DataFrame:
                     who = names.take(pa.array(np.repeat(np.arange(len(names)), [len(x) for x, _ in got])))
                     yield pa.RecordBatch.from_arrays([who, pa.array(shelf.named(found[0]), types[1]), pa.array(found[1], types[2])], ["query_id", "item_id", "score"])
 
-    pairs = both.mapInArrow(run, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
+    pairs = both.mapInArrow(running if numbers else run, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     with arrow_batches(both.sparkSession, BATCH_BYTES):
         return written(pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n), "best")
@@ -143,10 +210,16 @@ def _kinds(queries: DataFrame, items: DataFrame) -> tuple[str, str]:
 def exact_top_n(queries: DataFrame, items: DataFrame, n: int, size: int = 2048) -> DataFrame:
     """query_id, item_id, score, rn: the n greatest inner products of each query (query_id, q) among items (item_id, v).
 
-    The stated query set meets all distinct vectors block by block. Neither side is broadcast or gathered. Ties go to the
-    smaller id, null vectors are left out."""
-    both = _item_blocks(items, n, size).crossJoin(_blocks(queries, "query_id", "q", size).hint("shuffle_replicate_nl"))
-    return _best(both, n, _kinds(queries, items))
+    The stated query set meets all distinct vectors block by block. Neither side is broadcast or gathered. A block of queries lies
+    in as many tasks as TASKS asks for, in one where there are many blocks, and the items' blocks pass it, read from where they
+    were written; so n rows per query and task are shuffled, however many items there are. Ties go to the smaller id, null vectors
+    are left out."""
+    asked = written(_blocks(queries, "query_id", "q", size), "asked")
+    blocks = written(_item_blocks(items, n, size).drop("block"), "blocks")
+    parts = max(asked.count(), 1)
+    wide = max(1, min(blocks.count(), -(-TASKS // parts)))
+    passed = blocks.repartition(wide) if wide > 1 else blocks.coalesce(1)
+    return _best(passed.crossJoin(asked.repartitionById(parts, "block").hint("shuffle_replicate_nl")), n, _kinds(queries, items))
 
 
 def build_cells(items: DataFrame, cells: int, seed: int = 7, sample: int = 50_000):
