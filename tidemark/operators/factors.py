@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered
 from ..sources.scratch import written
+from .vectors import BATCH_BYTES, arrow_batches
 
-#: Rows of a block of vectors at most, and into how many blocks a short side is cut all the same.
-BLOCK, SPREAD = 1 << 17, 16
-#: Cells that a tile holds on average at most, and that a task multiplies at a time.
+#: Rows of a block of results at most, of a piece of it that is a row of a table, and into how many blocks a short side is cut all the same.
+BLOCK, PIECE, SPREAD = 1 << 17, 1 << 13, 16
+#: Cells that a tile holds at most, and that a task multiplies at a time.
 CELLS = 100_000
 
 
@@ -32,8 +33,9 @@ def _gram(blocks: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(g.size)), pa.array(g.ravel())], ["i", "x"])
 
     sums, out = blocks.select("flat").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")), np.zeros(width * width)
-    for r in sums.collect():
-        out[r["i"]] = r["x"]
+    with arrow_batches(blocks.sparkSession, BATCH_BYTES):
+        for r in sums.collect():
+            out[r["i"]] = r["x"]
     return out.reshape(width, width)
 
 
@@ -46,23 +48,26 @@ def _turned(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Side:
-    """The distinct keys of one side of the table, numbered, and the blocks that their numbers make."""
+    """The distinct keys of one side of the table, numbered, and the blocks and their pieces that their numbers make."""
 
     def __init__(self, cells: DataFrame, key: str):
         self.key, self.keys = key, written(numbered(cells.select(key).distinct(), key, f"{key}_at"), "numbers")
         self.n = self.keys.count()
-        self.size = max(1, min(BLOCK, -(-self.n // SPREAD)))
-        self.blocks = max(1, -(-self.n // self.size))
+        most = max(1, min(BLOCK, -(-self.n // SPREAD)))
+        self.piece = min(PIECE, most)
+        self.each = most // self.piece
+        self.size = self.piece * self.each
+        self.blocks, self.pieces = (max(1, -(-self.n // k)) for k in (self.size, self.piece))
 
-    def block(self):
-        return F.floor(F.col(f"{self.key}_at") / self.size).cast("int")
+    def block(self, size: int):
+        return F.floor(F.col(f"{self.key}_at") / size).cast("int")
 
-    def inside(self):
-        return (F.col(f"{self.key}_at") % self.size).cast("int")
+    def inside(self, size: int):
+        return (F.col(f"{self.key}_at") % size).cast("int")
 
     def start(self, width: int, seed: int) -> DataFrame:
-        """block, flat: hashes of the keys."""
-        size = self.size
+        """piece, flat: hashes of the keys."""
+        size, packed = self.size, self.packed()
         start = F.array(*[(F.xxhash64(self.key, F.lit(seed), F.lit(i)) / F.lit(float(1 << 63))) for i in range(width)])
 
         def run(batches):
@@ -73,14 +78,26 @@ class _Side:
                     x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
                     for b in np.unique(block):
                         out.setdefault(b, np.zeros((size, width)))[at[block == b]] = x[block == b]
-            yield from _packed(out)
+            yield from packed(out)
 
-        rows = self.keys.select(self.block().alias("block"), self.inside().alias("at"), start.alias("v")).repartition(self.blocks, "block")
-        return written(rows.mapInArrow(run, "block int, flat binary"), "start")
+        rows = self.keys.select(self.block(size).alias("block"), self.inside(size).alias("at"), start.alias("v")).repartitionById(self.blocks, "block")
+        return written(rows.mapInArrow(run, "piece int, flat binary"), "start")
+
+    def packed(self):
+        """What makes a row per piece, its number and its numbers' bytes, of blocks of results."""
+        each, piece, pieces = self.each, self.piece, self.pieces
+
+        def run(blocks: dict):
+            for b, x in blocks.items():
+                for i in range(min(each, pieces - b * each)):
+                    flat = x[i * piece : (i + 1) * piece].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([b * each + i], pa.int32()), pa.array([flat], pa.binary())], ["piece", "flat"])
+
+        return run
 
     def rows(self, blocks: DataFrame, width: int, m: np.ndarray, name: str) -> DataFrame:
-        """key, name: the vectors in blocks times a small matrix, a row per key."""
-        size, n = self.size, self.n
+        """key, name: the vectors in pieces times a small matrix, a row per key."""
+        size, n = self.piece, self.n
 
         def run(batches):
             for batch in batches:
@@ -93,37 +110,44 @@ class _Side:
         return self.keys.join(each, F.col(f"{self.key}_at") == F.col("at")).select(self.key, F.col("v").alias(name))
 
 
-def _packed(blocks: dict):
-    """A row per block: its number and its numbers' bytes."""
-    for b, x in blocks.items():
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "flat"])
+def _tiles(coded: DataFrame, to: _Side, by: _Side) -> DataFrame:
+    """t, b (numbers of a block of `to` and of a piece of `by`), and at, of, w: the places inside them and the weights of their
+    cells, as bytes. A crowded tile has several such rows. Cells are put in order and cut as they come, so no tile is gathered."""
+    parts = 1 + coded.count() // (CELLS * to.blocks * by.pieces)
+    part = F.pmod(F.xxhash64(f"{to.key}_at", f"{by.key}_at"), F.lit(parts))
+    rows = coded.select(to.block(to.size).alias("t"), by.block(by.piece).alias("b"), to.inside(to.size).alias("at"), by.inside(by.piece).alias("of"), "w", part.alias("part"))
+    rows = rows.repartition("t", "b", "part").sortWithinPartitions("t", "b").select("t", "b", "at", "of", "w")
 
+    def run(batches):
+        key, held, n = None, [], 0
 
-def _tiles(cells: DataFrame, row: _Side, column: _Side) -> DataFrame:
-    """r, c (numbers of a block of rows and of columns), and ri, ci, w: the places inside them and the weights of their cells,
-    as bytes. A crowded pair of blocks has several such rows."""
-    coded = cells.join(row.keys, row.key).join(column.keys, column.key)
-    pieces = 1 + cells.count() // (CELLS * row.blocks * column.blocks)
-    piece = F.pmod(F.xxhash64(row.key, column.key), F.lit(pieces))
-    coded = coded.select(row.block().alias("r"), column.block().alias("c"), piece.alias("piece"), F.struct(row.inside().alias("ri"), column.inside().alias("ci"), "w").alias("x"))
-    lists = coded.repartition("r", "c", "piece").groupBy("r", "c", "piece").agg(F.collect_list("x").alias("x"))
+        def tile():
+            parts = [pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*held)]
+            return pa.RecordBatch.from_arrays([*[pa.array([k], pa.int32()) for k in key], *parts], ["t", "b", "at", "of", "w"])
 
-    def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                x = batch.column(2)[i].values
-                parts = [pa.array([x.field(f).to_numpy().tobytes()], pa.binary()) for f in range(3)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *parts], ["r", "c", "ri", "ci", "w"])
+            t, b, *x = (batch.column(c).to_numpy() for c in range(5))
+            cuts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (b[1:] != b[:-1])]) if len(t) else []
+            cuts = np.union1d(cuts, np.arange(0, len(t), CELLS)).astype(int)
+            for lo, hi in zip(cuts, [*cuts[1:], len(t)]):
+                if n and (key != (t[lo], b[lo]) or n + hi - lo > CELLS):
+                    yield tile()
+                    held, n = [], 0
+                key, n = (t[lo], b[lo]), n + hi - lo
+                held.append([c[lo:hi] for c in x])
+        if n:
+            yield tile()
 
-    return written(lists.select("r", "c", "x").mapInArrow(run, "r int, c int, ri binary, ci binary, w binary"), "tiles")
+    return written(rows.mapInArrow(run, "t int, b int, at binary, of binary, w binary"), "tiles")
 
 
-def _product(tiles: DataFrame, vectors: DataFrame, m: np.ndarray, to: _Side, names: tuple[str, str]) -> DataFrame:
-    """block, flat of the side `to`: the table (names: r, c) or its transpose (c, r) times the vectors times m.
+def _product(tiles: DataFrame, vectors: DataFrame, m: np.ndarray, to: _Side) -> DataFrame:
+    """piece, flat of the side `to`: the table, or its transpose, as tiles, times the vectors times m.
 
-    The tiles of a block of results lie in one task, which keeps the block's sums while the vectors pass block by block,
-    read from where they were written. So only tiles are shuffled, and neither a vector nor a sum per cell."""
-    size, (out, by) = to.size, names
+    The tiles of a block of results lie in one task, which keeps the block's sums while the vectors pass piece by piece,
+    read from where they were written. So only tiles are shuffled, and neither a vector nor a sum per cell; and a task
+    holds the sums of one block and a few pieces, however long the sides are."""
+    size, packed = to.size, to.packed()
 
     def run(batches):
         sums, last, v = {}, None, None
@@ -138,11 +162,12 @@ def _product(tiles: DataFrame, vectors: DataFrame, m: np.ndarray, to: _Side, nam
                     o = order[a : a + CELLS]
                     heads = np.flatnonzero(np.r_[True, at[o][1:] != at[o][:-1]])
                     y[at[o][heads]] += np.add.reduceat(w[o, None] * v[of[o]], heads)
-        yield from _packed(sums)
+        yield from packed(sums)
 
-    near = tiles.select(F.col(out).alias("t"), F.col(by).alias("b"), F.col(f"{out}i").alias("at"), F.col(f"{by}i").alias("of"), "w").repartitionById(to.blocks, "t")
-    met = vectors.coalesce(1).join(near.hint("shuffle_replicate_nl"), F.col("block") == F.col("b"))
-    return written(met.select("t", "b", "flat", "at", "of", "w").mapInArrow(run, "block int, flat binary"), "product")
+    near = tiles.repartitionById(to.blocks, "t")
+    met = vectors.coalesce(1).join(near.hint("shuffle_replicate_nl"), F.col("piece") == F.col("b"))
+    with arrow_batches(tiles.sparkSession, BATCH_BYTES):
+        return written(met.select("t", "b", "flat", "at", "of", "w").mapInArrow(run, "piece int, flat binary"), "product")
 
 
 def truncated_svd(cells: DataFrame, row: str, column: str, weight: str, k: int, rounds: int = 5, extra: int = 10, seed: int = 7) -> tuple[DataFrame, DataFrame, np.ndarray]:
@@ -154,17 +179,18 @@ def truncated_svd(cells: DataFrame, row: str, column: str, weight: str, k: int,
     more. The start is a hash of the column's value, so reruns agree."""
     cells = written(cells.select(row, column, F.col(weight).cast("double").alias("w")).where(F.col("w").isNotNull() & (F.col("w") != 0) & F.col(row).isNotNull() & F.col(column).isNotNull()), "cells")
     r, c = _Side(cells, row), _Side(cells, column)
-    tiles = _tiles(cells, r, c)
+    coded = written(cells.join(r.keys, row).join(c.keys, column).select(f"{row}_at", f"{column}_at", "w"), "coded")
+    onto_r, onto_c = _tiles(coded, r, c), _tiles(coded, c, r)
     v, m = c.start(k + extra, seed), np.eye(k + extra)  # the directions are v times m
     for _ in range(rounds):
-        y = _product(tiles, v, m, r, ("r", "c"))
+        y = _product(onto_r, v, m, r)
         s, q = _turned(_gram(y, m.shape[1]))
         if not len(s):
             break
-        z = _product(tiles, y, q / s, c, ("c", "r"))
+        z = _product(onto_c, y, q / s, c)
         s, q = _turned(_gram(z, q.shape[1]))
         v, m = z, q / s
-    y = _product(tiles, v, m, r, ("r", "c"))
+    y = _product(onto_r, v, m, r)
     s, q = _turned(_gram(y, m.shape[1]))
     q, s = q[:, :k], s[:k]
     return r.rows(y, m.shape[1], q, "u"), c.rows(v, len(m), m @ q, "v"), s

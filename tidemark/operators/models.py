@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import exact_quantiles, numbered, running_total
 from ..sources.scratch import written
 from .factors import truncated_svd
+from .vectors import BATCH_BYTES, arrow_batches
 
 
 def dominant_category(histories: DataFrame, catalog: DataFrame, key: str = "user_id") -> DataFrame:
@@ -125,7 +126,8 @@ def collaborative_factors(clicks: DataFrame, k: int = 20):
     """Truncated SVD of the user x item click counts (duplicates add up): (user_id, u = U S), (item_id, v)."""
     counts = clicks.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
     u, v, _ = truncated_svd(counts, "user_id", "item_id", "n", k)
-    return written(u, "u"), written(v, "v")
+    with arrow_batches(clicks.sparkSession, BATCH_BYTES):
+        return written(u, "u"), written(v, "v")
 
 
 def collaborative_scores(log: DataFrame, u: DataFrame, v: DataFrame, popularity: DataFrame) -> DataFrame:
